@@ -1,0 +1,19 @@
+"""The queries over the reference's own operators and the SQL they are checked against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def flagship(spark: SparkSession, root: str) -> DataFrame:
+    return queries()["full_clean_pipeline"](spark, root)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
