@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("canonical", "terms")
+_MODULES = ("canonical", "leakage", "terms")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
