@@ -137,11 +137,11 @@ _WIDE_ASKED = {k: re.compile("|".join(x for x in v.split("|") if not re.search(r
 
 # Function words that tell languages of the Latin script apart.
 FUNCTION_WORDS = {
-    "en": "the of and to in is that it for was on are with as at by from this be have not you which were how when who what about before while no we they there his her its can will would your please why does nobody",
-    "de": "der die das und den dem des ein eine einen einem ist nicht mit von zu für auf sich auch es an als nach wie im aus bei oder wenn man dass wird sind hat um über nur noch durch wurde kann ich zum zur bitte warum",
-    "fr": "le la les des du de un une et est que qui dans pour pas sur au aux avec ce il elle en ne se sont par plus ou mais nous vous cette son ses leur été à où être sans comme l d qu n pourquoi y",
-    "es": "el la los las de del un una y es que en por con no se para su al lo como más pero sus le ha este esta entre cuando muy sin sobre también fue hay donde quien desde todo nos o qué cómo ni unos nadie",
-    "pt": "o a os as de do da dos das um uma e é que em por com não se para seu sua ao no na nos nas mais como mas foi ele ela entre quando muito sem sobre também já há onde quem até à às pelo pela num numa ninguém isso este esta",
+    "en": "the of and to in is that it for was on are with as at by from this be have not you which were how when who what about before while no we they there his her its can will would your please why does nobody should when after make say if than",
+    "de": "der die das und den dem des ein eine einen einem ist nicht mit von zu für auf sich auch es an als nach wie im aus bei oder wenn man dass wird sind hat um über nur noch durch wurde kann ich zum zur bitte warum soll wenn tun was ob bei erkennt kürzer einer",
+    "fr": "le la les des du de un une et est que qui dans pour pas sur au aux avec ce il elle en ne se sont par plus ou mais nous vous cette son ses leur été à où être sans comme l d qu n pourquoi y comment après si quand doit faire jours court merci cela quelques",
+    "es": "el la los las de del un una y es que en por con no se para su al lo como más pero sus le ha este esta entre cuando muy sin sobre también fue hay donde quien desde todo nos o qué cómo ni unos nadie después debe si días pocas favor mientras según",
+    "pt": "o a os as de do da dos das um uma e é que em por com não se para seu sua ao no na nos nas mais como mas foi ele ela entre quando muito sem sobre também já há onde quem até à às pelo pela num numa ninguém isso este esta depois deve dias sabe poucas segundo cerca",
 }
 _WORD_LANGUAGES: dict[str, list[str]] = {}
 for _code, _words in FUNCTION_WORDS.items():

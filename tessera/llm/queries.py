@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("canonical", "leakage", "pairs", "terms")
+_MODULES = ("canonical", "language", "leakage", "pairs", "terms")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
