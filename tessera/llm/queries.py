@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("canonical", "language", "leakage", "pairs", "spans", "terms")
+_MODULES = ("canonical", "language", "leakage", "mixing", "packing", "pairs", "spans", "terms")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
