@@ -297,14 +297,14 @@ class SharedSpans:
         docs = df.where(F.col(id_column).isNotNull() & (F.length(text) >= SPAN)).select(F.col(id_column).cast("long").alias("doc"), F.col(text).alias("text"))
         # 1. classes of equal texts, each represented by its smallest id
         keyed = docs.select("doc", F.unhex(F.md5("text")).alias("key"))
-        least = keyed.groupBy("key").agg(F.min("doc").alias("rep"), F.count_distinct("doc").alias("n")).where("n > 1").select("key", "rep")
+        least = keyed.groupBy("key").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).where("rep < last").select("key", "rep")
         self.copies = staged(keyed.join(least, "key").select("doc", "rep").distinct())
         others = self.copies.where("doc <> rep").select("doc")
         # 2. anchors
-        anchors = staged(docs.mapInArrow(_find_anchors, "anchor long, doc long, pos int, many boolean").join(others, "doc", "left_anti").distinct())
-        held = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("home"), F.max("many").alias("many")).where("n > 1")
+        anchors = staged(docs.mapInArrow(_find_anchors, "anchor long, doc long, pos int, many boolean").join(others, "doc", "left_anti"))
+        held = anchors.groupBy("anchor").agg(F.max("doc").alias("last"), F.min(F.struct("doc", "pos")).alias("home"), F.max("many").alias("many")).where("home.doc < last")
         shared = staged(
-            anchors.drop("many").join(held, "anchor").select("anchor", "doc", "pos", "n", "many", F.col("home.doc").alias("home"), F.floor(F.col("home.pos") / SHARD_CHARS).cast("int").alias("shard"))
+            anchors.drop("many").join(held, "anchor").select("anchor", "doc", "pos", "many", F.col("home.doc").alias("home"), F.floor(F.col("home.pos") / SHARD_CHARS).cast("int").alias("shard"))
         )
         # 3. surroundings of shared anchors, past the automata of their shards
         live = shared.where("NOT many").groupBy("doc").agg(F.collect_list(F.struct("home", "shard", "pos", "anchor")).alias("live"))
@@ -324,7 +324,7 @@ class SharedSpans:
         settled = judged.where("clean OR (others = 1 AND before >= 0)").select("anchor", F.lit(True).alias("settled"))
         unclear = shared.select("anchor", "doc").join(settled, "anchor", "left_anti").groupBy("doc").agg(F.collect_set("anchor").alias("wanted"))
         windows = staged(docs.join(unclear, "doc").select("doc", "text", "wanted").mapInArrow(_windows, "one long, two long, doc long, start int").distinct())
-        alike = windows.groupBy("one", "two").agg(F.count_distinct("doc").alias("n")).where("n > 1").select("one", "two")
+        alike = windows.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").select("one", "two")
         self.windows = staged(windows.join(alike, ["one", "two"]))
         place = shared.select("anchor", "doc", "pos")
         clean_places = place.join(clean, "anchor").join(reach, ["anchor", "doc"], "left")
@@ -340,8 +340,8 @@ class SharedSpans:
     def classes(self) -> DataFrame:
         """``class, doc``: sets of documents that share a span with each other, each set once, copies included."""
         by_anchor = self.places.select(F.struct(F.col("anchor").alias("one"), F.lit(0).cast("long").alias("two")).alias("key"), "doc")
-        by_window = self.windows.select(F.struct("one", "two").alias("key"), "doc").distinct()
-        members = staged(by_anchor.unionByName(by_window))
+        by_window = self.windows.select(F.struct("one", "two").alias("key"), "doc")
+        members = staged(by_anchor.unionByName(by_window).distinct())
         # neighbouring anchors of one span have the same documents: one class for each set
         signature = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
         once = signature.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
