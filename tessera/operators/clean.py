@@ -58,9 +58,10 @@ def ngram_repetition(df: DataFrame, id_column: str, text: Column, n: int = NGRAM
 
     Counted by one shuffle on (id, n-gram) after partial counts, so that texts of any length fit.
     """
-    grams = df.select(F.col(id_column).alias("id"), F.size(T.words(text)).alias("n_words"), F.explode(T.word_ngrams(text, n)).alias("gram"))
-    counts = grams.groupBy("id", "n_words", "gram").count()
-    return counts.groupBy("id", "n_words").agg(F.sum("count").alias("n_grams"), F.max("count").alias("top_count")).withColumn("share", F.col("top_count") / F.col("n_grams"))
+    grams = df.select(F.col(id_column).alias("id"), F.explode(T.word_ngrams(text, n)).alias("gram"))
+    counts = grams.groupBy("id", "gram").count()
+    tops = counts.groupBy("id").agg(F.sum("count").alias("n_grams"), F.max("count").alias("top_count"))
+    return tops.select("id", (F.col("n_grams") + (n - 1)).alias("n_words"), "n_grams", "top_count", (F.col("top_count") / F.col("n_grams")).alias("share"))
 
 
 def clean(df: DataFrame, id_column: str, threshold: float = dedup.THRESHOLD) -> DataFrame:
