@@ -53,7 +53,7 @@ def token_accuracy(spark: SparkSession, root: str) -> DataFrame:
 
 @query("""
 SELECT 'delete' AS strategy, count(*) AS n, coalesce(sum(len(input_ids)), 0)::BIGINT AS tokens FROM encoded_rows WHERE len(input_ids) <= 256
-UNION ALL SELECT 'left', count(*), sum(least(len(input_ids), 256))::BIGINT FROM encoded_rows UNION ALL SELECT 'right', count(*), sum(least(len(input_ids), 256))::BIGINT FROM encoded_rows""")
+UNION ALL SELECT 'left', count(*), sum(CASE WHEN input_ids IS NOT NULL THEN least(len(input_ids), 256) END)::BIGINT FROM encoded_rows UNION ALL SELECT 'right', count(*), sum(CASE WHEN input_ids IS NOT NULL THEN least(len(input_ids), 256) END)::BIGINT FROM encoded_rows""")
 def over_length(spark: SparkSession, root: str) -> DataFrame:
     """Rows and tokens that each way of handling over-long rows leaves."""
     made = [
