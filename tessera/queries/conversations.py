@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.operators import clean as C, messages as M
+from tessera.operators import agents as G, clean as C, messages as M
 from tessera.queries.registry import query
 from tessera.runtime import table
 
@@ -238,3 +238,24 @@ def drop_defaults(spark: SparkSession, root: str) -> DataFrame:
     """JSON bodies without the fields that equal their default."""
     rows = table(spark, root, "request_counters").where("cached_tokens IS NOT NULL AND completion_tokens IS NOT NULL AND completion_tokens <> -1")
     return rows.select("request_id", M.without_defaults({"cached_tokens": 0, "completion_tokens": -1}).alias("body")).groupBy("request_id", "body").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def tool_prompts(spark: SparkSession, root: str) -> DataFrame:
+    """Tool lists made from the sources of the documents, rendered in every format."""
+    d = table(spark, root, "documents").where("source IS NOT NULL").groupBy(F.lower(F.translate(F.trim("source"), "-", "_")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    tools = F.to_json(F.array(F.struct(F.col("name"), F.concat(F.lit("Reads "), "name").alias("description"), F.struct(F.lit("object").alias("type")).alias("parameters"))))
+    rows = d.select("name", tools.alias("tools"))
+    parts = [rows.select("name", F.lit(f).alias("format"), G.tool_prompts(F.col("tools"), f).alias("prompt")) for f in sorted(G.FORMATS)]
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    return union
+
+
+@query()
+def split_by_delimiters(spark: SparkSession, root: str) -> DataFrame:
+    """Contents cut at delimiters, each part with the weight of its delimiter."""
+    c = F.get("messages", F.size("messages") - 1)["content"]
+    rows = table(spark, root, "chats").where("size(messages) > 0").select("sample_id", G.weighted_sections(c, {"Answer:": 2.0, "therefore": (1.5, 0.5)}).alias("s"))
+    return rows.where("s IS NOT NULL").select("sample_id", F.posexplode("s").alias("part", "p")).select("sample_id", "part", F.md5("p.content").alias("content_md5"), "p.weight")
