@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions import text as T
-from tessera.runtime import staged
+from tessera.runtime import spread, staged
 
 #: Permutations, bands and rows a band for a threshold of 0.85 on the estimated similarity.
 PERMUTATIONS, BANDS, ROWS, THRESHOLD, SHINGLE = 128, 8, 16, 0.85, 5
@@ -43,8 +43,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = (h * _BASE + codes[k : k + len(h)]) % _PRIME
             h = np.unique(h)
             least = np.full(PERMUTATIONS, _PRIME, dtype=np.int64)
-            for a in range(0, len(h), 4096):
-                least = np.minimum(least, ((h[a : a + 4096, None] * factors + addends) % _PRIME).min(axis=0))
+            for a in range(0, len(h), 512):  # a block stays in the processor's cache
+                x = h[a : a + 512, None] * factors
+                x += addends
+                for _ in range(2):  # modulo 2 ** 31 - 1 without division
+                    high = x >> 31
+                    x &= _PRIME
+                    x += high
+                x[x >= _PRIME] -= _PRIME
+                np.minimum(least, x.min(axis=0), out=least)
             out[r] = least
         flat = pa.array(out.ravel())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, PERMUTATIONS, dtype=np.int32)), flat)], names=["id", "signature"])
@@ -57,7 +64,7 @@ def minhash_signatures(df: DataFrame, id_column: str, text: Column) -> DataFrame
     """
     whole = F.coalesce(text, F.lit(""))
     first = F.coalesce(F.try_element_at(T.words(whole), F.lit(1)), F.lit(" "))
-    return df.select(F.col(id_column).cast("long").alias("id"), T.normalised(whole).alias("plain"), first.alias("word")).mapInArrow(_signatures, "id long, signature array<long>")
+    return spread(df.select(F.col(id_column).cast("long").alias("id"), T.normalised(whole).alias("plain"), first.alias("word"))).mapInArrow(_signatures, "id long, signature array<long>")
 
 
 def estimated_jaccard(a: Column, b: Column) -> Column:

@@ -41,6 +41,15 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores.
+
+    Only a table with fewer splits than cores is moved, that is a small one; a large one is read where it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def drop_clashing(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without the columns an operator is going to add."""
     wanted = {n.lower() for n in names}
