@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.runtime import table
+from tessera.runtime import spread, table
 
 RULES = ("empty", "refusal", "echo", "wrong_language", "truncated")
 
@@ -160,7 +161,7 @@ _TAG = re.compile(r"</?[a-zA-Z_|][^<>]{0,80}>")
 _WORDS = re.compile(r"[^\W_]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _KANA, _HAN = re.compile("[ぁ-ヺー-ヿ]"), re.compile("[㐀-䶿一-鿿]")
-_CYRILLIC, _LATIN = re.compile("[Ѐ-ӿ]"), re.compile("[a-zA-ZÀ-ɏ]")
+_CYRILLIC = re.compile("[Ѐ-ӿ]")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s*|\n+")
 _LIST_ITEM = re.compile(r"^\s*(?:[-*•+·–]|\d{1,3}[.)、]|[a-zA-Z][.)])\s+\S")
 _VALUE_LINE = re.compile(
@@ -176,17 +177,23 @@ def _wide(text: str) -> bool:
 
 def language_of(text: str) -> str | None:
     """The language of a text outside fences by script, then by function words; None if it can't be told."""
-    text = _FENCED.sub(" ", text)
-    kana, han = len(_KANA.findall(text)), len(_HAN.findall(text))
-    cyrillic, latin = len(_CYRILLIC.findall(text)), len(_LATIN.findall(text))
-    if kana + han >= 4 and 3 * (kana + han) >= latin + cyrillic:
-        return "ja" if 8 * kana >= han else "zh"
-    if cyrillic >= 6 and cyrillic >= latin:
-        return "ru"
-    if latin < 6:
+    if "```" in text:
+        text = _FENCED.sub(" ", text)
+    words = _LETTERS.findall(text.lower())
+    letters = sum(map(len, words))
+    if not text.isascii():
+        highest = max(text)
+        kana, han = (len(_KANA.findall(text)), len(_HAN.findall(text))) if highest >= "\u3040" else (0, 0)
+        if kana + han >= 4 and 3 * (kana + han) >= letters - kana - han:
+            return "ja" if 8 * kana >= han else "zh"
+        cyrillic = len(_CYRILLIC.findall(text)) if highest >= "\u0400" else 0
+        letters -= kana + han + cyrillic
+        if cyrillic >= 6 and cyrillic >= letters:
+            return "ru"
+    if letters < 6:
         return None
     votes = dict.fromkeys(FUNCTION_WORDS, 0.0)
-    for word in _LETTERS.findall(text.lower()):
+    for word in words:
         codes = _WORD_LANGUAGES.get(word)
         if codes:
             for code in codes:
@@ -197,6 +204,43 @@ def language_of(text: str) -> str | None:
     return max(votes, key=votes.get)
 
 
+class Question:
+    """A question and what the rules need of it, each found once and only if needed."""
+
+    def __init__(self, text: str | None, context: Question | None = None) -> None:
+        self.text, self.context = text or "", context
+
+    @cached_property
+    def words(self) -> list[str]:
+        return _WORDS.findall(self.text.casefold())
+
+    @cached_property
+    def characters(self) -> list[str]:
+        return list("".join(self.words))
+
+    @cached_property
+    def wide(self) -> bool:
+        return _wide(self.text)
+
+    @cached_property
+    def language(self) -> str | None:
+        return language_of(self.text)
+
+    @cached_property
+    def source(self) -> Question:
+        """The question whose language counts: this one or, where it can't be told, the last one before with a language."""
+        return self.context.source if self.language is None and self.context else self
+
+    @cached_property
+    def passages(self) -> set[str | None]:
+        """The languages of its sentences."""
+        return {language_of(s) for s in _SENTENCE.split(_FENCED.sub("\n", self.text)) if len(s) > 8}
+
+    @cached_property
+    def asks_repetition(self) -> bool:
+        return REPEAT_ASKED.search(self.text) is not None
+
+
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
@@ -232,13 +276,14 @@ def is_refusal(answer: str) -> bool:
     return False
 
 
-def is_echo(question: str, answer: str) -> bool:
-    if not question or len(answer) > 2.5 * len(question) + 120 or REPEAT_ASKED.search(question):
+def is_echo(question: Question, answer: str) -> bool:
+    if not question.text or len(answer) > 2.5 * len(question.text) + 120:
         return False
-    asked, said = _WORDS.findall(question.casefold()), _WORDS.findall(answer.casefold())
-    wide = _wide(question) and _wide(answer)
+    said = _WORDS.findall(answer.casefold())
+    wide = question.wide and _wide(answer)
     if wide:
-        asked, said = list("".join(asked)), list("".join(said))
+        said = list("".join(said))
+    asked = question.characters if wide else question.words
     least, lead = (ECHO_CHARACTERS, 2 * LEAD_WORDS) if wide else (ECHO_WORDS, LEAD_WORDS)
     if len(said) < least or len(asked) < least:
         return False
@@ -255,24 +300,21 @@ def is_echo(question: str, answer: str) -> bool:
         run = run + 1 if x else 0
         longest = max(longest, run)
     breaks = sum(not j for j in joined[start:])
-    return longest <= (5 if wide else 2) and breaks <= 1 + len(said[start:]) // (12 if wide else 7)
+    return longest <= (5 if wide else 2) and breaks <= 1 + len(said[start:]) // (12 if wide else 7) and not question.asks_repetition
 
 
-def is_wrong_language(question: str, answer: str, context: str | None = None) -> bool:
-    """``context``: an earlier question, whose language counts where the question's own can't be told."""
+def is_wrong_language(question: Question, answer: str) -> bool:
     said = language_of(answer)
     if said is None:
         return False
-    asked = language_of(question)
-    if asked is None and context:
-        question = context
-        asked = language_of(question)
+    question = question.source
+    asked = question.language
     if asked is None or asked == said:
         return False
-    if LANGUAGE_ASKED[said].search(question) or _WIDE_ASKED[said].search(question):
+    if LANGUAGE_ASKED[said].search(question.text) or _WIDE_ASKED[said].search(question.text):
         return False
     # a question may hold a foreign passage; and the answer must hold no sentence in the question's own language
-    if any(language_of(s) == said for s in _SENTENCE.split(_FENCED.sub("\n", question)) if len(s) > 8):
+    if said in question.passages:
         return False
     return not any(language_of(s) == asked for s in _SENTENCE.split(_FENCED.sub("\n", answer)) if len(s) > 12)
 
@@ -326,15 +368,18 @@ def is_truncated(answer: str) -> bool:
     return True
 
 
-def defects(question: str | None, answer: str | None, context: str | None = None) -> list[str]:
+def defects(question: Question | str | None, answer: str | None) -> list[str]:
     """Every defect of a pair that a rule finds, in the order of RULES; an empty answer has that defect alone."""
     if is_empty(answer):
         return ["empty"]
+    if not isinstance(question, Question):
+        question = Question(question)
     found = ["refusal"] if is_refusal(answer) else []
-    if question and is_echo(question, answer):
-        found.append("echo")
-    if question and is_wrong_language(question, answer, context):
-        found.append("wrong_language")
+    if question.text:
+        if is_echo(question, answer):
+            found.append("echo")
+        if is_wrong_language(question, answer):
+            found.append("wrong_language")
     if is_truncated(answer):
         found.append("truncated")
     return found
@@ -353,12 +398,14 @@ def _judge_messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for rec, messages in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             before = context = None
             for pos, message in enumerate(messages or ()):
-                if message and message["role"] == "assistant" and before and before["role"] == "user":
-                    if found := defects(before["content"], message["content"], context):
+                if message and message["role"] == "assistant" and isinstance(before, Question):
+                    if found := defects(before, message["content"]):
                         out.append((rec, pos, found))
-                    if before["content"] and language_of(before["content"]):
-                        context = before["content"]
-                before = message
+                    context = before
+                if message and message["role"] == "user":
+                    before = Question(message["content"], context)
+                else:
+                    before = None
         yield _batch(out)
 
 
@@ -366,7 +413,7 @@ def _judge_choices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         out = []
         for rec, messages, choices in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            question = next((m["content"] for m in reversed(messages or ()) if m and m["role"] == "user"), None)
+            question = Question(next((m["content"] for m in reversed(messages or ()) if m and m["role"] == "user"), None))
             for pos, choice in enumerate(choices or ()):
                 if found := defects(question, choice):
                     out.append((rec, pos, found))
@@ -386,8 +433,8 @@ def broken_pairs(df: DataFrame, id_column: str, messages: str = "messages", choi
     columns = [F.col(id_column).cast("string").alias("rec_id"), F.col(messages).alias("m")]
     schema = "rec_id string, pos int, defects array<string>"
     if choices is None:
-        return df.select(*columns).mapInArrow(_judge_messages, schema)
-    return df.select(*columns, F.col(choices).alias("c")).mapInArrow(_judge_choices, schema)
+        return spread(df.select(*columns)).mapInArrow(_judge_messages, schema)
+    return spread(df.select(*columns, F.col(choices).alias("c"))).mapInArrow(_judge_choices, schema)
 
 
 def p1_pairs(spark: SparkSession, root: str) -> DataFrame:
