@@ -23,18 +23,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.runtime import broadcast_object, received, table
+from tessera.runtime import broadcast_object, received, spread, table
 
 #: Bound of the training sample: rows for each label and table, and rows altogether.
-SAMPLE_ROWS, MAX_SAMPLE = 1200, 40_000
+SAMPLE_ROWS, MAX_SAMPLE = 700, 25_000
 #: Sentences for each label that training uses at most.
-SAMPLE_SENTENCES = 2500
+SAMPLE_SENTENCES = 2000
 #: A label with a smaller share of the sample is no language to be learnt.
 LEAST_LABELLED = 10
 #: A text is judged if it has so many letters outside fences.
 LEAST_LETTERS = 40
 #: A sentence tells a language if it has so many letters (characters of a script without blanks) in so many words and this confidence.
-SENTENCE_LETTERS, SENTENCE_WIDE, SENTENCE_WORDS, CONFIDENCE = 22, 8, 4, 0.7
+SENTENCE_LETTERS, SENTENCE_WIDE, SENTENCE_WORDS, CONFIDENCE = 22, 8, 4, 0.6
+#: A sentence counts as foreign in its text only if its probability of being in the text's main language is at most this.
+DOUBT = 0.1
 
 _BUCKETS = 1 << 17
 _SCALE = 10.0
@@ -86,7 +88,7 @@ class Scorer:
             self.slot[word] = size + k
 
     def sentences(self, text: str) -> tuple[np.ndarray, ...]:
-        """Of every sentence: text number (by \\x1e), language, confidence, letters, words, wide letters."""
+        """Of every sentence: text number (by \\x1e), probabilities, letters, words, wide letters."""
         tokens = _TOKEN.findall(text.lower())
         if len(self.slot) > 400_000:  # bounds the table; names are without number
             self.slot.clear()
@@ -104,17 +106,18 @@ class Scorer:
         is_end = ids < 0
         owner, number = np.cumsum(ids == -2), np.cumsum(is_end)
         words = ~is_end
-        number, owner, rows = number[words], owner[words], self.vectors[ids[words]]
+        number, owner, ids = number[words], owner[words], ids[words]
+        rows = self.vectors[ids]
         if not len(rows):
-            return (np.zeros(0, dtype=np.int64),) * 6
+            return np.zeros(0, dtype=np.int64), np.zeros((0, len(self.languages))), *(np.zeros(0),) * 3
         starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
         summed = np.add.reduceat(rows, starts, axis=0)
         k = len(self.languages)
         logits = (summed[:, :k] / summed[:, k : k + 1] * _SCALE + self.bias) / self.temperature
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        best = p.argmax(axis=1)
-        return owner[starts], best, p[np.arange(len(p)), best], summed[:, -2], np.diff(np.r_[starts, len(rows)]), summed[:, -1]
+        changes = np.r_[True, (ids[1:] != ids[:-1]) | (number[1:] != number[:-1])]  # a word again and again is one
+        return owner[starts], p, summed[:, -2], np.add.reduceat(changes.astype(np.int64), starts), summed[:, -1]
 
 
 def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +164,7 @@ class FollowTheRegularisedLeader:
         w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
         return z, n, w
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int, epochs: int = 3, batch: int = 128) -> None:
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int, epochs: int = 3, batch: int = 256) -> None:
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
             order = rng.permutation(len(rows))
@@ -211,6 +214,12 @@ def _varied(sentences: list[list[str]], rng: np.random.Generator) -> list[list[s
 
 def _rows(sentences: list[list[str]], rng: np.random.Generator, parts: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hashed n-grams and relative frequencies of sentences and, with ``parts``, of five words of each longer one."""
+    words = list(dict.fromkeys(w for sentence in sentences for w in sentence))
+    if not words:
+        return []
+    all_keys, counts = ngrams(words)
+    ends = np.cumsum(counts)
+    of = dict(zip(words, np.split(all_keys, ends[:-1])))
     out = []
     for sentence in sentences:
         pieces = [sentence]
@@ -218,7 +227,7 @@ def _rows(sentences: list[list[str]], rng: np.random.Generator, parts: bool) ->
             at = int(rng.integers(0, len(sentence) - 5))
             pieces.append(sentence[at : at + 5])
         for piece in pieces:
-            keys, count = np.unique(ngrams(piece)[0], return_counts=True)
+            keys, count = np.unique(np.concatenate([of[w] for w in piece]), return_counts=True)
             out.append((keys, count / count.sum() * _SCALE))
     return out
 
@@ -272,7 +281,8 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Scorer:
     for k, language in enumerate(languages):
         rows = by_row[language]
         joined = "\x1e".join(". ".join(" ".join(s) for s in row) for row in rows)
-        owner, best, sure, letters, _, _ = rough.sentences(joined)
+        owner, p, letters, _, _ = rough.sentences(joined)
+        best, sure = p.argmax(axis=1), p.max(axis=1)
         own = np.bincount(owner, weights=letters * (best == k), minlength=len(rows))
         rest = np.bincount(owner, weights=letters * (best != k), minlength=len(rows))
         kept, at = [], np.searchsorted(owner, np.arange(len(rows) + 1))
@@ -317,9 +327,15 @@ def segments(scorer: Scorer, texts: list[str]) -> list[list[tuple] | None]:
     A segment: language, confidence, first sentence, number of sentences, letters, whether its language is told by
     one of its sentences, or by most letters of a text of short sentences.
     """
-    owner, best, sure, letters, words, wide = scorer.sentences("\x1e".join(t.replace("\x1e", " ") for t in texts))
+    owner, p, letters, words, wide = scorer.sentences("\x1e".join(t.replace("\x1e", " ") for t in texts))
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    full = (sure >= CONFIDENCE) & np.where(2 * wide > letters, wide >= SENTENCE_WIDE, (letters >= SENTENCE_LETTERS) & (words >= SENTENCE_WORDS))
+    best, sure = p.argmax(axis=1), p.max(axis=1)
+    # a sentence in another language than most of its text must rule that one out
+    mass = np.zeros((len(texts), p.shape[1]))
+    np.add.at(mass, owner, p * letters[:, None])
+    main = mass.argmax(axis=1)[owner]
+    alien = p[np.arange(len(p)), main] <= DOUBT
+    full = np.where(best == main, sure >= CONFIDENCE, (sure >= CONFIDENCE) & alien) & np.where(2 * wide > letters, wide >= SENTENCE_WIDE, (letters >= SENTENCE_LETTERS) & (words >= SENTENCE_WORDS))
     best, sure, letters, full = best.tolist(), sure.tolist(), letters.tolist(), full.tolist()
     names = scorer.languages
     out: list[list[tuple] | None] = []
@@ -387,7 +403,7 @@ def languages(scorer: Scorer, df: DataFrame, id_column: str, label: str, texts:
     """
     source = df.select(F.col(id_column).cast("string").alias("rec_id"), label_of(label).alias("label"), texts.alias("texts"))
     schema = "rec_id string, label string, pos int, segments array<struct<lang string, confidence double, first_sentence int, sentences int, letters int, full boolean>>"
-    return source.mapInArrow(_detector(broadcast_object(df.sparkSession, scorer)), schema)
+    return spread(source).mapInArrow(_detector(broadcast_object(df.sparkSession, scorer)), schema)
 
 
 def _all_units(spark: SparkSession, root: str) -> DataFrame:
