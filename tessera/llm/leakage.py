@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.runtime import broadcast_object, received, staged, table
+from tessera.runtime import broadcast_object, received, spread, staged, table
 
 WORDS, CHARACTERS = 12, 20
 SHINGLE_WORDS, SHINGLE_CHARACTERS = 3, 4
@@ -184,7 +184,7 @@ def leaked_items(items: DataFrame, corpus: DataFrame, item_id: str = "question_i
     by block; a text is read whole.
     """
     spark = items.sparkSession
-    texts = corpus.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("long").alias("row"), F.col(f"{messages}.content").alias("texts"))
+    texts = spread(corpus.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("long").alias("row"), F.col(f"{messages}.content").alias("texts")))
     exploded = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("item"), F.explode(turns).alias("turn")).where("turn IS NOT NULL")
     found, block = None, []
     stream = exploded.toLocalIterator()  # the query set, one block in memory at a time

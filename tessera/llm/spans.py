@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tessera.runtime import staged, table
+from tessera.runtime import spread, staged, table
 
 #: Least length of a shared span, and length of an anchor, in characters (code points).
 SPAN, ANCHOR = 200, 100
@@ -301,7 +301,7 @@ class SharedSpans:
         self.copies = staged(keyed.join(least, "key").select("doc", "rep").distinct())
         others = self.copies.where("doc <> rep").select("doc")
         # 2. anchors
-        anchors = staged(docs.mapInArrow(_find_anchors, "anchor long, doc long, pos int, many boolean").join(others, "doc", "left_anti"))
+        anchors = staged(spread(docs).mapInArrow(_find_anchors, "anchor long, doc long, pos int, many boolean").join(others, "doc", "left_anti"))
         held = anchors.groupBy("anchor").agg(F.max("doc").alias("last"), F.min(F.struct("doc", "pos")).alias("home"), F.max("many").alias("many")).where("home.doc < last")
         shared = staged(
             anchors.drop("many").join(held, "anchor").select("anchor", "doc", "pos", "many", F.col("home.doc").alias("home"), F.floor(F.col("home.pos") / SHARD_CHARS).cast("int").alias("shard"))

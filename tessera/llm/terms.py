@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.runtime import staged, table
+from tessera.runtime import spread, staged, table
 
 #: A task's counters are emitted and begun anew at this many terms, which bounds its memory.
 FLUSH_TERMS = 300_000
@@ -144,7 +144,7 @@ def _partials(df: DataFrame, column: str, field: str) -> DataFrame:
     elif kind.startswith("array<struct"):
         source = source.select(F.col("v.content").alias("v"))
     integers = kind in ("array<int>", "array<bigint>", "array<smallint>", "array<tinyint>")
-    counted = source.mapInArrow(_count_values if integers else _count_terms, "term string, occurrences long, records long")
+    counted = spread(source).mapInArrow(_count_values if integers else _count_terms, "term string, occurrences long, records long")
     return counted.select(F.lit(field).alias("field"), "term", "occurrences", "records")
 
 
