@@ -8,6 +8,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
 def boxed(text: Column) -> Column:
@@ -60,7 +61,7 @@ def tool_calls(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>\s*(.+?)\s*</tool_call>"), 1), lambda x: x)
 
 
-@F.pandas_udf("array<struct<name:string,arguments:string>>")
+@F.pandas_udf(ArrayType(StructType([StructField("name", StringType()), StructField("arguments", StringType())])))
 def parsed_tool_calls(text: pd.Series) -> pd.Series:
     """Name and arguments (JSON) of the tool calls of a text: tagged blocks, or a bare JSON object with a name."""
     out = []
@@ -86,13 +87,13 @@ def _lenient(text: str):
             return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def lenient_json(text: pd.Series) -> pd.Series:
     """JSON of a text that is JSON or a Python literal; NULL if neither."""
     return pd.Series([None if t is None or (v := _lenient(t)) is None else json.dumps(v, ensure_ascii=False, sort_keys=True, default=str) for t in text])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def sanitised_json(text: pd.Series) -> pd.Series:
     """JSON with the values of keys that end in ``_token`` (secrets) set to null, at any depth; NULL for invalid JSON."""
     def clean(v):

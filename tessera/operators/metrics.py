@@ -8,6 +8,7 @@ from math import exp, log
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 METRICS: dict[str, Callable[..., dict[str, Column]]] = {}
 
@@ -130,7 +131,7 @@ def bleu_4(said: str, wanted: str) -> float:
     return exp(min(0.0, 1 - len(wanted) / len(said)) + total)
 
 
-@F.pandas_udf("struct<rouge_1:double,rouge_2:double,rouge_l:double,bleu_4:double>")
+@F.pandas_udf(StructType([StructField(m, DoubleType()) for m in ("rouge_1", "rouge_2", "rouge_l", "bleu_4")]))
 def text_scores(said: pd.Series, wanted: pd.Series) -> pd.DataFrame:
     rows = []
     for a, b in zip(said, wanted):
