@@ -28,10 +28,10 @@ _NULL, _FIELD, _ROW = "\u0000", "\u0001", "\u0002"
 def folded(text: Column) -> Column:
     """``text`` without letter case, whitespace and punctuation, except for what stands between two digits.
 
-    Case is folded by upper and then lower case (so that 'ß' equals 'SS' and a final sigma any sigma). Between
+    Case is folded by upper and then lower case, 'ß' equals 'SS' and a final sigma any sigma. Between
     two digits a run of whitespace is one space. NULL stays NULL; a text without letters and digits becomes ''.
     """
-    plain = F.translate(F.lower(F.upper(text)), "ς", "σ")
+    plain = F.replace(F.translate(F.lower(F.upper(text)), "ς", "σ"), F.lit("ß"), F.lit("ss"))
     # Possessive runs that begin right after a letter, a digit or the start: a run is taken whole or not at all.
     plain = F.regexp_replace(plain, r"(?:(?<=\p{L})|\A)[^\p{L}\p{N}]++|(?<=\p{N})[^\p{L}\p{N}]++(?!\p{N})", "")
     plain = F.regexp_replace(plain, r"(?U)\s+", " ")

@@ -109,6 +109,8 @@ class ItemIndex:
 
     def found(self, ids: np.ndarray) -> set[int]:
         """The items with a window in the token numbers of one text sequence."""
+        if not len(self.prefix):
+            return set()
         marks = self.shingles(ids)
         at = np.searchsorted(self.prefix, marks)
         at[at == len(self.prefix)] = 0

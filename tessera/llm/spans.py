@@ -263,7 +263,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From ``doc, text, wanted`` the digests of all windows of SPAN characters that hold a wanted anchor."""
+    """From ``doc, text, wanted`` the digests of all windows of SPAN characters that hold a wanted anchor, and where they are."""
     hasher, second = Hasher(), Hasher(_FACTORS[1])
     for batch in batches:
         for doc, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -283,17 +283,24 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for k, x in enumerate((hasher, second)):
                         keys[k].append(x.windows(codes, SPAN)[here].view(np.int64))
                 one, two = (np.concatenate(k) for k in keys)
-                _, first = np.unique(np.stack([one, two]), axis=1, return_index=True)
+                order = np.lexsort((some, two, one))
+                one, two, place_ = one[order], two[order], some[order]
+                # windows of equal text that touch are one stretch: a periodic text gives one row for each phase
+                fresh = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (np.diff(place_) > SPAN)]
+                first = np.flatnonzero(fresh)
+                last = np.r_[first[1:], len(fresh)] - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one[first]), pa.array(two[first]), pa.array(np.full(len(first), doc, dtype=np.int64)), pa.array(some[first].astype(np.int32))],
-                    names=["one", "two", "doc", "start"],
+                    [pa.array(one[first]), pa.array(two[first]), pa.array(np.full(len(first), doc, dtype=np.int64)), pa.array(place_[first].astype(np.int32)), pa.array((place_[last] + SPAN).astype(np.int32))],
+                    names=["one", "two", "doc", "start", "end"],
                 )
 
 
 class SharedSpans:
     """The classes of documents that share a span, and where. All frames are staged tables."""
 
-    def __init__(self, df: DataFrame, id_column: str, text: str) -> None:
+    def __init__(self, df: DataFrame, id_column: str, text: str, exact_places: bool = False) -> None:
+        """``exact_places``: also compare by windows where several documents leave the reference at the same place, since
+        they may go on alike; for the classes that makes no difference."""
         docs = df.where(F.col(id_column).isNotNull() & (F.length(text) >= SPAN)).select(F.col(id_column).cast("long").alias("doc"), F.col(text).alias("text"))
         # 1. classes of equal texts, each represented by its smallest id
         keyed = docs.select("doc", F.unhex(F.md5("text")).alias("key"))
@@ -319,11 +326,18 @@ class SharedSpans:
             F.count(F.lit(1)).alias("others"), F.min("before").alias("before"), F.min("after").alias("after"), F.max("before").alias("widest_before"), F.max("after").alias("widest_after")
         )
         judged = judged.withColumn("clean", (F.col("before") >= 0) & (F.col("before") + F.col("after") >= SPAN))
+        if exact_places:
+            alone = []
+            for side, most in (("before", SPAN - ANCHOR), ("after", SPAN)):
+                short = F.when(F.col(side) < most, F.col(side))
+                alone.append(F.size(F.collect_set(short)) == F.count(short))  # a set of at most SPAN numbers
+            apart = reach.groupBy("anchor").agg((alone[0] & alone[1]).alias("apart"))
+            judged = judged.join(apart, "anchor").withColumn("clean", F.col("clean") & F.col("apart"))
         clean = judged.where("clean").select("anchor", "others", "widest_before", "widest_after")
         # where only two documents hold the anchor, no more needs to be known
         settled = judged.where("clean OR (others = 1 AND before >= 0)").select("anchor", F.lit(True).alias("settled"))
         unclear = shared.select("anchor", "doc").join(settled, "anchor", "left_anti").groupBy("doc").agg(F.collect_set("anchor").alias("wanted"))
-        windows = staged(docs.join(unclear, "doc").select("doc", "text", "wanted").mapInArrow(_windows, "one long, two long, doc long, start int").distinct())
+        windows = staged(docs.join(unclear, "doc").select("doc", "text", "wanted").mapInArrow(_windows, "one long, two long, doc long, start int, end int").distinct())
         alike = windows.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").select("one", "two")
         self.windows = staged(windows.join(alike, ["one", "two"]))
         place = shared.select("anchor", "doc", "pos")
@@ -358,7 +372,7 @@ class SharedSpans:
 
     def covered(self) -> DataFrame:
         """``doc, shared_chars`` of the documents that share anything; a copy shares all."""
-        spans = self.places.select("doc", "start", "end").unionByName(self.windows.select("doc", "start", (F.col("start") + SPAN).alias("end")))
+        spans = self.places.select("doc", "start", "end").unionByName(self.windows.select("doc", "start", "end"))
         order = Window.partitionBy("doc").orderBy("start", "end")
         before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
         fresh = spans.select("doc", F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, "start"))).alias("fresh"))
@@ -380,7 +394,7 @@ def shared_amount(df: DataFrame, id_column: str = "doc_id", text: str = "text")
 
     A NULL text has 0 characters and shares none; ids that are NULL give no rows.
     """
-    spans = SharedSpans(df, id_column, text)
+    spans = SharedSpans(df, id_column, text, exact_places=True)
     base = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars"))
     copied = spans.copies.select("doc", F.lit(True).alias("copied"))
     return (
