@@ -208,7 +208,7 @@ class Question:
     """A question and what the rules need of it, each found once and only if needed."""
 
     def __init__(self, text: str | None, context: Question | None = None) -> None:
-        self.text, self.context = text or "", context
+        self.text, self.context = unwrapped(text or ""), context
 
     @cached_property
     def words(self) -> list[str]:
@@ -368,10 +368,18 @@ def is_truncated(answer: str) -> bool:
     return True
 
 
+def unwrapped(text: str) -> str:
+    """A text of which nearly every blank is a line break gets blanks again; its list items keep their lines."""
+    if text.count("\n") < 6 or 5 * text.count("\n") < 4 * (len(text.split()) - 1):
+        return text
+    return re.sub(r" ([-*•]) (?=\w)", r"\n\1 ", re.sub(r"\s+", " ", text))
+
+
 def defects(question: Question | str | None, answer: str | None) -> list[str]:
     """Every defect of a pair that a rule finds, in the order of RULES; an empty answer has that defect alone."""
     if is_empty(answer):
         return ["empty"]
+    answer = unwrapped(answer)
     if not isinstance(question, Question):
         question = Question(question)
     found = ["refusal"] if is_refusal(answer) else []
