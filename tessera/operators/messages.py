@@ -104,6 +104,19 @@ def as_list(scalar_or_list: Column) -> Column:
     return F.when(scalar_or_list.isNotNull(), F.array(scalar_or_list))
 
 
+def one_at_most(**columns: Column) -> Column:
+    """A check that fails the query where two of the named columns are set together; NULL where it holds."""
+    set_ = F.lit(0)
+    for c in columns.values():
+        set_ = set_ + c.isNotNull().cast("int")
+    return F.assert_true(set_ <= 1, F.lit(f"only one of {', '.join(columns)} may be set"))
+
+
+def confident(predictions: Column, threshold: float = 0.5) -> Column:
+    """Those of ``array<struct<..., score>>`` whose score is above a threshold."""
+    return F.filter(predictions, lambda p: p["score"] > threshold)
+
+
 def printable(text: Column, limit: int = 1000, shown: int = 50) -> Column:
     """A long non-prose value cut for a log."""
     return F.when(F.length(text) >= limit, F.concat(F.lit("<<<base64:"), F.left(text, F.lit(shown)), F.lit("..>>>"))).otherwise(text)

@@ -64,6 +64,14 @@ def weighted_loss(loss: Column, weight: Column) -> dict[str, Column]:
     return {"loss": F.try_divide(F.sum(loss * weight), F.sum(weight))}
 
 
+@register_metric("preference_balance")
+def preference_balance(desirable: Column) -> dict[str, Column]:
+    """Desirable and undesirable rows, and between which weights of the former the two are balanced 1 to 1 up to 4 to 3."""
+    good, bad = F.count_if(desirable), F.count_if(~desirable)
+    good1, bad1 = F.greatest(good, F.lit(1)), F.greatest(bad, F.lit(1))
+    return {"desirable": good, "undesirable": bad, "low": F.round(bad1 / good1, 2), "high": F.round(bad1 * 1.33 / good1, 2)}
+
+
 def evaluate(df: DataFrame, metric: str, *columns: Column, by: list[str] | None = None) -> DataFrame:
     """One row (or one for each group) with the metric's values."""
     made = [c.alias(n) for n, c in METRICS[metric](*columns).items()]

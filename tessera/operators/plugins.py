@@ -38,13 +38,24 @@ def load_plugins(*modules: str) -> None:
         importlib.import_module(m)
 
 
-def by_row(function: Callable[[dict], dict | None], schema: str) -> Callable[[DataFrame], DataFrame]:
-    """A preprocessor from a function of one row; a row for which it returns None is dropped. Runs over Arrow batches."""
+def by_row(function: Callable[[dict], dict | None], schema: str, strict: bool = True) -> Callable[[DataFrame], DataFrame]:
+    """A preprocessor from a function of one row; a row for which it returns None is dropped. Runs over Arrow batches.
+
+    Where the function raises, the query fails, or without ``strict`` the row is dropped.
+    """
+
+    def tried(row: dict) -> dict | None:
+        try:
+            return function(row)
+        except Exception:
+            if strict:
+                raise
+            return None
 
     def run(df: DataFrame) -> DataFrame:
         def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [r for x in batch.to_pylist() if (r := function(x)) is not None]
+                rows = [r for x in batch.to_pylist() if (r := tried(x)) is not None]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -191,3 +191,16 @@ def pending(requests: DataFrame, cache: DataFrame, id_column: str, wanted: int,
     """Requests whose cached samples are missing or fewer than wanted."""
     done = cache.groupBy(id_column).agg(F.sum(F.size(choices)).alias("_n")).where(F.col("_n") >= wanted).select(id_column)
     return requests.join(done, id_column, "left_anti")
+
+
+def weighted_choice(options: list[tuple[object, float]], id_column: str | Column, seed: int) -> Column:
+    """One of several values for each row, at given weights, by the row's random number."""
+    total = sum(w for _, w in options)
+    x, out, upto = unit(id_column, seed), F.lit(options[-1][0]), 0.0
+    edges = []
+    for value, w in options:
+        upto += w / total
+        edges.append((value, upto))
+    for value, edge in reversed(edges[:-1]):
+        out = F.when(x < edge, F.lit(value)).otherwise(out)
+    return out

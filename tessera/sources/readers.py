@@ -127,3 +127,18 @@ def archives(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string()))], names=["archive", "name", "line_no", "line"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lines, "archive string, name string, line_no long, line string")
+
+
+def cached(spark: SparkSession, path: str, build, overwrite: bool = False) -> DataFrame:
+    """The table at a path; built by ``build()`` and written there first if it is missing or to be overwritten."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    done = hadoop.Path(path, "_SUCCESS")
+    if overwrite or not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def projected(df: DataFrame, fields: list[str]) -> DataFrame:
+    """Only those of the fields that the table has, in the order given."""
+    have = set(df.columns)
+    return df.select(*[f for f in fields if f in have])

@@ -50,3 +50,31 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     if last[0] < 0:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{base}/out/batch={last[0]}") if mode == "complete" else spark.read.parquet(f"{base}/out")
+
+
+def shuffled_batches(stream: DataFrame, id_column: str, seed: int) -> DataFrame:
+    """A stream drained in batches, each written in random order: shuffling with a buffer of one batch."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators.sampling import shuffled_order
+
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).orderBy(shuffled_order(id_column, seed)).write.mode("overwrite").parquet(f"{base}/out/{number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out/*")
+
+
+def cyclic(spark: SparkSession, df: DataFrame, id_column: str, rows_per_second: int = 100) -> DataFrame:
+    """A table repeated for ever as a stream: ticks of a rate source joined to its numbered rows."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators.sampling import numbered
+
+    total = df.count()
+    rows = numbered(df, id_column).withColumnRenamed("row_no", "_n")
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load().select((F.pmod("value", F.lit(total))).alias("_n"), F.floor(F.col("value") / total).alias("round"))
+    return ticks.join(rows, "_n").drop("_n")

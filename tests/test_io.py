@@ -124,3 +124,37 @@ def test_text_is_emitted_at_boundaries(spark, tmp_path):
         spark.createDataFrame([("k", piece)], "k string, t string").coalesce(1).write.mode("append").parquet(str(tmp_path / "t.parquet"))
     out = run.drained(O.emitted(run.table_stream(spark, str(tmp_path), "t"), "k", "t")).collect()
     assert all(r["text"].endswith((" ", "\n", "中")) for r in out)
+
+
+def test_cached_and_projected(spark, tmp_path):
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert readers.cached(spark, str(tmp_path / "c"), build).count() == 3
+    readers.cached(spark, str(tmp_path / "c"), build, overwrite=True)
+    assert len(made) == 2
+    assert readers.projected(spark.range(1).withColumn("x", F.lit(1)), ["x", "missing", "id"]).columns == ["x", "id"]
+
+
+def test_shuffled_batches_keep_every_row(spark, tmp_path):
+    for i in range(2):
+        spark.range(i * 10, i * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "t.parquet"))
+    got = run.shuffled_batches(run.table_stream(spark, str(tmp_path), "t", 1), "id", 1).collect()
+    assert sorted(r["id"] for r in got) == list(range(20)) and {r["batch"] for r in got} == {0, 1}
+
+
+def test_cyclic_source(spark):
+    stream = run.cyclic(spark, spark.range(3), "id", 50)
+    query = stream.writeStream.format("memory").queryName("cyclic").start()
+    try:
+        for _ in range(60):
+            query.processAllAvailable()
+            if spark.table("cyclic").where("round >= 1").count():
+                break
+        assert {r["id"] for r in spark.table("cyclic").collect()} == {0, 1, 2}
+    finally:
+        query.stop()

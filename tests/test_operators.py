@@ -302,3 +302,32 @@ def test_agent_formats():
 def test_weighted_sections(spark):
     parts = one(spark, agents.weighted_sections(F.lit("pre Action: x End"), {"Action:": (2.0, 3.0)}))
     assert [(p["content"], p["weight"]) for p in parts] == [("pre ", 1.0), ("Action:", 2.0), (" x End", 3.0)]
+
+
+# ---- small ones -------------------------------------------------------------------------------------------------
+def test_times(spark):
+    import datetime as dt
+
+    from tessera.functions import times
+
+    ts = F.lit(dt.datetime(2025, 1, 31, 23, 59, 58, 500_000))
+    assert one(spark, times.file_stamp(ts)) == "20250131-235958" and one(spark, times.prompt_date(ts)) == "31 Jan 2025"
+    assert [one(spark, times.short_duration(F.lit(s))) for s in (5, 65, 3600, 90_061)] == ["5s", "1m 5s", "1h 0m 0s", "1d 1h 1m 1s"]
+    assert one(spark, times.remaining(F.lit(1), F.lit(4), F.lit(10)))[:] == ("25.0%", "10s", "30s")
+
+
+def test_weighted_choice(spark):
+    rows = spark.range(4000).select(S.weighted_choice([("en", 0.8), ("zh", 0.2)], "id", 3).alias("l")).groupBy("l").count().collect()
+    counts = {r["l"]: r["count"] for r in rows}
+    assert 3000 < counts["en"] < 3400 and counts["en"] + counts["zh"] == 4000
+
+
+def test_checks(spark):
+    assert one(spark, M.one_at_most(a=F.lit(1), b=F.lit(None))) is None
+    with pytest.raises(Exception, match="only one of a, b"):
+        one(spark, M.one_at_most(a=F.lit(1), b=F.lit(2)))
+    df = spark.createDataFrame([([Row(label="x", score=0.5), Row(label="y", score=0.6)],)], "p array<struct<label:string,score:double>>")
+    assert [p["label"] for p in df.select(M.confident(F.col("p"))).first()[0]] == ["y"]
+    balance = metrics.evaluate(spark.createDataFrame([(True,), (False,), (False,)], "d boolean"), "preference_balance", F.col("d")).first()
+    assert (balance["desirable"], balance["undesirable"], balance["low"]) == (1, 2, 2.0)
+    assert plugins.by_row(lambda r: {"n": 1 // r["id"]}, "n long", strict=False)(spark.range(3)).count() == 2
