@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tessera.operators.series import running
+
 METRICS: dict[str, Callable[..., dict[str, Column]]] = {}
 
 
@@ -81,14 +83,12 @@ def evaluate(df: DataFrame, metric: str, *columns: Column, by: list[str] | None
 def correlations(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     """Pearson's and Spearman's correlation and their mean, by key; ranks of equal values are averaged.
 
-    Ranks come from the sorted distinct values with their counts, not from all rows of a group in one task.
+    Ranks come from running sums over the counts of distinct values, range by range: no group is sorted in one task.
     """
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_key", F.struct(*keys) if keys else F.lit(0))
     for c, r in ((x, "_rx"), (y, "_ry")):
-        order = Window.partitionBy(*keys).orderBy(c)
-        counts = rows.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_n"))
-        before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rows = rows.join(counts.select(*keys, c, (before + (F.col("_n") + 1) / 2).alias(r)), [*keys, c])
+        counts = running(rows.groupBy("_key", c).agg(F.count(F.lit(1)).alias("_n")), "_key", c, "_n", "sum", before=True, name="_before")
+        rows = rows.join(counts.select("_key", c, (F.col("_before") + (F.col("_n") + 1) / 2).alias(r)), ["_key", c])
     return rows.groupBy(*keys).agg(F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman")).withColumn("mean", (F.col("pearson") + F.col("spearman")) / 2)
 
 

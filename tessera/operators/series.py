@@ -6,6 +6,9 @@ to the next ones over one row a range; then the rows of a range get their values
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.runtime import staged
@@ -28,30 +31,45 @@ def running(df: DataFrame, key: str, order: str, value: str, kind: str = "max",
 
 
 def smoothed(df: DataFrame, key: str, order: str, value: str, smooth: float = 0.9, name: str = "smoothed") -> DataFrame:
-    """Adds the debiased exponential average: x = x * smooth + v, divided by the sum of its weights. NULL values are left out."""
-    ranged = _ranged(df.where(F.col(value).isNotNull()), key, order)
-    place = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order))
-    ranged = ranged.withColumn("_i", place)
-    # within a range: sum of v * smooth^(i - j) over blocks that are short enough not to underflow
-    block = 64
-    blocked = ranged.withColumns({"_b": F.floor((F.col("_i") - 1) / block), "_r": F.pmod(F.col("_i") - 1, F.lit(block))})
-    scaled = F.sum(F.col(value) * F.pow(F.lit(1 / smooth), F.col("_r"))).over(Window.partitionBy(key, "_part", "_b").orderBy("_i")) * F.pow(F.lit(smooth), F.col("_r"))
-    local = staged(blocked.withColumn("_x", scaled))
-    ends = local.groupBy(key, "_part", "_b").agg(F.max_by("_x", "_r").alias("_end"), F.count(F.lit(1)).alias("_n"))
-    chain = ends.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_part", "_b", "_end", "_n"))).alias("s"))  # one element for 64 rows
-    step = F.aggregate(
+    """Adds the debiased exponential average: x = x * smooth + v, divided by the sum of its weights. NULL values are left out.
+
+    Each range of rows is folded on its own, beginning at 0; what a range ends with is carried to the next ones over one
+    element for each range, and added to its rows with the weight that is left of it there.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    ranged = rows.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(key, order)
+    names = [*rows.columns, "_part"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema), "_x double", "_i long"])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, x, i = None, 0.0, 0
+        for pdf in batches:
+            keys, values = pdf[key].tolist(), pdf[value].astype(float).tolist()
+            xs, places = [], []
+            for k, v in zip(keys, values):
+                if k != held or i == 0:
+                    held, x, i = k, 0.0, 0
+                x = x * smooth + v
+                i += 1
+                xs.append(x)
+                places.append(i)
+            yield pdf[names].assign(_x=xs, _i=places)
+
+    local = staged(ranged.mapInPandas(fold, schema))
+    ends = local.groupBy(key, "_part").agg(F.max_by("_x", "_i").alias("_end"), F.max("_i").alias("_n"))
+    chain = ends.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_part", "_end", "_n"))).alias("s"))  # one element a range
+    carried = F.aggregate(
         "s",
-        F.struct(F.lit(0.0).alias("x"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<_part:int,_b:bigint,_carry:double,_before:bigint>>").alias("out")),
+        F.struct(F.lit(0.0).alias("x"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<_part:int,_carry:double,_before:bigint>>").alias("out")),
         lambda a, e: F.struct(
-            (a["x"] * F.pow(F.lit(smooth), e["_n"]) + e["_end"]).alias("x"), (a["n"] + e["_n"]).alias("n"),
-            F.concat(a["out"], F.array(F.struct(e["_part"].alias("_part"), e["_b"].alias("_b"), a["x"].alias("_carry"), a["n"].alias("_before")))).alias("out"),
+            (a["x"] * F.pow(F.lit(smooth), e["_n"]) + e["_end"]).alias("x"), (a["n"] + e["_n"]).alias("n"), F.concat(a["out"], F.array(F.struct(e["_part"].alias("_part"), a["x"].alias("_carry"), a["n"].alias("_before")))).alias("out"),
         ),
         lambda a: a["out"],
     )
-    carried = chain.select(key, F.explode(step).alias("c")).select(key, "c._part", "c._b", "c._carry", "c._before")
-    weight = (1 - F.pow(F.lit(smooth), F.col("_before") + F.col("_r") + 1)) / (1 - smooth)
-    value_ = (F.col("_x") + F.col("_carry") * F.pow(F.lit(smooth), F.col("_r") + 1)) / weight
-    return local.join(carried, [key, "_part", "_b"]).withColumn(name, value_).drop("_part", "_i", "_b", "_r", "_x", "_carry", "_before")
+    starts = chain.select(key, F.explode(carried).alias("c")).select(key, "c._part", "c._carry", "c._before")
+    weight = (1 - F.pow(F.lit(smooth), F.col("_before") + F.col("_i"))) / (1 - smooth)
+    value_ = (F.col("_x") + F.col("_carry") * F.pow(F.lit(smooth), F.col("_i"))) / weight
+    return local.join(starts, [key, "_part"]).withColumn(name, value_).drop("_part", "_i", "_x", "_carry", "_before")
 
 
 def spikes(df: DataFrame, key: str, order: str, value: str, factor: float = 10.0) -> DataFrame:
