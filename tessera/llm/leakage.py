@@ -50,15 +50,21 @@ def chinese_tokens(text: str) -> list[list[str]]:
     return [list(run) for run in runs if len(run) >= CHARACTERS]
 
 
-#: kind: (tokens of a text, window, shingle)
-KINDS = {"words": (word_tokens, WORDS, SHINGLE_WORDS), "chinese": (chinese_tokens, CHARACTERS, SHINGLE_CHARACTERS)}
+#: What stands between the texts of a batch; no text holds it (it is replaced there) and no item knows it.
+_BREAK = "\x1e"
+#: kind: (tokens of an item, window, shingle, tokens of a batch). In a batch a token that no item knows ends a run: in
+#: Chinese text a word of another script is such a token.
+KINDS = {
+    "words": (word_tokens, WORDS, SHINGLE_WORDS, re.compile(rf"[^\W_]+|{_BREAK}")),
+    "chinese": (chinese_tokens, CHARACTERS, SHINGLE_CHARACTERS, re.compile(rf"[{HAN}\d]|[^\W\d_{HAN}]+|{_BREAK}")),
+}
 
 
 class ItemIndex:
     """The windows of a block of items: token numbers, shingles, and from prefix shingles to windows."""
 
     def __init__(self, kind: str, items: list[tuple[int, str]]) -> None:
-        tokens, self.window, self.width = KINDS[kind]
+        tokens, self.window, self.width, _ = KINDS[kind]
         self.kind, self.vocabulary = kind, {}
         sequences = [(item, seq) for item, text in items if text for seq in tokens(text) if len(seq) >= self.window]
         for _, seq in sequences:
@@ -107,31 +113,62 @@ class ItemIndex:
         self.starts = np.r_[self.starts, len(chosen)]
         self.offsets = offset
 
-    def found(self, ids: np.ndarray) -> set[int]:
-        """The items with a window in the token numbers of one text sequence."""
-        if not len(self.prefix):
-            return set()
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token numbers of all texts one after the other, and where each text ends (at a break)."""
+        tokens = KINDS[self.kind][3].findall(_BREAK.join([*texts, ""]))
+        known = self.vocabulary.get
+        ids = np.fromiter((known(t, -1) for t in tokens), dtype=np.int64, count=len(tokens))
+        unknown = np.flatnonzero(ids < 0)
+        return ids, unknown[[tokens[i] == _BREAK for i in unknown.tolist()]] if len(unknown) else unknown
+
+    def found(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of texts and the items with a window in them, each pair once."""
+        none = np.zeros(0, dtype=np.int64)
+        if not len(self.prefix) or not texts:
+            return none, none
+        ids, ends = self.numbers(texts)
         marks = self.shingles(ids)
         at = np.searchsorted(self.prefix, marks)
         at[at == len(self.prefix)] = 0
         hits = np.flatnonzero(self.prefix[at] == marks)
-        out: set[int] = set()
-        for p in hits.tolist():
-            group = self.by_prefix[self.starts[at[p]] : self.starts[at[p] + 1]]
-            begin = p - self.offsets[group]
-            fits = (begin >= 0) & (begin + self.window <= len(ids))  # bounds by position and length
-            group, begin = group[fits], begin[fits]
-            if len(group):
-                equal = (ids[begin[:, None] + np.arange(self.window)] == self.windows[group]).all(axis=1)
-                out.update(self.owners[group[equal]].tolist())
-        return out
-
-
-def _sequences(index: ItemIndex, text: str) -> Iterator[np.ndarray]:
-    known = index.vocabulary.get
-    for seq in KINDS[index.kind][0](text):
-        if len(seq) >= index.window:
-            yield np.array([known(t, -1) for t in seq], dtype=np.int64)
+        counts = self.starts[at[hits] + 1] - self.starts[at[hits]]
+        if not len(hits):
+            return none, none
+        # every window that begins with a hit's shingle at its place
+        first = np.repeat(self.starts[at[hits]] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+        group = self.by_prefix[first]
+        begin = np.repeat(hits, counts) - self.offsets[group]
+        fits = (begin >= 0) & (begin + self.window <= len(ids))  # bounds by position and length
+        group, begin = group[fits], begin[fits]
+        for k in range(self.window):  # verified token by token; a window that crosses a break fails at it
+            if not len(group):
+                break
+            equal = ids[begin + k] == self.windows[group, k]
+            group, begin = group[equal], begin[equal]
+        pairs = np.unique(np.stack([np.searchsorted(ends, begin), self.owners[group]]), axis=1)
+        return pairs[0], pairs[1]
+
+
+def _texts(index: ItemIndex, texts: list[str]) -> list[int]:
+    """Which texts can hold a window of an index at all."""
+    if index.kind == "words":
+        return list(range(len(texts)))
+    return [k for k, t in enumerate(texts) if not t.isascii() and _HAN.search(t)]
+
+
+def _slabs(column: pa.Array) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts of a batch, folded, in groups of bounded size, and the row of each."""
+    rows, texts, size = [], [], 0
+    for row, own in enumerate(column.to_pylist()):
+        for text in own or ():
+            if text:
+                rows.append(row)
+                texts.append(text.casefold().replace(_BREAK, " "))
+                size += len(text)
+        if size > 500_000:
+            yield rows, texts
+            rows, texts, size = [], [], 0
+    yield rows, texts
 
 
 def _counter(shared):
@@ -139,17 +176,13 @@ def _counter(shared):
         indexes = received(shared)
         totals = [np.zeros(len(i.keys), dtype=np.int64) for i in indexes]
         for batch in batches:
-            for texts in batch.column(1).to_pylist():
-                for text in texts or ():
-                    if not text:
-                        continue
-                    for index, total in zip(indexes, totals):
-                        for ids in _sequences(index, text):
-                            marks = index.shingles(ids)
-                            at = np.searchsorted(index.keys, marks)
-                            at[at == len(index.keys)] = 0
-                            if len(index.keys):
-                                np.add.at(total, at[index.keys[at] == marks], 1)
+            for _, texts in _slabs(batch.column(1)):
+                for index, total in zip(indexes, totals):
+                    if len(index.keys) and (which := _texts(index, texts)):
+                        marks = index.shingles(index.numbers([texts[k] for k in which])[0])
+                        at = np.searchsorted(index.keys, marks)
+                        at[at == len(index.keys)] = 0
+                        total += np.bincount(at[index.keys[at] == marks], minlength=len(total))
         for k, total in enumerate(totals):
             held = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), k), pa.int32()), pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], names=["k", "shingle", "n"])
@@ -161,17 +194,15 @@ def _finder(shared):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes = received(shared)
         for batch in batches:
-            items, rows = [], []
-            for row, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                leaked: set[int] = set()
-                for text in texts or ():
-                    if text:
-                        for index in indexes:
-                            for ids in _sequences(index, text):
-                                leaked |= index.found(ids)
-                items += sorted(leaked)
-                rows += [row] * len(leaked)
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(rows, pa.int64())], names=["item", "row"])
+            ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
+            for rows, texts in _slabs(batch.column(1)):
+                found = set()
+                for index in indexes:
+                    which = _texts(index, texts)
+                    number, items = index.found([texts[k] for k in which])
+                    found |= {(int(i), int(ids[rows[which[n]]])) for n, i in zip(number, items)}
+                pairs = sorted(found)
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["item", "row"])
 
     return find
 
