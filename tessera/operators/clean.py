@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import text as T
 from tessera.operators import dedup
+from tessera.runtime import spread
 
 # Bounds of the filters.
 RESPONSE_MIN = 10
@@ -58,7 +59,7 @@ def ngram_repetition(df: DataFrame, id_column: str, text: Column, n: int = NGRAM
 
     Counted by one shuffle on (id, n-gram) after partial counts, so that texts of any length fit.
     """
-    grams = df.select(F.col(id_column).alias("id"), F.explode(T.word_ngrams(text, n)).alias("gram"))
+    grams = spread(df.select(F.col(id_column).alias("id"), text.alias("text"))).select("id", F.explode(T.word_ngrams(F.col("text"), n)).alias("gram"))
     counts = grams.groupBy("id", "gram").count()
     tops = counts.groupBy("id").agg(F.sum("count").alias("n_grams"), F.max("count").alias("top_count"))
     return tops.select("id", (F.col("n_grams") + (n - 1)).alias("n_words"), "n_grams", "top_count", (F.col("top_count") / F.col("n_grams")).alias("share"))
@@ -72,7 +73,7 @@ def clean(df: DataFrame, id_column: str, threshold: float = dedup.THRESHOLD) ->
     """
     whole = F.concat(F.coalesce("prompt", F.lit("")), F.lit(" "), F.coalesce("response", F.lit("")))
     clusters = dedup.near_duplicate_clusters(df, id_column, whole, threshold)
-    rows = df.select(F.col(id_column).cast("long").alias("id"), "prompt", "response")
+    rows = spread(df.select(F.col(id_column).cast("long").alias("id"), "prompt", "response"))
     judged = rows.join(clusters, "id").select(
         "id",
         F.when(F.col("cluster") != F.col("id"), "near_duplicate")

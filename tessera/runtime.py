@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import pickle
+import shutil
 import tempfile
 import uuid
 
@@ -29,6 +31,33 @@ def shared_dir(spark: SparkSession) -> str:
     return chosen.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder of this session in the shared one; ``clear`` removes it."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what this session's operators wrote to the shared folder. Frames that read it can't be used any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = hadoop.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@atexit.register
+def _leave() -> None:
+    """At the end of the program, what lies in a file system of this machine."""
+    for path in _written:
+        if path.startswith(("file:", "/")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -36,7 +65,7 @@ def staged(df: DataFrame) -> DataFrame:
     later scans of it prune columns and know its true size.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = scratch(spark, "stage")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

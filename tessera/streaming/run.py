@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.runtime import shared_dir
+from tessera.runtime import scratch
 
 
 def table_stream(spark: SparkSession, root: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -31,7 +29,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     batch overwrites itself; complete: the last batch is the result.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     schema = stream.schema
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/log").trigger(availableNow=True)
     last = [-1]
@@ -59,7 +57,7 @@ def shuffled_batches(stream: DataFrame, id_column: str, seed: int) -> DataFrame:
     from tessera.operators.sampling import shuffled_order
 
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).orderBy(shuffled_order(id_column, seed)).write.mode("overwrite").parquet(f"{base}/out/{number}")
