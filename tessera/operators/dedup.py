@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import text as T
 from tessera.runtime import spread, staged
@@ -73,12 +73,11 @@ def estimated_jaccard(a: Column, b: Column) -> Column:
 
 
 class NearDuplicates:
-    """Signatures, candidates and clusters of one table."""
+    """Signatures, links and clusters of one table."""
 
     def __init__(self, df: DataFrame, id_column: str, text: Column, threshold: float = THRESHOLD) -> None:
-        signed = minhash_signatures(df, id_column, text).withColumn("key", F.md5(F.array_join("signature", ",")))
-        self.signed = staged(signed)
-        first = Window.partitionBy("key")
+        self.threshold = threshold
+        self.signed = staged(minhash_signatures(df, id_column, text).withColumn("key", F.md5(F.array_join("signature", ","))))
         # membership by a join on the partially aggregated minimum, not by a window: a key may hold a third of all rows
         least = self.signed.groupBy("key").agg(F.min("id").alias("rep"))
         self.members = staged(self.signed.select("id", "key").join(least, "key").select("id", "rep"))
@@ -88,16 +87,35 @@ class NearDuplicates:
             "id",
             F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.md5(F.array_join(F.slice("signature", b * ROWS + 1, ROWS), ",")))).alias("band", "bucket"),
         )
-        other = bands.select("band", "bucket", F.col("id").alias("lo"))
-        candidates = bands.withColumnRenamed("id", "hi").join(other, ["band", "bucket"]).where("lo < hi").select("lo", "hi").distinct()
+        self.bands = staged(bands)
+
+    def _verified(self, candidates: DataFrame) -> DataFrame:
         left = self.distinct.select(F.col("id").alias("lo"), F.col("signature").alias("a"))
         right = self.distinct.select(F.col("id").alias("hi"), F.col("signature").alias("b"))
-        scored = candidates.join(left, "lo").join(right, "hi").select("lo", "hi", estimated_jaccard(F.col("a"), F.col("b")).alias("similarity"))
-        self.pairs = staged(scored.where(F.col("similarity") >= threshold))
+        scored = candidates.distinct().join(left, "lo").join(right, "hi").select("lo", "hi", estimated_jaccard(F.col("a"), F.col("b")).alias("similarity"))
+        return scored.where(F.col("similarity") >= self.threshold)
+
+    def pairs(self) -> DataFrame:
+        """``lo, hi, similarity``: every verified pair of distinct signatures that share a bucket."""
+        other = self.bands.select("band", "bucket", F.col("id").alias("lo"))
+        return self._verified(self.bands.withColumnRenamed("id", "hi").join(other, ["band", "bucket"]).where("lo < hi").select("lo", "hi"))
+
+    def links(self) -> DataFrame:
+        """``lo, hi``: verified pairs that connect whatever ``pairs`` connects, without making all pairs of a bucket.
+
+        Every member of a bucket is compared with the bucket's first. Those alike are connected by it and needn't be
+        compared with each other; only the others, few as a rule, are compared with the whole bucket.
+        """
+        leaders = self.bands.groupBy("band", "bucket").agg(F.min("id").alias("lo"), F.max("id").alias("last")).where("lo < last").drop("last")
+        seated = staged(self.bands.withColumnRenamed("id", "hi").join(leaders, ["band", "bucket"]).where("lo < hi"))
+        alike = staged(self._verified(seated.select("lo", "hi")).select("lo", "hi"))
+        apart = seated.join(alike, ["lo", "hi"], "left_anti").select("band", "bucket", F.col("hi").alias("x"))
+        rest = apart.join(self.bands, ["band", "bucket"]).where("x <> id").select(F.least("x", "id").alias("lo"), F.greatest("x", "id").alias("hi"))
+        return alike.unionByName(self._verified(rest).select("lo", "hi"))
 
     def clusters(self) -> DataFrame:
         """``id, cluster``: the smallest id of each row's cluster."""
-        roots = connected_components(self.pairs, "lo", "hi")
+        roots = connected_components(self.links(), "lo", "hi")
         return self.members.join(roots, self.members["rep"] == roots["id"], "left").select(self.members["id"], F.coalesce("component", "rep").alias("cluster"))
 
 

@@ -164,8 +164,6 @@ def best_of_n(df: DataFrame, id_column: str, choices: str, orm: str, prm: str, k
     out. Equal scores: the later place ranks higher.
     """
     from tessera.functions.arrays import min_max
-    from tessera.functions.text import let
-
     n = F.size(choices)
     ones = F.array_repeat(F.lit(1.0), n)
     rows = df.where(F.col(choices).isNotNull()).select(F.col(id_column).alias("id"), F.col(choices).alias("c"), F.coalesce(orm, ones).alias("o"), F.coalesce(prm, ones).alias("p"), F.col(orm).isNotNull().alias("ho"), F.col(prm).isNotNull().alias("hp"))

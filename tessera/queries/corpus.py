@@ -202,12 +202,6 @@ def minhash_signature(spark: SparkSession, root: str) -> DataFrame:
     return s.select("id", at(1).alias("first"), at(64).alias("middle"), at(128).alias("last"), F.aggregate("signature", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query(_near_sql(_DOC_SOURCE) + " SELECT lo, hi, round(similarity, 9) AS similarity FROM pairs")
-def near_dup_pairs(spark: SparkSession, root: str) -> DataFrame:
-    """Verified pairs of near-duplicate documents, between the first documents of each signature."""
-    return D.NearDuplicates(table(spark, root, "documents"), "doc_id", F.col("text")).pairs.select("lo", "hi", F.round("similarity", 9).alias("similarity"))
-
-
 @query(_near_sql(_DOC_SOURCE) + " SELECT id AS doc_id, cluster FROM clusters")
 def near_dup_clusters(spark: SparkSession, root: str) -> DataFrame:
     """The near-duplicate cluster of every document."""
@@ -221,6 +215,15 @@ def near_dup_survivors(spark: SparkSession, root: str) -> DataFrame:
 
 
 _CLEAN_SOURCE = f"SELECT sample_id AS id, coalesce(prompt, '') || ' ' || coalesce(response, '') AS whole FROM ({PAIRS_SQL})"
+
+
+@query(_near_sql(_CLEAN_SOURCE) + " SELECT lo, hi, round(similarity, 9) AS similarity FROM pairs")
+def near_dup_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Verified pairs of near-duplicate prompts and responses, between the first ones of each signature."""
+    whole = F.concat(F.coalesce("prompt", F.lit("")), F.lit(" "), F.coalesce("response", F.lit("")))
+    return D.NearDuplicates(_pairs(spark, root), "sample_id", whole).pairs().select("lo", "hi", F.round("similarity", 9).alias("similarity"))
+
+
 _CLEAN_SQL = (
     _near_sql(_CLEAN_SOURCE)
     + f""",

@@ -79,12 +79,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def drop_clashing(df: DataFrame, names: list[str]) -> DataFrame:
-    """``df`` without the columns an operator is going to add."""
-    wanted = {n.lower() for n in names}
-    return df.drop(*[c for c in df.columns if c.lower() in wanted])
-
-
 def broadcast_object(spark: SparkSession, value: object) -> Broadcast:
     """Broadcast ``value`` with its classes, which the executors may lack; read it with ``received``."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

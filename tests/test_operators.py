@@ -27,6 +27,22 @@ def test_near_duplicates_chain_and_short_texts(spark):
     assert again == got
 
 
+def test_links_connect_what_pairs_connect(spark):
+    """Texts that drift step by step: neighbours are alike, the ends are not."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(40):
+        if i % 10 == 0:
+            rng.shuffle(words)
+        for _ in range(2):
+            words[rng.randrange(300)] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    near = dedup.NearDuplicates(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t"))
+    components = lambda d: {(r["id"], r["component"]) for r in dedup.connected_components(d, "lo", "hi").collect()}
+    assert components(near.links()) == components(near.pairs()) and near.pairs().count() > near.links().count() > 0
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert dedup.near_duplicate_clusters(spark.createDataFrame([], "id long, t string"), "id", F.col("t")).count() == 0
 
