@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tessera.llm.packing import sized_documents
 from tessera.runtime import staged, table
 
-#: Tokens that are left to the knapsack, in multiples of the longest of the shorter half of lengths; and its bound.
+#: Tokens of a budget that are left to the knapsack; it never fits more than four times as many.
 KNAPSACK_TOKENS = 60_000
 BUCKET_ROWS = 200_000
 SEED = 11

@@ -14,7 +14,6 @@ packed like any other item.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
