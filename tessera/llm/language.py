@@ -49,8 +49,14 @@ _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _ENDS = frozenset(".!?。！？\n\x1e")
 
 
-#: Lines of program code that lost their fence are no sentences of any language.
-_CODE = re.compile(r"(?m)^[ \t]*(?:def |class \w+.*:|return\b|import |print\(|(?:for|if|while|elif|with) .*:[ \t]*$|else:|[\w.\[\]]+ ?[-+*/|]?= |.*\w_\w+ ?[(=*+].*$|.*\w\(\w*_\w+).*$|\w+(?:_\w+)+")
+#: Lines that program code without a fence may have made; what of them is prose is kept, see ``_prose``.
+_CODE = re.compile(r"(?m)^[ \t]*(?:def |class \w+.*:|return\b|import |print\(|(?:for|if|while|elif|with) .*:[ \t]*$|else:|[\w.\[\]]+ ?[-+*/|]?= |.*\w_\w+ ?[(=*+]|.*\w\(\w*_\w+).*$")
+#: A name of program code, with what it is called with if that is single words.
+_NAME = re.compile(r"(?a:\b(?:\w+\.)*\w*[^\W_]_+\w+|\bself(?:\.\w+)+)(?:\(\s*[^\s(),]*(?:,\s*[^\s(),]+)*\s*\))?")
+_PIECE = re.compile(r".+?(?:[.!?](?=\s|$)|[。！？]|$)")
+_MARK = re.compile(r"_|[\w\])][(\[]|[=<>{}]|\w\.\w")
+_WORD = re.compile(r"[(\[\"'“”«»„¿¡—-]*[^\W\d_]+(?:['’-][^\W\d_]+)*[)\]\"'“”«»,;:.!?…—-]*")
+_WIDE_LETTER = re.compile(f"[{_WIDE}]")
 
 
 def outside_fences(text: str) -> str:
@@ -58,9 +64,44 @@ def outside_fences(text: str) -> str:
     return _FENCE.sub("\n\n", text) if "```" in text else text
 
 
+def _letters(text: str) -> int:
+    return sum(len(t) for t in _TOKEN.findall(text.lower()) if t not in _ENDS)
+
+
+def _runs(words: list[str], worth: list[float]) -> list[str]:
+    """The stretches worth at least SENTENCE_WORDS, in order: the best one and those on both sides of it."""
+    best, begin, end, total, start = 0.0, 0, 0, 0.0, 0
+    for k, w in enumerate(worth):
+        if total <= 0:
+            total, start = 0.0, k
+        total += w
+        if total > best:
+            best, begin, end = total, start, k + 1
+    if best < SENTENCE_WORDS:
+        return []
+    return [*_runs(words[:begin], worth[:begin]), " ".join(words[begin:end]), *_runs(words[end:], worth[end:])]
+
+
+def _prose_of_line(line: re.Match) -> str:
+    out = []
+    for piece in _PIECE.findall(line[0]):
+        words = _NAME.sub(" ", piece).split()
+        if not _MARK.search(piece) and (out or len(words) >= SENTENCE_WORDS or len(_WIDE_LETTER.findall(piece)) >= SENTENCE_WIDE):
+            out.append(piece)
+            continue
+        worth = [wide / 2 if (wide := len(_WIDE_LETTER.findall(w))) else 1 if _WORD.fullmatch(w) else 0 if w.strip(",.;:").isdigit() else -2 for w in words]
+        out += ["\n\n", *(run + "\n\n" for run in _runs(words, worth))]
+    return "".join(out)
+
+
 def _prose(text: str) -> str:
+    """``text`` outside fences without program code that lost its fence.
+
+    Names of code are taken out of their sentences. Of a line that looks like code, sentences free of its marks stay
+    as they are, and of the others every stretch that is mostly words, at least SENTENCE_WORDS of them.
+    """
     text = outside_fences(text)
-    return _CODE.sub("\n\n", text) if "_" in text or "self." in text else text
+    return _NAME.sub(" ", _CODE.sub(_prose_of_line, text)) if "_" in text or "self." in text else text
 
 
 class Scorer:
@@ -321,9 +362,10 @@ def training_sample(*sources: tuple[DataFrame, str, str, F.Column]) -> list[tupl
 _SEGMENT = pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("first_sentence", pa.int32()), ("sentences", pa.int32()), ("letters", pa.int32()), ("full", pa.bool_())])
 
 
-def segments(scorer: Scorer, texts: list[str]) -> list[list[tuple] | None]:
+def segments(scorer: Scorer, texts: list[str], judged: list[bool] | None = None) -> list[list[tuple] | None]:
     """For each text its segments, or None where it has too few letters to be judged.
 
+    ``judged`` names the texts that had enough letters before code was taken out: of these a full sentence is enough.
     A segment: language, confidence, first sentence, number of sentences, letters, whether its language is told by
     one of its sentences, or by most letters of a text of short sentences.
     """
@@ -341,10 +383,10 @@ def segments(scorer: Scorer, texts: list[str]) -> list[list[tuple] | None]:
     out: list[list[tuple] | None] = []
     for k in range(len(texts)):
         a, b = bounds[k], bounds[k + 1]
-        if sum(letters[a:b]) < LEAST_LETTERS:
+        telling = [i for i in range(a, b) if full[i]]
+        if sum(letters[a:b]) < LEAST_LETTERS and not (judged and judged[k] and telling):
             out.append(None)
             continue
-        telling = [i for i in range(a, b) if full[i]]
         if not telling:  # no sentence tells: all of them together, by letters
             votes: dict[int, float] = {}
             for i in range(a, b):
@@ -378,11 +420,17 @@ def _detector(shared):
                     if text and len(text) >= LEAST_LETTERS:
                         row.append(r)
                         pos.append(p)
-                        texts.append(_prose(text))
+                        texts.append(text)
                         size += len(text)
                 if size > 500_000 or r == last:  # bounds the working memory
                     if texts:
-                        found = segments(scorer, texts)
+                        outside = [outside_fences(t) for t in texts]
+                        prose = [_prose(t) for t in texts]
+                        judged = [x != t and _letters(t) >= LEAST_LETTERS for x, t in zip(prose, outside)]
+                        found = segments(scorer, prose, judged)
+                        if bare := [k for k, f in enumerate(found) if f is None and judged[k]]:  # code alone: its best guess, no full sentence
+                            for k, f in zip(bare, segments(scorer, [outside[k] for k in bare])):
+                                found[k] = [(*s[:5], False) for s in f]
                         kept = [k for k, f in enumerate(found) if f is not None]
                         at = pa.array([row[k] for k in kept], pa.int64())
                         made = pa.array([[dict(zip(("lang", "confidence", "first_sentence", "sentences", "letters", "full"), s)) for s in found[k]] for k in kept], pa.list_(_SEGMENT))

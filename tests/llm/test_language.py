@@ -37,6 +37,20 @@ def test_what_tells_no_language(scorer):
     assert languages(scorer, f"{EN} Jaslisto Jaslisto Jaslisto Jaslisto Jaslisto Jaslisto.") == [("en", 0)]
 
 
+def test_prose_on_a_line_with_code(spark, scorer):
+    code = "        for i, hali_bridge in enumerate(zelam_harbour):\n            nuel_mill.setdefault(hali_bridge[:44], []).append(i + 2829)"
+    assert languages(scorer, f"        return self.h {EN} {DE} dow in enumerate(nuel_bridge):\n{code}") == [("en", 0), ("de", 1)]
+    assert languages(scorer, f"phene_harbour = {DE} ellar(hali_bridge, zelam_harbour=90):") == [("de", 0)]
+    assert languages(scorer, f"{code}\n{FR[:-1]} zeb_tunnel(i).\n{ZH} ko_dam = 5") == [("fr", 0), ("zh", 1)]
+    assert L._prose(code).strip() == "" and languages(scorer, code) is None
+    assert L._prose(f"x_1\nreturn to the village on the next morning, {EN}").endswith(f"\nreturn to the village on the next morning, {EN}")
+    text = "a_b(1)\nDie Leute aus der Stadt warten."  # under 40 letters without the code, and over with it
+    rows = [(1, f"{text}\nhali_bridge(zelam_harbour)", None), (2, text, None), (3, code, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["rec_id"]: [(s["lang"], s["full"]) for s in r["segments"]] for r in L.languages(scorer, df, "doc_id", "lang", F.array("text")).collect()}
+    assert set(got) == {"1", "3"} and got["1"] == [("de", True)] and not any(full for _, full in got["3"])
+
+
 def test_held_out_accuracy(spark, scorer):
     """On rows the sample didn't take: rows whose label the classifier doubts are the mislabelled ones, few."""
     rows = spark.read.parquet("/root/testdata/sf0.1/questions.parquet").select(F.explode("turns").alias("t"), L.label_of("lang").alias("l")).where("l IS NOT NULL AND t IS NOT NULL").collect()
