@@ -5,7 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _pack_shard(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -25,12 +25,16 @@ def _pack_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(bin=[f"{shard}-{b}" for b in bins])[["id", "length", "bin"]]
 
 
-def pack_rows(df: DataFrame, id_column: str, length: str, capacity: int, shards: int | None = None, rows_per_shard: int = 20_000) -> DataFrame:
+def pack_rows(df: DataFrame, id_column: str, length: str | Column, capacity: int, shards: int | None = None, rows_per_shard: int = 20_000, overlong: bool = False) -> DataFrame:
     """``id, length, bin``: rows put into bins of at most ``capacity``, best-fit decreasing within shards of bounded size.
 
-    Rows longer than the capacity, and rows without a length, are dropped.
+    Rows longer than the capacity are dropped, or with ``overlong`` have a bin each of their own. Rows without a length
+    (NULL or 0) are dropped.
     """
-    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(length).cast("long").alias("length")).where(F.col("length").between(1, capacity))
+    size = F.col(length) if isinstance(length, str) else length
+    rows = df.select(F.col(id_column).cast("long").alias("id"), size.cast("long").alias("length")).where(F.col("length") >= 1)
+    if not overlong:
+        rows = rows.where(F.col("length") <= capacity)
     n = shards or max(1, -(-rows.count() // rows_per_shard))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("capacity", F.lit(capacity))
     return dealt.groupBy("shard").applyInPandas(_pack_shard, "id long, length long, bin string")

@@ -184,8 +184,8 @@ def role_predicates(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def bin_pack(spark: SparkSession, root: str) -> DataFrame:
-    """Encoded rows in bins of 2048 tokens."""
-    return B.pack_rows(table(spark, root, "encoded_rows"), "row_id", "length", 2048)
+    """Encoded rows in bins of 2048 tokens; a length that is missing follows from the ids, a longer row is a bin of its own."""
+    return B.pack_rows(table(spark, root, "encoded_rows"), "row_id", F.coalesce("length", F.size("input_ids")), 2048, overlong=True)
 
 
 @query("""WITH d AS (SELECT DISTINCT id, len(choices) AS n FROM candidates WHERE choices IS NOT NULL), done AS (SELECT id FROM d GROUP BY id HAVING sum(n) >= 4)

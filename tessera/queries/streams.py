@@ -57,8 +57,8 @@ def stream_enriched(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def stream_bin_pack(spark: SparkSession, root: str) -> DataFrame:
-    """Encoded rows packed as they arrive."""
-    return S.drained(O.packed(S.table_stream(spark, root, "encoded_rows"), "row_id", "length", 2048))
+    """Encoded rows packed as they arrive; a length that is missing follows from the ids, a longer row is a bin of its own."""
+    return S.drained(O.packed(S.table_stream(spark, root, "encoded_rows"), "row_id", F.coalesce("length", F.size("input_ids")), 2048, overlong=True))
 
 
 @query("""SELECT doc_id, count(*) AS chunks, sum(length(c))::BIGINT AS chars FROM (SELECT doc_id, substr(text, i * 80 + 1, 100) AS c, i, length(text) AS n FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) >= 100 THEN (length(text) - 100) // 80 + 2 ELSE 1 END)) AS i FROM documents WHERE text IS NOT NULL))

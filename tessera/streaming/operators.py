@@ -36,11 +36,11 @@ def enriched(stream: DataFrame, static: DataFrame, key: str) -> DataFrame:
     return stream.join(static, key, "left")
 
 
-def packed(stream: DataFrame, id_column: str, length: str, capacity: int, shards: int = 8) -> DataFrame:
+def packed(stream: DataFrame, id_column: str, length: str | Column, capacity: int, shards: int = 8, overlong: bool = False) -> DataFrame:
     """``id, length, shard, bin``: rows put into bins as they arrive; each shard's open bin is carried over between batches.
 
-    Within a batch rows go largest first; a row that doesn't fit closes the open bin. Rows longer than the capacity,
-    or without a length, are dropped.
+    Within a batch rows go largest first; a row that doesn't fit closes the open bin. Rows longer than the capacity are
+    dropped, or with ``overlong`` have a bin each of their own. Rows without a length (NULL or 0) are dropped.
     """
 
     def place(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -49,14 +49,17 @@ def packed(stream: DataFrame, id_column: str, length: str, capacity: int, shards
         rows = rows.sort_values(["length", "id"], ascending=[False, True])
         bins = []
         for n in rows["length"]:
-            if fill + n > capacity:
+            if fill and fill + n > capacity:
                 number, fill = number + 1, 0
             fill += int(n)
             bins.append(number)
         state.update((number, fill))
         yield pd.DataFrame({"id": rows["id"], "length": rows["length"], "shard": key[0], "bin": bins})
 
-    rows = stream.select(F.col(id_column).cast("long").alias("id"), F.col(length).cast("long").alias("length")).where(F.col("length").between(1, capacity))
+    size = F.col(length) if isinstance(length, str) else length
+    rows = stream.select(F.col(id_column).cast("long").alias("id"), size.cast("long").alias("length")).where(F.col("length") >= 1)
+    if not overlong:
+        rows = rows.where(F.col("length") <= capacity)
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInPandasWithState(place, "id long, length long, shard int, bin long", "number long, fill long", "append", GroupStateTimeout.NoTimeout)
 

@@ -23,6 +23,18 @@ def test_query_without_sql_gives_rows(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
 
 
+@pytest.mark.parametrize("name", ["bin_pack", "stream_bin_pack"])
+def test_every_encoded_row_is_packed(spark, tmp_path, name):
+    rows = [(1, [7] * 60, 60), (2, [7] * 2000, None), (3, [7] * 3000, None), (4, None, 2048), (5, None, None), (6, [], None), (7, [None] * 30, None), (8, [7] * 2500, 2500)]
+    spark.createDataFrame(rows, "row_id long, input_ids array<int>, length int").coalesce(1).write.parquet(str(tmp_path / "encoded_rows.parquet"))
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted((r["id"], r["length"]) for r in got) == [(1, 60), (2, 2000), (3, 3000), (4, 2048), (7, 30), (8, 2500)]
+    bins = {}
+    for r in got:
+        bins.setdefault((r["bin"], r["shard"] if "shard" in r else None), []).append(r["length"])
+    assert all(sum(b) <= 2048 or len(b) == 1 for b in bins.values())
+
+
 def test_entry(spark):
     import __spark_entry__
 
