@@ -249,7 +249,25 @@ def label_text(label: Column, labels: list[str]) -> Column:
 
 
 def number_text(value: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f", value.cast("double"))
+    """A number with so many digits after the point, as C and Python print it: its exact binary value is rounded, exact ties go to the even digit.
+
+    NULL gives NULL; infinite numbers, NaN and those from 2^63 on are left to Java's printer.
+    """
+    x = value.cast("double")
+    scale = 10.0**digits
+    split = lambda a: (134217729.0 * a) - (134217729.0 * a - a)
+    whole = F.floor(F.abs(x))
+    r = F.abs(x) - whole.cast("double")
+    p, rh, sh = r * scale, split(r), split(scale)
+    error = ((rh * sh - p) + rh * (scale - sh) + (r - rh) * sh) + (r - rh) * (scale - sh)  # p + error is r * scale exactly
+    low = F.floor(p)
+    rest = p - low.cast("double")
+    odd = F.pmod(low if digits else whole, F.lit(2)) == 1
+    k = low + F.when((rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & odd))), 1).otherwise(0)
+    over = F.when(k >= int(scale), 1).otherwise(0)
+    tail = F.concat(F.lit("."), F.lpad((k - over * int(scale)).cast("string"), digits, "0")) if digits else F.lit("")
+    text = F.concat(F.when(x.cast("string").startswith("-"), "-").otherwise(""), (whole + over).cast("string"), tail)
+    return F.when(F.abs(x) < 2.0**63, text).when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
 
 
 def without_defaults(columns: dict[str, object]) -> Column:

@@ -167,11 +167,17 @@ def cls_generation(spark: SparkSession, root: str) -> DataFrame:
 
 @query("SELECT DISTINCT run_id, step, printf('%.1f', conf) AS response FROM draft_steps WHERE conf IS NOT NULL AND abs(conf * 10 - floor(conf * 10) - 0.5) > 1e-6")
 def regression_to_text(spark: SparkSession, root: str) -> DataFrame:
-    """Numbers as texts with one digit (exact halves, which printers round differently, left out)."""
+    """Numbers as texts with one digit, without the halves that its SQL leaves out; ``regression_to_text_all`` has every row."""
     c = F.col("conf")
     return table(spark, root, "draft_steps").where(c.isNotNull() & (F.abs(c * 10 - F.floor(c * 10) - 0.5) > 1e-6)).select("run_id", "step", M.number_text(c).alias("response")).distinct()
 
 
+@query()
+def regression_to_text_all(spark: SparkSession, root: str) -> DataFrame:
+    """Numbers as texts with one digit: every row with a number, halves among them."""
+    return table(spark, root, "draft_steps").where("conf IS NOT NULL").select("run_id", "step", M.number_text(F.col("conf")).alias("response")).distinct()
+
+
 @query("""
 WITH c AS (SELECT DISTINCT id, choices, orm FROM candidates WHERE choices IS NOT NULL AND orm IS NOT NULL),
 s AS (SELECT id, list_filter(range(1, len(choices) + 1), lambda i: choices[i] IS NOT NULL AND orm[i] > 0) AS pos, list_filter(range(1, len(choices) + 1), lambda i: choices[i] IS NOT NULL AND orm[i] <= 0) AS neg, choices FROM c)

@@ -287,6 +287,16 @@ def test_packing_invariants(spark):
     assert max(fill.values()) <= 100
 
 
+def test_numbers_as_texts_round_as_python_does(spark):
+    rng = random.Random(3)
+    values = [k / 100 for k in range(-200, 200)] + [k / 8 for k in range(-40, 40)] + [rng.uniform(-9, 9) for _ in range(300)] + [-0.0, -0.04, 0.95, 9.95, 2.0**51 + 0.5, 1e18, 5e-324, 99.9999]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 3):
+        got = df.select("v", M.number_text(F.col("v"), digits).alias("t")).collect()
+        assert [r["t"] for r in got] == [f"{r['v']:.{digits}f}" for r in got]
+    assert one(spark, M.number_text(F.lit(None))) is None
+
+
 # ---- plug-ins and agents ----------------------------------------------------------------------------------------
 def test_preprocessors(spark):
     df = spark.createDataFrame([("q", "r"), ("x", None)], "query string, response string")

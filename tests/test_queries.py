@@ -35,6 +35,13 @@ def test_every_encoded_row_is_packed(spark, tmp_path, name):
     assert all(sum(b) <= 2048 or len(b) == 1 for b in bins.values())
 
 
+def test_every_number_is_text(spark, tmp_path):
+    rows = [(i // 4, i % 4, i / 100) for i in range(100)] + [(100, 0, None), (0, 1, 0.01)]
+    spark.createDataFrame(rows, "run_id long, step int, conf double").write.parquet(str(tmp_path / "draft_steps.parquet"))
+    got = QUERIES["regression_to_text_all"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted({(r, s, f"{c:.1f}") for r, s, c in rows if c is not None})
+
+
 def test_entry(spark):
     import __spark_entry__
 
