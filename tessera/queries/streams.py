@@ -71,6 +71,6 @@ def chunked_texts(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def stream_chunked(spark: SparkSession, root: str) -> DataFrame:
-    """Texts of each source in overlapping chunks as they arrive."""
+    """Texts of each source in overlapping chunks as they arrive, with the last one of each source."""
     d = S.table_stream(spark, root, "documents").where("text IS NOT NULL AND source IS NOT NULL").select("source", "text")
-    return S.drained(O.chunked(d, "source", "text", 1000, 100, 100))
+    return O.closed(S.drained(O.chunked(d, "source", "text", 1000, 100, 100, rest=True)), "chunk")

@@ -94,33 +94,50 @@ def chunks(text: Column, size: int, left: int, right: int) -> Column:
     return F.when(text.isNotNull(), F.concat(full, tail))
 
 
-def chunked(stream: DataFrame, key: str, text: str, size: int, left: int, right: int) -> DataFrame:
-    """``key, chunk, left, right`` of texts that arrive in pieces; what is too short for a chunk waits in the state."""
+def closed(df: DataFrame, value: str) -> DataFrame:
+    """The drained rows of ``chunked`` or ``emitted`` with ``rest``: what was finished, and what each key still had at the end."""
+    names = [c for c in df.columns if c not in ("key", "rest")]
+    last = df.where("rest > 0").groupBy("key").agg(F.max_by(F.struct(*names), "rest").alias("last")).select("key", "last.*").where(F.col(value).isNotNull())
+    return df.where("rest = 0").drop("rest").unionByName(last)
+
+
+def chunked(stream: DataFrame, key: str, text: str, size: int, left: int, right: int, rest: bool = False) -> DataFrame:
+    """``key, chunk, left, right`` of texts that arrive in pieces; what is too short for a chunk waits in the state.
+
+    A stream without end never knows its last chunk. With ``rest`` each batch gives one more row a key, what is waiting
+    (NULL if ``chunk`` makes no last chunk of it), numbered in ``rest``, which is 0 for whole chunks; ``closed`` keeps the last.
+    """
     if left + right >= size:
         raise ValueError("the strides must be shorter than the chunk")
 
     def cut(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, stride = state.get if state.exists else ("", 0)
+        waiting, stride, number = state.get if state.exists else ("", 0, 0)
         out = []
         for pdf in batches:
             for piece in pdf["piece"]:
                 waiting += piece or ""
                 while len(waiting) >= size:
-                    out.append((k[0], waiting[:size], stride, right))
+                    out.append((k[0], waiting[:size], stride, right, 0))
                     stride = left
                     waiting = waiting[size - left - right :]
-        state.update((waiting, stride))
-        yield pd.DataFrame(out, columns=["key", "chunk", "left", "right"])
+        state.update((waiting, stride, number + 1))
+        if rest:
+            out.append((k[0], waiting if len(waiting) > left else None, stride, 0, number + 1))
+        made = pd.DataFrame(out, columns=["key", "chunk", "left", "right", "rest"])
+        yield made if rest else made.drop(columns="rest")
 
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(text).alias("piece"))
-    return rows.groupBy("key").applyInPandasWithState(cut, "key string, chunk string, left int, right int", "waiting string, stride int", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(cut, "key string, chunk string, left int, right int" + ", rest long" * rest, "waiting string, stride int, number long", "append", GroupStateTimeout.NoTimeout)
+
 
+def emitted(stream: DataFrame, key: str, token: str, rest: bool = False) -> DataFrame:
+    """``key, text``: tokens gathered until a word or line is complete, a CJK character at once; the rest waits in the state.
 
-def emitted(stream: DataFrame, key: str, token: str) -> DataFrame:
-    """``key, text``: tokens gathered until a word or line is complete, a CJK character at once; the rest waits in the state."""
+    With ``rest`` each batch gives what is waiting as well, as in ``chunked``.
+    """
 
     def emit(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (waiting,) = state.get if state.exists else ("",)
+        waiting, number = state.get if state.exists else ("", 0)
         out = []
         for pdf in batches:
             for piece in pdf["piece"]:
@@ -130,10 +147,13 @@ def emitted(stream: DataFrame, key: str, token: str) -> DataFrame:
                 else:
                     cut = waiting.rfind(" ") + 1
                 if cut:
-                    out.append((k[0], waiting[:cut]))
+                    out.append((k[0], waiting[:cut], 0))
                     waiting = waiting[cut:]
-        state.update((waiting,))
-        yield pd.DataFrame(out, columns=["key", "text"])
+        state.update((waiting, number + 1))
+        if rest:
+            out.append((k[0], waiting or None, number + 1))
+        made = pd.DataFrame(out, columns=["key", "text", "rest"])
+        yield made if rest else made.drop(columns="rest")
 
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(token).alias("piece"))
-    return rows.groupBy("key").applyInPandasWithState(emit, "key string, text string", "waiting string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key").applyInPandasWithState(emit, "key string, text string" + ", rest long" * rest, "waiting string, number long", "append", GroupStateTimeout.NoTimeout)

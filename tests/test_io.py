@@ -126,6 +126,18 @@ def test_text_is_emitted_at_boundaries(spark, tmp_path):
     assert all(r["text"].endswith((" ", "\n", "中")) for r in out)
 
 
+def test_streams_give_what_is_left_at_the_end(spark, tmp_path):
+    alphabet = "".join(map(chr, range(0x4E00, 0x4E00 + 57)))
+    for texts in ({"a": alphabet[:23], "b": "xy", "c": "0123456789"}, {"a": alphabet[23:41], "b": "z", "d": "q"}, {"a": alphabet[41:], "e": None}):
+        spark.createDataFrame([(k, t) for k, t in texts.items()], "k string, t string").coalesce(1).write.mode("append").parquet(str(tmp_path / "t.parquet"))
+    whole = {"a": alphabet, "b": "xyz", "c": "0123456789", "d": "q", "e": ""}
+    for size, left, right in ((10, 2, 2), (8, 0, 0), (5, 3, 1)):
+        out = O.closed(run.drained(O.chunked(run.table_stream(spark, str(tmp_path), "t", 1), "k", "t", size, left, right, rest=True)), "chunk").collect()
+        assert sorted(map(tuple, out)) == sorted((k, *c) for k, t in whole.items() for c in O.chunk(t, size, left, right))
+    out = O.closed(run.drained(O.emitted(run.table_stream(spark, str(tmp_path), "t", 1), "k", "t", rest=True)), "text").collect()
+    assert {k: sum(len(r["text"]) for r in out if r["key"] == k) for k in "abcde"} == {k: len(t) for k, t in whole.items()}
+
+
 def test_cached_and_projected(spark, tmp_path):
     made = []
 

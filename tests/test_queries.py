@@ -42,6 +42,16 @@ def test_every_number_is_text(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted({(r, s, f"{c:.1f}") for r, s, c in rows if c is not None})
 
 
+def test_every_source_is_chunked_to_its_end(spark, tmp_path):
+    from tessera.streaming.operators import chunk
+
+    texts = {"long": ["".join(map(chr, range(0x4E00, 0x4E00 + 2500)))], "short": ["abc" * 100], "same": ["x" * 700] * 3}
+    rows = [(s, t) for s, ts in texts.items() for t in ts] + [(None, "n"), ("none", None)]
+    spark.createDataFrame(rows, "source string, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["stream_chunked"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((s, *c) for s, ts in texts.items() for c in chunk("".join(ts), 1000, 100, 100))
+
+
 def test_entry(spark):
     import __spark_entry__
 
