@@ -168,13 +168,24 @@ def boxed_extract(spark: SparkSession, root: str) -> DataFrame:
 @query(rf"""WITH q AS (SELECT sample_id, messages[-1].content AS said, regexp_extract(messages[-1].content, '= ([0-9]+)\$\.', 1) AS wanted FROM chats WHERE messages[-1].role = 'assistant' AND regexp_matches(messages[-1].content, '\\boxed\{{[0-9]+\}}'))
 SELECT sample_id, (try_cast(regexp_extract(said, '\\boxed\{{([^}}]*)\}}', 1) AS DOUBLE) IS NOT DISTINCT FROM try_cast(wanted AS DOUBLE))::INT::DOUBLE AS reward FROM q WHERE wanted <> ''""")
 def answer_accuracy(spark: SparkSession, root: str) -> DataFrame:
-    """Whether the boxed answer is the number that the working arrives at first."""
+    """Whether the boxed answer is the number that the working arrives at first; of answers with a whole number in the box, as in its SQL."""
     m = F.col("messages")
     last = F.get(m, F.size(m) - 1)
     rows = table(spark, root, "chats").where((last["role"] == "assistant") & last["content"].rlike(r"\\boxed\{[0-9]+\}")).select("sample_id", last["content"].alias("said"), F.regexp_extract(last["content"], r"= ([0-9]+)\$\.", 1).alias("wanted"))
     return rows.where("wanted <> ''").select("sample_id", R.accuracy(F.col("said"), F.col("wanted")).alias("reward"))
 
 
+@query()
+def answer_accuracy_all(spark: SparkSession, root: str) -> DataFrame:
+    """Whether the boxed answer is the value that the working arrives at first, of all last answers whose working states one; 0 without a closed box."""
+    m = F.col("messages")
+    last = F.get(m, F.size(m) - 1)
+    box = r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"  # braces within it, two levels deep
+    rows = table(spark, root, "chats").where(last["role"] == "assistant").select("sample_id", last["content"].alias("c"))
+    rows = rows.select("sample_id", F.regexp_extract("c", box, 1).alias("said"), F.regexp_extract("c", r"= ([^=$]*[^=$\s])\s*\$\.", 1).alias("wanted"))
+    return rows.where("wanted <> ''").select("sample_id", R.accuracy(F.col("said"), F.col("wanted")).alias("reward"))
+
+
 @query("""SELECT sample_id, CASE WHEN list_position(f, 'x') > 0 THEN 1 ELSE 0 END AS hit, len(f) AS n FROM (SELECT sample_id, list_transform(messages, lambda m: CASE WHEN m.role = 'system' THEN 'x' ELSE 'y' END) AS f FROM chats WHERE len(messages) > 0)""")
 def role_predicates(spark: SparkSession, root: str) -> DataFrame:
     """Whether a conversation has a system message, and its number of messages."""

@@ -52,6 +52,18 @@ def test_every_source_is_chunked_to_its_end(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted((s, *c) for s, ts in texts.items() for c in chunk("".join(ts), 1000, 100, 100))
 
 
+def test_every_stated_value_is_scored(spark, small, tmp_path):
+    ends = [("= 12$.", r"\boxed{12}", 1.0), ("= 12$.", r"\boxed{13}", 0.0), ("= 12$.", r"\boxed{", 0.0), ("= 12$.", "Therefore the answer is 12.", 0.0), ("= -3$.", r"\boxed{-3}", 1.0), ("= 2.50$.", r"\boxed{2.5}", 1.0)]
+    ends += [(r"= \frac{1}{2}$.", r"\boxed{\frac{1}{2}}", 1.0), (r"= x + 1$.", r"\boxed{x+1}", 1.0), (r"= 2$.", r"\boxed{}", 0.0)]
+    rows = [(i, [("user", "How many?"), ("assistant", f"Take $a {working} The result is {said}")]) for i, (working, said, _) in enumerate(ends)]
+    rows += [(90, [("assistant", r"No working. \boxed{5}")]), (91, [("assistant", "$a = 5$."), ("user", "$a = 5$.")]), (92, None), (93, [("assistant", None)])]
+    spark.createDataFrame(rows, "sample_id long, messages array<struct<role string, content string>>").write.parquet(str(tmp_path / "chats.parquet"))
+    got = {r["sample_id"]: r["reward"] for r in QUERIES["answer_accuracy_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: reward for i, (_, _, reward) in enumerate(ends)}
+    narrow, whole = (set(map(tuple, QUERIES[q](spark, small).collect())) for q in ("answer_accuracy", "answer_accuracy_all"))
+    assert narrow < whole
+
+
 def test_entry(spark):
     import __spark_entry__
 
