@@ -123,7 +123,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     """``id, component`` (smallest id) of every vertex of the edges, by alternating large-star and small-star.
 
     Each round halves paths and only touches edges, so it takes a number of rounds logarithmic in the diameter; the
-    vertex of a hub meets its neighbours by aggregation and joins, never in one group.
+    vertex of a hub meets its neighbours by aggregation and joins, never in one group. What isn't done after
+    ``max_rounds`` raises RuntimeError.
     """
     pairs = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct()
     pairs = staged(pairs)
@@ -140,6 +141,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         pairs = small
         if same:
             break
+    else:
+        raise RuntimeError(f"the components aren't settled after {max_rounds} rounds")
     roots = pairs.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     return roots.unionByName(roots.select(F.col("component").alias("id"), "component").distinct())
 

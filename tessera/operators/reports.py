@@ -76,19 +76,19 @@ def first_lookup(df: DataFrame, key: str, tables: list[tuple[DataFrame, str, str
     return out.withColumn("found", F.coalesce(*columns, F.lit(default))).drop(*[f"_{x}{i}" for i in range(len(tables)) for x in "kv"])
 
 
-def tree_paths(nodes: DataFrame, tree: str, node: str, parent: str, outcome: str, process: str, max_depth: int = 64) -> DataFrame:
+def tree_paths(nodes: DataFrame, tree: str, node: str, parent: str, outcome: str, process: str) -> DataFrame:
     """``tree, node, depth, mean_outcome, min_outcome, mean_process, min_process`` over the path from the root, for every node.
 
-    Level by level: one join a level, until no node has children. A root has a NULL parent.
+    Level by level: one join a level, until no node has children. A root has a NULL parent. Parents that form a cycle
+    below a root, which only a node of several parents can, raise ValueError.
     """
     base = nodes.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(outcome).cast("double").alias("o"), F.col(process).cast("double").alias("p"))
     level = base.where("parent IS NULL").select("tree", "node", F.lit(1).alias("depth"), F.col("o").alias("so"), F.col("o").alias("mo"), F.col("p").alias("sp"), F.col("p").alias("mp"))
     levels = []
-    for _ in range(max_depth):
-        level = staged(level)
-        if not level.head(1):
-            break
+    while (level := staged(level)).head(1):
         levels.append(level)
+        if len(levels) % 64 == 0 and len(levels) > base.count():  # no path is longer than there are nodes
+            raise ValueError("the parents form a cycle")
         up = level.withColumnRenamed("node", "parent")
         level = base.join(up, ["tree", "parent"]).select(
             "tree", "node", (F.col("depth") + 1).alias("depth"), (F.col("so") + F.col("o")).alias("so"), F.least("mo", "o").alias("mo"), (F.col("sp") + F.col("p")).alias("sp"), F.least("mp", "p").alias("mp")

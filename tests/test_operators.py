@@ -221,6 +221,17 @@ def test_reports(spark):
     assert [(r["good"], r["bad"]) for r in pair] == [(2, 1)]
 
 
+def test_loops_run_to_their_end(spark):
+    deep = spark.createDataFrame([(1, i, i - 1 if i else None, 1.0, 0.5) for i in range(67)], "t int, n int, p int, o double, q double")
+    paths = {r["node"]: r["depth"] for r in reports.tree_paths(deep, "t", "n", "p", "o", "q").collect()}
+    assert paths == {i: i + 1 for i in range(67)}
+    cycle = spark.createDataFrame([(1, 0, None, 1.0, 0.5), (1, 1, 0, 1.0, 0.5), (1, 1, 2, 1.0, 0.5), (1, 2, 1, 1.0, 0.5)], deep.schema)
+    with pytest.raises(ValueError):
+        reports.tree_paths(cycle, "t", "n", "p", "o", "q")
+    with pytest.raises(RuntimeError):
+        dedup.connected_components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long"), "a", "b", max_rounds=1)
+
+
 def test_metrics(spark):
     assert metrics.rouge_l("a b c d".split(), "a c d x".split()) == pytest.approx(0.75)
     assert metrics.rouge_n("a b".split(), "a b".split(), 2) == 1.0
