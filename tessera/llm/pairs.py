@@ -6,7 +6,8 @@ redelivered candidates). Every rule that fires is emitted by ``defects``; since
 complete, a copied question needn't be in the answer's language.
 
 1. empty: nothing but blanks, marks, markup, a bare heading or a placeholder is left;
-2. refusal: the answer begins by declining in one of eight languages, and is short;
+2. refusal: sentences of the answer decline in one of eight languages (inability, unwillingness, rules, apology and
+   denial, outside quotations), and what is left besides courtesies and the question's words is less than half;
 3. echo: what is left after a short lead-in is a run of the question's own wording (copied prefixes included),
    unless the question asks for its repetition;
 4. wrong_language: script, then function words, of the whole answer point to another language than the
@@ -27,8 +28,6 @@ from tessera.runtime import spread, table
 
 RULES = ("empty", "refusal", "echo", "wrong_language", "truncated")
 
-#: Longest answer (characters) that can be a refusal and nothing else.
-REFUSAL_CHARS = 450
 #: Longest lead-in (words, or characters of a script without blanks) before a copied question.
 LEAD_WORDS = 8
 #: An echo holds at least so many words (characters of a script without blanks) of the question.
@@ -45,65 +44,131 @@ sem resposta|resposta|solução|vazio|нет ответа|ответ|решен
 """.replace("\n", "").split("|")
 )
 
-# ---- Fixed values: phrases by which an answer declines, on text folded to lower-case words --------------------
-REFUSALS = re.compile(
-    "|".join(
-        (
-            # English
-            r"\bi (?:must|have to|need to|will have to|ll have to) (?:decline|refuse|pass on|leave this|turn this|say no)\b",
-            r"\b(?:this|that|it) is something i (?:must|have to|need to) (?:decline|refuse)\b",
-            r"\bi (?:can ?not|can ?t|could not|couldn ?t|won ?t|will not|am unable to|m unable to|am not able to|m not able to|am not allowed to|m not allowed to|am not permitted to|won ?t be able to|will not be able to|do not feel able to) (?:\w+ )?(?:help|assist|answer|respond|provide|comment|discuss|fulfil|fulfill|comply|go into|do that|do this|support|share|offer|give|talk|engage|continue|complete|accept|process|write|generate|create|say)\b",
-            r"\bi (?:am|m) (?:sorry|afraid)\b.{0,40}\bi (?:can|won|will|am|m|must|have|d|would)\b.{0,20}\b(?:not|t|unable|decline|refuse|rather|prefer|pass|leave)\b",
-            r"\bi (?:apologi[sz]e)\b.{0,30}\b(?:unable|can ?not|can ?t|not able)\b",
-            r"\bi (?:d|would) (?:rather|prefer)(?: to)? (?:not|leave)\b",
-            r"\bi (?:m|am) not (?:in a position|able|allowed|permitted|willing|comfortable|going) to\b",
-            r"\b(?:isn ?t|is not) (?:a topic|something|a subject|a matter) i ?(?:m|am|can|will|would|wish)\b",
-            r"\bnot (?:something|a topic|a question) i (?:can|am|m|may|will)\b",
-            r"\bi don ?t (?:discuss|talk about|answer|respond to|comment on|do) (?:it|this|that|such|these|those)\b",
-            r"\b(?:goes beyond|falls outside|is outside|is beyond|exceeds) what i (?:may|can|am|m)\b",
-            r"\bmy (?:guidelines|rules|instructions|policies|policy|programming) (?:keep|prevent|forbid|stop|prohibit|don ?t allow|do not allow|don ?t let|do not permit)\b",
-            r"\bi was (?:built|made|designed|told|trained|instructed) (?:to stay away|not to)\b",
-            r"\bmy answer to (?:this|that) has to be no\b",
-            r"\bthere (?:is|s) nothing i can (?:offer|say|do|add)\b",
-            r"\bno answer can be given\b|\bwould not be appropriate for me\b|\bwouldn ?t be appropriate for me\b|\bis off the table for me\b",
-            r"\bi (?:respectfully |must |have to |politely )*(?:decline|refuse) (?:to|this|that|your)\b",
-            r"\bas an? (?:ai|artificial|language|large language)\b.{0,40}\b(?:can ?not|can ?t|not able|unable|not allowed|won ?t|do not|don ?t)\b",
-            # German
-            r"\b(?:ich )?(?:kann|darf|möchte|werde|will|muss) (?:ich )?(?:\w+ ){0,4}(?:nicht|keine|kein|ablehnen|passen|verweigern)\b(?:.{0,40}\b(?:helfen|beantworten|äußern|antworten|sagen|geben|eingehen|unterstützen|weiterhelfen|besprechen|nachkommen|erfüllen)\b)?",
-            r"\bdabei kann ich\b.{0,20}\bnicht\b|\bdazu möchte ich\b.{0,15}\bnicht\b|\bdarauf gehe ich nicht ein\b|\bhierzu gibt es von mir\b|\bvon mir keine (?:auskunft|antwort)\b",
-            r"\bmeine (?:vorgaben|regeln|richtlinien|anweisungen) (?:erlauben|verbieten|gestatten|lassen)\b|\baußerhalb dessen was ich\b|\bmuss ich\b.{0,40}\b(?:ablehnen|passen)\b",
-            # French
-            r"\bje (?:ne )?(?:peux|puis|suis|souhaite|veux|vais|saurais|pourrai|donnerai|répondrai|parlerai) ?(?:pas|malheureusement pas)\b",
-            r"\bje préfère ne pas\b|\bje dois (?:refuser|décliner|passer mon tour|laisser)\b|\bje refuse de\b|\bje ne donnerai pas suite\b",
-            r"\bmes (?:consignes|règles|instructions|directives) m (?:interdisent|empêchent)\b|\bmes (?:consignes|règles|instructions|directives) ne me permettent\b|\bdépasse ce dont j ai le droit\b|\brien que je puisse (?:proposer|dire|faire)\b|\bne suis pas en mesure\b",
-            # Spanish
-            r"\bno (?:puedo|podré|voy a|estoy en condiciones|estoy autorizado|me es posible|quiero|deseo) (?:\w+ ){0,2}(?:ayudar|ayudarle|ayudarte|responder|contestar|entrar|hablar|ofrecer|comentar|proporcionar|dar|atender|de responder)\b|\bno estoy en condiciones de\b",
-            r"\bprefiero no\b|\b(?:debo|tengo que) (?:rechazar|declinar|negarme|dejarla sin|dejarlo sin)\b|\bmis (?:normas|reglas|directrices|instrucciones) (?:no me|me (?:prohíben|impiden))\b|\bsupera lo que se me permite\b|\bnada que yo pueda (?:ofrecer|decir|hacer)\b",
-            # Portuguese
-            r"\bnão (?:posso|poderei|vou|estou em condições|estou autorizado|me é possível|quero|desejo) (?:\w+ ){0,2}(?:ajudar|responder|entrar|falar|oferecer|comentar|fornecer|dar|atender|de responder)\b|\bnão estou em condições de\b",
-            r"\bprefiro não\b|\b(?:devo|tenho de|tenho que|preciso) (?:de )?(?:recusar|declinar|negar|deixar)\b|\bas minhas (?:regras|normas|diretrizes|instruções)\b.{0,15}\bnão me\b|\bminhas (?:regras|normas|diretrizes) (?:não|me)\b|\b(?:ultrapassa|excede|vai além d) ?o que (?:me|eu|posso)\b|\bnada que eu possa (?:oferecer|dizer|fazer)\b",
-            # Russian
-            r"\bя (?:\w+ )?не (?:могу|смогу|вправе|буду|стану|готов|имею права|в состоянии)\b|\bне могу (?:помочь|ответить|обсуждать|предоставить|выполнить)\b|\bвынужден[а]? (?:отклонить|отказать|отказаться|оставить|промолчать)\b",
-            r"\bпредпоч(?:ёл|ел|ла|итаю|лa)\b.{0,12}\bне (?:обсуждать|отвечать|говорить|касаться)\b|\bмои (?:правила|инструкции|указания)\b.{0,12}\bне (?:позволяют|разрешают)\b|\bмои (?:правила|инструкции) (?:запрещают|мешают)\b|\bвыходит за (?:рамки|пределы) (?:того|дозволенного)\b|\bне (?:берусь|возьмусь)\b|\bничего не могу\b|\bмне нечего (?:предложить|ответить|сказать)\b|\bответ[а]? (?:от меня )?не будет\b",
-        )
-    )
+PLACEHOLDER_WORDS = max(len(set(p.split())) for p in PLACEHOLDERS)
+
+# ---- Declining: families of phrases by language ----------------------------------------------------------------
+# A sentence, folded to lower-case words, declines if it says in the first person that the speaker can't, mustn't or
+# won't talk or help, if it appeals to rules, or if an apology stands with a denial of what was asked. The words below
+# are fixed values; the families are built from them.
+_SPEAK = {
+    "en": r"help|assist|answer|respond|reply|provide|comment|discuss|fulfill?|comply|go (?:into|there|along)|do (?:that|this|it|so|such)|support|share|offer|give|talk|speak|engage|continue|complete|accept|process|write|generate|create|produce|say|tell|advise|weigh in|take (?:that|this|it|part)|meet|grant|satisfy|touch|get into|cover|address|handle|recommend|reveal|disclose|explain|elaborate|describe|entertain|serve|proceed|oblige|be (?:of|any) (?:help|assistance|use)|participate|agree|honou?r|work on|act on|deal with",
+    "de": r"helfen|weiterhelfen|aushelfen|beantworten|antworten|äußern|sagen|geben|eingehen|unterstützen|besprechen|nachkommen|erfüllen|sprechen|reden|erteilen|mitteilen|bieten|anbieten|liefern|erklären|schreiben|behandeln|entsprechen|machen|tun|dienen|teilen|kommentieren|diskutieren|annehmen|bearbeiten|verraten|mitwirken",
+    "fr": r"aider|répondre|donner|fournir|parler|discuter|commenter|traiter|satisfaire|accéder|aborder|dire|proposer|offrir|partager|expliquer|écrire|faire|continuer|poursuivre|entrer|évoquer|accepter|exécuter|prononcer|assister|révéler|me prononcer|m exprimer|donnerai suite",
+    "es": r"ayudar\w*|responder\w*|contestar\w*|entrar|hablar\w*|ofrecer\w*|comentar\w*|proporcionar\w*|dar\w*|atender\w*|cumplir\w*|discutir\w*|tratar\w*|decir\w*|compartir\w*|explicar\w*|escribir\w*|hacer\w*|continuar|satisfacer\w*|aceptar\w*|opinar|abordar\w*|facilitar\w*|complacer\w*|revelar\w*",
+    "pt": r"ajudar\w*|responder\w*|entrar|falar|oferecer|comentar|fornecer|dar|atender|cumprir|discutir|tratar|dizer|partilhar|compartilhar|explicar|escrever|fazer|continuar|satisfazer|aceitar|opinar|abordar|auxiliar|revelar",
+    "ru": r"помочь|помогать|ответить|отвечать|обсуждать|обсудить|предоставить|выполнить|выполнять|говорить|рассказать|рассказывать|сказать|комментировать|прокомментировать|дать|давать|написать|писать|касаться|высказаться|высказываться|объяснить|объяснять|поддержать|продолжить|продолжать|содействовать|делать|сделать|посоветовать|раскрыть|исполнить|удовлетворить",
+}
+_NOT_EN = r"(?:can ?not|can ?t|could not|couldn ?t|won ?t|will not|wouldn ?t|would not|may not|must not|mustn ?t|shouldn ?t|should not|don ?t|do not|(?:am|m|is|re|are|be) (?:\w+ )?(?:unable|not|prohibited|forbidden|barred|restricted|prevented)|never|no longer)"
+_ASKED_EN = r"(?:this|that|it|such|your|the|these|those|any) ?(?:question|request|topic|subject|matter|query|one|task|kind|inquiry)?s?"
+_DECLINES = {
+    "en": (
+        rf"\b(?:i|we) (?:\w+ ){{0,2}}?{_NOT_EN} (?:\w+ ){{0,5}}?(?:{_SPEAK['en']})\b",
+        r"\b(?:i|we) (?:\w+ ){0,4}?(?:decline|refuse|pass on|say no|opt out|abstain|sit this|bow out|draw the line|turn (?:this|that|it|your|you)|leave (?:this|that|it|the|your))\b",
+        r"\b(?:i|we) (?:ll|will|must|have to|need to|am going to|m going to) (?:\w+ )?(?:pass|skip|leave (?:this|that|it))\b",
+        r"\b(?:i|we) (?:d|would|ll|will)?(?: \w+){0,2}? ?(?:rather|prefer|choose|elect)(?: to)? (?:not|leave|skip|avoid|refrain|keep out|stay)\b|\b(?:i|we) (?:d|would)? ?(?:prefer|rather) (?:\w+ ){0,2}?(?:weren ?t|didn ?t)\b",
+        r"\b(?:i|we) (?:do not|don ?t) feel (?:able|comfortable|free|right)\b|\b(?:i|we) (?:m|am|re|are) (?:\w+ )?(?:not|un)(?: \w+)? ?(?:able|allowed|permitted|willing|comfortable|going|equipped|authori[sz]ed|qualified|position|prepared|supposed|free|here) ?(?:to|with|of|for|in)?\b",
+        rf"\b(?:this|that|it|such \w+|your \w+|{_ASKED_EN})\b.{{0,30}}?\b(?:isn ?t|is not|s not|not|outside|beyond|exceeds|past)\b (?:\w+ ){{0,3}}?(?:i|we|my|our|me|us)\b (?:\w+ )?(?:can|am|m|may|will|would|wish|ll|scope|remit|limits|role|purview|able|allowed|to|willing|mandate|comfortable)\b",
+        r"\b(?:my|our|the) (?:\w+ )?(?:guidelines|rules|instructions|policies|policy|programming|principles|guidance|terms|restrictions|safety rules) (?:\w+ )?(?:keep|prevent|forbid|stop|prohibit|bar|rule|do(?:es)? ?n ?t (?:allow|let|permit)|do(?:es)? not (?:allow|let|permit)|won ?t (?:allow|let|permit)|prohibits|forbids|prevents|say no)",
+        r"\b(?:against|contrary to|violates?|breaks?) (?:my|our) (?:\w+ )?(?:guidelines|rules|instructions|policies|policy|programming|principles)\b",
+        r"\b(?:i|we) (?:was|am|m|were) (?:built|made|designed|told|trained|instructed|asked|programmed) (?:to (?:stay away|avoid|refuse|decline|steer clear|keep out)|not to)\b",
+        r"\bmy (?:answer|reply|response)\b.{0,20}\b(?:has to be|must be|is|remains) (?:a )?no\b|\bthe answer (?:from me )?(?:is|has to be|must be) no\b",
+        r"\bthere (?:is|s) (?:nothing|no (?:answer|way|help)) (?:\w+ )?(?:i|we) (?:can|could|may|am|m)\b|\bno (?:answer|help|comment) (?:can be given|from me|is possible here)\b|\bno comment\b",
+        r"\b(?:would ?n ?t|would not|isn ?t|is not) (?:be )?(?:appropriate|proper|right|ok|okay|possible) (?:for me|to (?:answer|help|discuss|respond|comment))\b|\bis off (?:the table|limits)\b",
+        r"\bas an? (?:ai|artificial|language|large language)\b.{0,40}\b(?:can ?not|can ?t|not able|unable|not allowed|won ?t|do not|don ?t)\b",
+        r"\b(?:sorry|afraid|apolog\w+|regret\w*|unfortunately)\b.{0,40}\b(?:i|we|that|this|it)\b.{0,25}\b(?:not possible|impossible|can ?t be done|cannot be done|decline|refuse|unable|out of the question|no can do|rather|prefer|pass|leave|can ?t|cannot|won ?t)\b(?! (?:\w+ ){0,2}?(?:see|find|remember|wait))",
+        r"\byour (?:request|question) (?:has been|is|must be|was|will be) (?:declined|refused|denied|rejected)\b|\bcount me out\b|\bno can do\b",
+    ),
+    "de": (
+        rf"\b(?:ich|wir) (?:\w+ ){{0,2}}?(?:kann|darf|könnte|möchte|werde|will|mag|muss|soll|können|dürfen|werden|wollen|möchten)\b (?:\w+ ){{0,7}}?(?:nicht|kein\w*|nichts|niemals)\b (?:\w+ ){{0,5}}?(?:{_SPEAK['de']})\b",
+        rf"\b(?:kann|darf|könnte|möchte|werde|will|mag|muss|soll|können|dürfen) (?:ich|wir)\b (?:\w+ ){{0,7}}?(?:nicht|kein\w*|nichts)\b (?:\w+ ){{0,5}}?(?:{_SPEAK['de']})\b",
+        r"\b(?:kann|darf|möchte|werde|muss|will) (?:ich|wir)\b.{0,40}\b(?:nicht|keine|passen|ablehnen|verweigern|verzichten)\b|\b(?:ich|wir) (?:\w+ )?(?:muss|möchte|werde|will|müssen)\b.{0,60}\b(?:ablehnen|passen|verweigern|absehen|verzichten|zurückweisen|enthalten)\b",
+        r"\b(?:ich|wir) (?:lehne|verweigere|weigere|verzichte|enthalte|passe|bedaure|lehnen|verweigern)\b|\blehne ich\b|\bverweigere ich\b|\b(?:gehe|antworte|helfe|rede|spreche|sage|gebe|schreibe|mache|äußere|beantworte|bespreche) ich (?:\w+ ){0,4}?(?:nicht|nichts|keine?)\b|\bich (?:gehe|antworte|helfe|rede|spreche|sage|gebe|schreibe|mache|äußere|beantworte|bespreche) (?:\w+ ){0,5}?(?:nicht|nichts|keine?)\b",
+        r"\b(?:ich bin|bin ich|wir sind) (?:\w+ ){0,3}?(?:nicht|außerstande|außer stande) ?(?:\w+ ){0,3}?(?:in der lage|befugt|berechtigt|bereit|imstande|zuständig|ermächtigt|autorisiert)?\b",
+        r"\b(?:meine|unsere|die) (?:\w+ )?(?:vorgaben|regeln|richtlinien|anweisungen|grundsätze|bestimmungen|vorschriften)\b.{0,20}\b(?:erlauben|verbieten|gestatten|lassen|untersagen|hindern|verhindern)\b|\b(?:ist|wird|bleibt) mir (?:\w+ )?(?:nicht (?:erlaubt|möglich|gestattet)|untersagt|verboten|unmöglich)\b|\bmir (?:ist|sind) .{0,30}\b(?:nicht (?:erlaubt|möglich|gestattet)|untersagt|verboten)\b|\bverstößt gegen meine\b",
+        r"\baußerhalb dessen was ich\b|\bvon mir (?:gibt es )?(?:dazu |hierzu )?(?:keine|nichts)\b|\b(?:dazu|hierzu|darüber|davon) (?:gibt es|bekommen sie|erhalten sie|bekommst du) von mir (?:keine|nichts)\b|\bnicht meine aufgabe\b",
+        r"\b(?:tut mir (?:\w+ )?leid|leider|bedauerlicherweise|bedaure|entschuldigung|sorry)\b.{0,60}\b(?:geht|möglich|gehen|machbar|kann|darf|drin|weiterhelfen|helfen)\b.{0,12}\bnicht\b|\b(?:tut mir (?:\w+ )?leid|leider|bedaure|entschuldigung)\b.{0,60}\bnicht (?:\w+ )?(?:möglich|helfen|weiterhelfen|machbar|erlaubt|gehen|beantworten|eingehen)\b",
+        r"\bals (?:ki|sprachmodell|künstliche\w*)\b.{0,60}\b(?:nicht|keine?)\b",
+    ),
+    "fr": (
+        rf"\b(?:je|j|nous) (?:n |ne )?(?:\w+ )?(?:peux|puis|pourrai|pourrais|saurais|souhaite|veux|vais|dois|compte|pouvons|voulons|aimerais)(?: \w+){{0,3}}? (?:pas|rien|plus|guère|aucun\w*)\b|\bje ne (?:puis|saurais) (?:\w+ ){{0,3}}?(?:{_SPEAK['fr']})\b",
+        r"\bje (?:ne |n )(?:suis|serai|serais) (?:\w+ )?pas (?:\w+ )?(?:en mesure|autorisée?|habilitée?|capable|à même|disposée?|en position|qualifiée?|censée?|là pour|prête?)\b|\bne suis pas en mesure\b",
+        r"\bje (?:ne )?(?:donnerai|répondrai|parlerai|aborderai|dirai|ferai|fournirai|commenterai|traiterai|discuterai|réponds|parle|discute|commente|aborde|fais|traite)\b (?:\w+ ){0,2}?(?:pas|rien)\b",
+        r"\bje (?:\w+ )?(?:préfère|préférerais|choisis de|tiens à) ne pas\b|\bje (?:dois|vais|suis obligée? de|suis contrainte? de|me vois contrainte? de|souhaite)\b.{0,20}\b(?:refuser|décliner|passer mon tour|laisser|abstenir|rejeter)\b|\bje (?:refuse|décline|m abstiens|m abstiendrai|passe mon tour|rejette)\b",
+        r"\b(?:mes|les|nos) (?:\w+ )?(?:consignes|règles|instructions|directives|principes|conditions)\b.{0,20}\b(?:interdisent|empêchent|interdit|permettent pas|ne me permettent|n autorisent|s y opposent)\b|\bil m est (?:\w+ )?(?:impossible|interdit|défendu)\b|\bne m est pas (?:permis|possible|autorisé)\b|\bcontraire à mes\b|\bon ne me permet pas\b|\bje n ai pas (?:le droit|l autorisation|la possibilité|la permission)\b",
+        r"\bdépasse (?:\w+ ){0,2}?(?:ce (?:dont|que|qui)|mes|le cadre)\b|\brien que je puisse\b|\bsort de (?:mon|mes|ce que)\b|\bhors de (?:mon|mes|question)\b|\b(?:ma réponse|la réponse) (?:est|sera|doit être) non\b|\baucune réponse de ma part\b",
+        r"\b(?:désolée?|regrette|malheureusement|navrée?|excusez moi|pardon)\b.{0,60}\b(?:pas possible|impossible|peux pas|puis pas|ne pas|n est pas possible|ne sera pas possible|refuser|décliner|pas (?:aider|répondre))\b",
+        r"\ben tant qu(?:e|) ?(?:ia|modèle|intelligence|assistant)\b.{0,60}\b(?:pas|aucun\w*|rien)\b",
+    ),
+    "es": (
+        rf"\bno (?:\w+ )?(?:puedo|podré|podría|voy a|estoy|quiero|deseo|debo|pienso|podemos|sabría)\b (?:\w+ ){{0,4}}?(?:{_SPEAK['es']}|autorizad[oa]|condiciones|capacitad[oa]|dispuest[oa]|posición|facultad[oa])\b",
+        r"\bno (?:me|nos) (?:es|está|resulta|será|corresponde|permiten|dejan)\b.{0,20}(?:posible|permitido|responder|ayudar\w*|autorizado|hablar|hacer\w*|entrar)?\b|\bno se me permite\b|\bno tengo (?:permitido|permiso|autorización)\b|\b(?:me es|me resulta|me será) imposible\b|\bno hablaré\b|\bno responderé\b|\bno (?:respondo|hablo|comento|doy|atiendo|trato|entro|ayudo)\b",
+        r"\b(?:prefiero|preferiría|elijo|opto por) no\b|\bpreferiría dejar\b|\b(?:debo|tengo que|he de|voy a|me veo obligad[oa] a|tendré que)\b.{0,20}\b(?:rechazar\w*|declinar\w*|negarme|dejar\w* (?:sin|pasar)|abstenerme|decir que no|pasar)\b|\b(?:me niego|rechazo|declino|me abstengo|paso de)\b",
+        r"\b(?:mis|las|nuestras) (?:\w+ )?(?:normas|reglas|directrices|instrucciones|políticas|pautas|principios)\b.{0,20}\b(?:no (?:me|lo|nos)|prohíben|impiden|me prohíben)\b|\bva (?:en )?contra (?:de )?mis\b|\btengo prohibido\b",
+        r"\b(?:supera|excede|queda fuera de|está fuera de|sale de|va más allá de) (?:\w+ )?(?:lo que|mi|mis)\b|\bnada que (?:yo )?pueda\b|\b(?:mi|la) respuesta (?:es|tiene que ser|debe ser) (?:que )?no\b",
+        r"\b(?:lo siento|lamento|lamentablemente|desgraciadamente|por desgracia|perdón|disculp\w+)\b.{0,60}\b(?:no (?:es|será|va a ser|resulta) posible|imposible|no (?:puedo|podré|podemos)|no se puede)\b",
+        r"\bcomo (?:ia|modelo|inteligencia|asistente)\b.{0,60}\bno\b",
+    ),
+    "pt": (
+        rf"\bnão (?:\w+ )?(?:posso|poderei|poderia|vou|estou|quero|desejo|devo|pretendo|podemos|consigo|saberia)\b (?:\w+ ){{0,4}}?(?:{_SPEAK['pt']}|autorizad[oa]|condições|capacitad[oa]|dispost[oa]|posição|habilitad[oa])\b",
+        r"\bnão (?:me|nos) (?:é|está|será|cabe|permitem|deixam)\b|\b(?:é|será) me (?:\w+ )?impossível\b|\bme é impossível\b|\bnão tenho (?:permissão|autorização|como (?:ajudar|responder))\b|\bnão (?:respondo|falo|comento|dou|atendo|trato|entro|ajudo|responderei|falarei)\b|\bnão me permit\w+\b",
+        r"\b(?:prefiro|preferiria|escolho|opto por) não\b|\b(?:devo|tenho de|tenho que|preciso|precis[oe] de|vou|vejo me obrigad[oa] a|terei de|terei que)\b.{0,20}\b(?:recusar|declinar|negar|deixar|abster me|dizer (?:que )?não|rejeitar)\b|\b(?:me recuso|recuso|recuso me|declino|rejeito|me abstenho|abstenho me)\b",
+        r"\b(?:minhas|nossas|as|os meus|meus) (?:\w+ )?(?:regras|normas|diretrizes|instruções|políticas|orientações|princípios)\b.{0,20}\b(?:não|proíbem|impedem|me proíbem)\b|\bvai contra (?:as )?minhas\b|\bestou proibid[oa]\b",
+        r"\b(?:ultrapassa|excede|foge|está fora|fica fora|sai)\b.{0,8}\b(?:o que|d ?o que|do meu|das minhas|ao que|meu|minhas)\b|\bvai além do que\b|\bnada que eu possa\b|\b(?:a minha|minha|a) resposta (?:é|tem de ser|tem que ser|deve ser) não\b",
+        r"\b(?:lamento|sinto muito|infelizmente|desculp\w+|lamentavelmente|perdão)\b.{0,60}\b(?:não (?:é|será|vai ser) possível|impossível|não (?:posso|poderei|podemos|consigo|dá))\b",
+        r"\bcomo (?:ia|uma ia|modelo|um modelo|inteligência|assistente)\b.{0,60}\bnão\b",
+    ),
+    "ru": (
+        rf"\b(?:я |мы )?(?:\w+ )?не (?:могу|смогу|вправе|буду|стану|готова?|хочу|хотела? бы|имею права|имею возможности|в состоянии|уполномочена?|намерена?|собираюсь|можем|сможем|берусь|возьмусь)\b(?: (?:\w+ ){{0,5}}?(?:{_SPEAK['ru']})\b|$|\b.{{0,25}}\b(?:это|этом|этого|эту|этот|такие|такой|вопрос\w*|тем\w*|просьб\w*|запрос\w*))",
+        r"\bя (?:\w+ )?не (?:могу|смогу|вправе|буду|стану|готова?|имею права|в состоянии|обсуждаю|отвечаю|комментирую|даю|говорю)\b|\bне (?:обсуждаю|комментирую|даю (?:советов|ответов|комментариев)|отвечаю на)\b",
+        r"\b(?:вынужден\w*|приходится|придётся|придется|должен|должна|хочу|решила?)\b.{0,20}\b(?:отклонить|отказать|отказаться|оставить|промолчать|воздержаться|отклонять|отказывать)\b|\b(?:отказываюсь|откажусь|воздержусь|воздерживаюсь|отклоняю|уклонюсь|пас|пропущу)\b",
+        r"\bпредпоч(?:ёл|ел|ла|итаю|ту|ли)\w*\b.{0,12}\bне\b|\bлучше (?:я )?не (?:буду|стану|отвечать|обсуждать)\b",
+        r"\b(?:мои|наши|эти) (?:\w+ )?(?:правила|инструкции|указания|принципы|ограничения|установки)\b.{0,16}\b(?:не (?:позволяют|разрешают|дают|допускают)|запрещают|мешают)\b|\bмне (?:\w+ )?(?:запрещено|нельзя|не разрешено|не позволено|не дозволено|не положено)\b|\bпротиворечит моим\b",
+        r"\bвыходит за (?:рамки|пределы)\b|\bничего не могу\b|\bмне нечего\b|\bответ[а]? (?:от меня )?не будет\b|\b(?:мой ответ|ответ) нет\b|\bне в моих силах\b|\bвне моей компетенции\b|\bничем не (?:могу|смогу)\b",
+        r"\b(?:к сожалению|извините|простите|увы|сожалею|прошу прощения|прости)\b.{0,60}\b(?:не (?:получится|выйдет|могу|смогу|удастся|буду|стану|можем|возможно)|невозможно|нельзя)\b",
+        r"\bкак (?:ии|языковая модель|искусственный|модель)\b.{0,60}\bне\b",
+    ),
+}
+DECLINES = re.compile("|".join(f"(?:{p})" for family in _DECLINES.values() for p in family))
+#: Words of which every declining sentence of a script with blanks holds one; what has none isn't searched.
+_TRIGGER_WORDS = frozenset(
+    "not t cannot cant dont wont decline refuse pass no rather prefer unable off nothing leave skip abstain opt out outside beyond exceeds past against contrary violates breaks keep prevent forbid stop prohibit bar avoid stay impossible never declined refused denied rejected sit bow draw turn choose elect prohibited forbidden barred restricted prevented forbids prohibits prevents rule "
+    "nicht kein keine keinen keinerlei keiner nichts niemals ablehnen passen verweigern lehne verweigere weigere verzichte enthalte passe bedaure lehnen verzichten absehen zurückweisen enthalten außerstande außer verbieten untersagen hindern verhindern untersagt verboten unmöglich außerhalb verstößt "
+    "pas rien plus guère aucun aucune ne n refuse décline préfère refuser décliner laisser passer abstiens abstiendrai rejette rejeter abstenir interdisent empêchent interdit impossible dépasse sort hors non passe contraire défendu "
+    "imposible prefiero preferiría rechazar declinar rechazo declino niego abstengo prohíben impiden supera excede queda fuera nada negarme prohibido contra elijo opto "
+    "não impossível prefiro preferiria recusar recuso declino rejeito abstenho proíbem impedem ultrapassa excede foge fica proibida proibido escolho vai "
+    "не нельзя невозможно отказываюсь откажусь воздержусь воздерживаюсь отклоняю вынужден вынуждена приходится придётся придется запрещено запрещают мешают выходит вне нечего ничего ничем нет пас пропущу уклонюсь решил решила противоречит отклонить отказать отказаться оставить".split()
 )
 # For scripts without blanks, on text folded to letters and digits.
-REFUSALS_WIDE = re.compile(
+_ZH_CANNOT = r"无法|不能|没有办法|没办法|没法|不便|不方便|不予|不会|没有权限|无权|拒绝|只能拒绝|不可以|不愿|不愿意|不想|不打算|选择不|不得|难以|不适合|不宜|不应|不该|不再|婉拒|谢绝|恕不|恕我不|恕难|暂不"
+_ZH_SPEAK = r"回答|答复|回应|讨论|提供|满足|协助|帮助|帮忙|处理|评论|这个要求|透露|谈论|作答|这方面|涉及|解答|从命|奉告|置评|参与|配合|执行|完成您|完成你|答应|接受|协办|给出|多说|谈|说明|帮您|帮你|支持|应允|照办|办到"
+_JA_SPEAK = r"(?:お|ご)?(?:答え|応え|応じ|手伝い|手伝|話し|話|助け|教え|回答|対応|触れ|説明|提供|案内|伝え|コメント|申し上げ|お見せ|協力|力に(?:は)?な|役に(?:は)?立|返答|返事|引き受け|受け|承|議論|述べ|支援|サポート|言及|要望に|依頼に|希望に)"
+_JA_NOT = r"(?:する|は|を|も|が|こと|に|り|し|て|差し上げ|さしあげ|いただ|なる|の){0,4}(?:でき(?:ません|かね|ない|兼ね)|られ(?:ません|ない)|れ(?:ません|ない)|しかね|いたしかね|致しかね|かね(?:ます|る)|控え|差し控え|ませんので|いたしません|しません|たくありません|わけには(?:い|参り|まい))"
+DECLINES_WIDE = re.compile(
     "|".join(
         (
-            # Chinese
-            r"我?(?:无法|不能|没有办法|没办法|不便|不方便|不予|不会|没有权限|无权|拒绝|只能拒绝|不可以|不愿|选择不)(?:为您|为你|对此|就此|再|继续|这方面|提供)?(?:回答|答复|回应|讨论|提供|满足|协助|帮助|处理|评论|这个要求|透露|谈论|作答|这方面)",
-            r"(?:这件事|这个话题|这类内容|这个问题|这个请求|这)(?:我)?(?:不便|不方便|不予|不会|没有办法|无法|不能|没有权限)|不在我能(?:帮忙|回答|讨论)的范围|超出了?我(?:被允许|能|可以)|我只能拒绝|我选择不回应|我不能提供|我没有权限",
-            # Japanese
-            r"お?(?:答え|応え|手伝い|話し|助け|教え)(?:する|は|を)?(?:こと)?(?:は|が|も)?(?:でき(?:ません|かね)|しかね|いたしかね|控え)|ご?(?:依頼|要望|質問|お願い)(?:に|は|には)?(?:お応え|お答え|対応)?(?:は)?(?:できません|できかね|いたしかね|お断り)|お断り(?:します|いたします|させて)|控えさせていただき|差し控え|回答(?:は|を)?(?:できません|いたしかね|拒否|控え)|対応(?:は)?(?:できません|いたしかね)|範囲を超えて",
+            rf"(?<![他她它们者])(?:{_ZH_CANNOT})(?:为您|为你|对此|就此|再|继续|这方面|提供|在这|给您|给你|向您|向你|直接|具体|对这|就这|进行|予以|参与|任何|您的|你的|这个|这类|此类){{0,3}}(?:{_ZH_SPEAK})",
+            r"(?:这件事|这个话题|这类内容|这个问题|这个请求|这方面|此事|此类问题|这事)(?:我|我们)?(?:也|都|实在|恐怕|暂时)?(?:不便|不方便|不予|不会|没有办法|没办法|无法|不能|没有权限|无权|帮不了|帮不上|答不了|不谈|不聊|不说)|不在我(?:能|可以)?(?:帮忙|回答|讨论|的)?的?(?:范围|职责|能力)|超出了?我(?:被允许|能|可以|的)|我只能拒绝|我(?:选择|宁愿|宁可)不|我没有权限|爱莫能助|无可奉告|恕难从命|不予置评|帮不(?:上|了)(?:忙|您|你|这个)?|(?:规定|准则|规则|政策)(?:不允许|禁止|不许)我?|我的(?:回答|答案)(?:只能)?是不",
+            r"(?:抱歉|对不起|很遗憾|不好意思)(?:我|这个?|此事|但|可是|您的|你的|请求|要求|问题){0,4}(?:不行|不可以|做不到|办不到|没办法|不能|无法|不可能|恕)",
+            rf"{_JA_SPEAK}{_JA_NOT}|(?:ご)?(?:依頼|要望|質問|お願い|件|話題|内容)(?:に|は|には|について|については)?(?:は)?(?:お断り|ご遠慮|遠慮|控え|差し控え|できません|できかね|触れ(?:ません|ない)|無理)|お断り(?:し|いた|さ|です|申)|(?:控え|遠慮)させていただ|差し控え|ご容赦(?:ください|願)|範囲を超えて|規則(?:に|で|上)(?:より|は)?(?:禁じ|でき|認め)",
+            r"(?:申し訳|すみません|恐れ入り|残念ながら|ごめん|恐縮)[^。]{0,30}(?:できません|できかね|かねます|られません|れません|無理です|しません|ありません(?!が))",
         )
     )
 )
-# Courtesies that may stand around a refusal.
+#: Words after which, with a colon or a quotation, someone else is speaking.
+REPORTS = re.compile(
+    r"\b(?:said|says|wrote|writes|replied|replies|answered|answers|told|asked|reads?|stated|states|sagte|sagt|schrieb|schreibt|antwortete|erwiderte|meinte|dit|écrit|écrivit|répondit|répond|déclara|a (?:dit|écrit|répondu)|dijo|dice|escribió|respondió|contestó|disse|diz|escreveu|respondeu|сказала?|говорит|написала?|ответила?|пишет)\b[^.!?]{0,40}$"
+)
+REPORTS_WIDE = re.compile(r"(?:[他她]们?|[者人员])[^，。,]{0,6}(?:说|写|回答|答|表示)|(?:彼女?|[者さ][んは]?)[^、。]{0,8}(?:言|述べ|答え|書)|と(?:言|述べ|答え|書)")
+_QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|「[^」]*」|『[^』]*』|(?<!\w)\"[^\"]*\"(?!\w)|(?<!\w)'[^']{3,}'(?!\w)")
+# Sentences that go with a refusal: apologies, thanks, what was asked, advice to ask someone or something else.
 COURTESY = re.compile(
-    r"^(?:sorry|i m sorry|i am sorry|i apologi[sz]e|thank you.{0,40}|thanks.{0,40}|hmm|unfortunately|regrettably|leider|danke.{0,40}|es tut mir leid|tut mir leid|désolé|je suis désolé|merci.{0,40}|lo siento|gracias.{0,40}|lamento|obrigad[oa].{0,40}|извините|спасибо.{0,40}|к сожалению)$"
+    r"^(?:you (?:want|wanted|ask|asked|would like|d like)|this (?:concerns|is about)|your (?:question|request)|(?:du|sie) (?:möchtest|möchten|willst|wollen|fragst|fragen)|es geht um|vous (?:voulez|souhaitez|demandez)|tu (?:veux|demandes)|il s agit d|cela concerne|quieres?|usted quiere|preguntas?|esto trata|se trata de|você quer|quer saber|pergunta|isto trata|trata se de|(?:вы|ты) (?:хотите|хочешь|спрашива\w+)|речь ид[её]т|это касается)\b|"
+    r"\b(?:sorry|apologi[sz]e|apologies|thank|thanks|regrettably|unfortunately|understanding|consult|another question|different question|other questions?|something else|anything else|feel free|happy to help|gladly|instead|ask (?:a|an|someone|your)|"
+    r"leid|danke|vielen dank|verständnis|fachperson|andere frage|anderen frage|anderes|wende dich|wenden sie|gerne?|stattdessen|désolée?|merci|compréhension|spécialiste|autre question|autre chose|plutôt|volontiers|consultez|adressez|"
+    r"siento|gracias|lamento|comprensión|especialista|otra pregunta|otra cosa|consulte|consulta|obrigad[oa]|compreensão|outra pergunta|outra coisa|procure|"
+    r"извините|простите|спасибо|сожалению|понимание|специалист\w*|обратитесь|другой вопрос|другие вопросы|другую тему)\b"
 )
+COURTESY_WIDE = re.compile(r"^(?:[你您](?:想|要|问)|这(?:涉及|是关于)|关于)|についてのご?質問|感谢|谢谢|抱歉|对不起|遗憾|请谅解|请咨询|其他问题|换一个话题|请教|专业人士|理解|見谅|ご理解|ありがとう|申し訳|すみません|恐れ入り|専門家|他の質問|別の質問|ほかの|お問い合わせ|ご相談|残念")
 
 # ---- Fixed values: continuation marks at the end ---------------------------------------------------------------
 CONTINUED = re.compile(
@@ -218,6 +283,14 @@ class Question:
     def characters(self) -> list[str]:
         return list("".join(self.words))
 
+    @cached_property
+    def word_set(self) -> frozenset[str]:
+        return frozenset(self.words)
+
+    @cached_property
+    def character_pairs(self) -> frozenset[tuple[str, str]]:
+        return frozenset(zip(self.characters, self.characters[1:]))
+
     @cached_property
     def wide(self) -> bool:
         return _wide(self.text)
@@ -237,43 +310,73 @@ class Question:
         return {language_of(s) for s in _SENTENCE.split(_FENCED.sub("\n", self.text)) if len(s) > 8}
 
     @cached_property
-    def asks_repetition(self) -> bool:
-        return REPEAT_ASKED.search(self.text) is not None
+    def repetition_words(self) -> list[str]:
+        return [" ".join(_WORDS.findall(m[0].casefold())) for m in REPEAT_ASKED.finditer(self.text)]
+
+    def asks_to_repeat(self, answer: str) -> bool:
+        """Whether the question asks for its repetition, in words that the answer doesn't repeat along with the rest."""
+        said = " ".join(_WORDS.findall(answer.casefold()))
+        return any(words not in said for words in self.repetition_words)
 
 
 def is_empty(answer: str | None) -> bool:
+    """Nothing but blanks, marks, markup, a bare heading or a placeholder, however often it is repeated."""
     if answer is None:
         return True
-    if len(answer) > 200 and len(answer.strip()) > 200 and _WORDS.search(answer):
-        return False
-    bare = _TAG.sub(" ", _FENCE.sub(" ", answer))
-    words = " ".join(_WORDS.findall(bare.casefold()))
-    if not words:
+    bare = _FENCE.sub(" ", answer) if "```" in answer or "~~~" in answer else answer
+    if "<" in bare:
+        bare = _TAG.sub(" ", bare)
+    distinct: dict[str, None] = {}
+    for word in _WORDS.finditer(bare):
+        distinct[word[0].casefold()] = None
+        if len(distinct) > PLACEHOLDER_WORDS:  # no placeholder has so many words
+            return False
+    if not distinct:
         return not any(c in "=+√∞π" for c in bare)
-    return words in PLACEHOLDERS or " ".join(dict.fromkeys(words.split())) in PLACEHOLDERS
-
-
-def is_refusal(answer: str) -> bool:
-    answer = answer.strip()
-    if len(answer) > REFUSAL_CHARS or "```" in answer:
+    return " ".join(distinct) in PLACEHOLDERS or " ".join(_WORDS.findall(bare.casefold())) in PLACEHOLDERS
+
+
+def declines(sentence: str) -> bool:
+    """Whether a sentence, apart from what it quotes or reports, declines to answer."""
+    said = _QUOTED.sub(" ", sentence)
+    for colon in (":", "："):
+        head, found, _ = said.partition(colon)
+        if found and (REPORTS.search(" ".join(_WORDS.findall(head.casefold()))) or REPORTS_WIDE.search(head)):
+            said = head
+    words = _WORDS.findall(said.casefold())
+    if _wide(said):
+        return DECLINES_WIDE.search("".join(words)) is not None and not REPORTS_WIDE.search(said)
+    return not _TRIGGER_WORDS.isdisjoint(words) and DECLINES.search(" ".join(words)) is not None
+
+
+def is_refusal(answer: str, question: Question | None = None) -> bool:
+    """Whether an answer declines: some sentence does, and what is neither declining nor polite nor taken from the
+    question is less than half of the answer's letters."""
+    sentences = [s for s in _SENTENCE.split(_FENCED.sub("\n", answer)) if s and not s.isspace()]
+    declining = [declines(s) for s in sentences]
+    if not any(declining):
         return False
-    said = 0
-    for sentence in _SENTENCE.split(answer):
-        if not sentence:
-            continue
-        words = " ".join(_WORDS.findall(sentence.casefold()))
-        if not words:
+    asked = question.word_set if question else frozenset()
+    substance = sum(map(len, _LETTERS.findall("".join(_FENCED.findall(answer)))))
+    total = substance
+    for sentence, declined in zip(sentences, declining):
+        words = _WORDS.findall(sentence.casefold())
+        letters = sum(map(len, words))
+        total += letters
+        if declined:
             continue
         if _wide(sentence):
-            if REFUSALS_WIDE.search(words.replace(" ", "")):
-                return True
-        elif REFUSALS.search(words):
-            return True
-        if not COURTESY.match(words):
-            said += 1
-        if said == 2:
-            return False
-    return False
+            said = list("".join(words))
+            polite = COURTESY_WIDE.search("".join(words))
+            known = question.character_pairs if question else frozenset()
+            repeated = sum(p in known for p in zip(said, said[1:])) if known else 0
+            parts = len(said) - 1
+        else:
+            polite = COURTESY.search(" ".join(words))
+            repeated, parts = sum(w in asked for w in words), len(words)
+        if not polite and 3 * repeated < 2 * parts:
+            substance += letters
+    return 2 * substance < total
 
 
 def is_echo(question: Question, answer: str) -> bool:
@@ -300,7 +403,7 @@ def is_echo(question: Question, answer: str) -> bool:
         run = run + 1 if x else 0
         longest = max(longest, run)
     breaks = sum(not j for j in joined[start:])
-    return longest <= (5 if wide else 2) and breaks <= 1 + len(said[start:]) // (12 if wide else 7) and not question.asks_repetition
+    return longest <= (5 if wide else 2) and breaks <= 1 + len(said[start:]) // (12 if wide else 7) and not question.asks_to_repeat(answer)
 
 
 def is_wrong_language(question: Question, answer: str) -> bool:
@@ -376,13 +479,15 @@ def unwrapped(text: str) -> str:
 
 
 def defects(question: Question | str | None, answer: str | None) -> list[str]:
-    """Every defect of a pair that a rule finds, in the order of RULES; an empty answer has that defect alone."""
-    if is_empty(answer):
-        return ["empty"]
+    """Every defect of a pair that a rule finds, in the order of RULES; of a NULL answer nothing more than that can be said."""
+    found = ["empty"] if is_empty(answer) else []
+    if answer is None:
+        return found
     answer = unwrapped(answer)
     if not isinstance(question, Question):
         question = Question(question)
-    found = ["refusal"] if is_refusal(answer) else []
+    if is_refusal(answer, question):
+        found.append("refusal")
     if question.text:
         if is_echo(question, answer):
             found.append("echo")

@@ -7,9 +7,14 @@ MESSAGES = "array<struct<role:string,content:string>>"
 Q = "Describe the link between the quiet mill and the tall bridge for readers in Osnorvek."
 
 
-@pytest.mark.parametrize("answer", [None, "", "  \n", "​", "```\n\n```", "<think>\n</think>", "**Answer**:", "答案：", "N/A", "(no response)", "...", "-", "[empty]"])
+@pytest.mark.parametrize("answer", [None, "", "  \n", "​", "```\n\n```", "<think>\n</think>", "**Answer**:", "答案：", "N/A", "(no response)", "...", "-", "[empty]", "<|assistant|>" * 15, "<|assistant|>" * 16, "N/A " * 40, "N/A " * 60, "-" * 900 + "\n" * 900])
 def test_empty(answer):
-    assert P.defects(Q, answer) == ["empty"]
+    assert P.defects(Q, answer)[0] == "empty"
+
+
+def test_every_rule_that_fires_comes_out():
+    assert P.defects(Q, None) == ["empty"] and P.defects(Q, "...") == ["empty", "truncated"]
+    assert P.defects(Q, "<|assistant|> It is so. " * 20) == []
 
 
 @pytest.mark.parametrize(
@@ -31,6 +36,43 @@ def test_refusal(answer):
     assert P.defects(None, answer)[0] == "refusal"
 
 
+# Phrasings that no rule was written from.
+HELD_OUT = {
+    "en": "I refuse.|I must refuse to answer.|That's not something I can do for you.|I'm not going to answer this.|Unfortunately I'm not permitted to talk about it.|This request is against my policy.|Sorry, no can do.|We are unable to process this request.|I shall not speak about it; I can't explain why.",
+    "de": "Tut mir leid, das geht leider nicht.|Ich weigere mich, das zu schreiben.|Das ist mir nicht gestattet.|Darüber spreche ich nicht.|Diese Anfrage kann ich leider nicht bearbeiten.",
+    "fr": "Je regrette, mais ce n'est pas possible.|Je m'abstiens de tout commentaire.|Il m'est impossible de répondre à cette demande.|Désolé, je n'ai pas le droit d'en parler.",
+    "es": "Me niego a responder.|Lamentablemente, no es posible atender esta solicitud.|No me está permitido hablar de ello.|Prefiero no opinar.",
+    "pt": "Recuso-me a responder.|Infelizmente, não é possível.|Não tenho permissão para falar disso.|Peço desculpa, mas não consigo ajudar.",
+    "ru": "К сожалению, с этим помочь не получится.|Я отказываюсь отвечать.|Мне запрещено это обсуждать.|Извините, но это невозможно.",
+    "zh": "恕难从命。|这个我帮不了你。|很遗憾，我无权透露。|对不起，这个要求我做不到。",
+    "ja": "申し訳ありませんが、その件については触れられません。|ご要望には応じられません。|すみませんが、お手伝いできません。|お力になれません。",
+}
+
+
+@pytest.mark.parametrize("language", sorted(HELD_OUT))
+def test_other_phrasings(language):
+    said = HELD_OUT[language].split("|")
+    assert sum("refusal" in P.defects(Q, x) for x in said) >= 0.8 * len(said)
+
+
+def test_refusals_of_any_length():
+    assert P.defects(Q, "I'm sorry, but I can't help with that request. " * 10) == ["refusal"]
+    assert "refusal" in P.defects(Q, "You want to know about the tall bridge. The quiet mill is what readers ask about. " + "I won't go into that. " * 3)
+    assert P.defects(Q, "I can't say who built it, but this is known. " + "The mill by the river feeds the bridge, and the town paid for both of them. " * 4) == []
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "He wrote: I can't answer that today.", "The clerk said, “I cannot help you,” and closed the window.", "Er kann heute nicht helfen.", "The bridge cannot be crossed in winter.", "Unfortunately, the mill is not open on Sundays.",
+        "Le pont n'est pas ouvert en hiver.", "El molino no puede abrir por la nieve.", "Мельница не может работать зимой.", "这座桥冬天不能通行。", "この橋は冬に渡ることができません。", "他说他不能回答这个问题。", "彼は質問に答えられませんでした。",
+        "Der Müller antwortete: Ich kann dir nicht helfen.", "Do not answer the door.", "In this letter the writer declines the offer of the town.", "```\nprint('I cannot help')\n```",
+    ],
+)
+def test_no_refusal(answer):
+    assert "refusal" not in P.defects("Why did he leave?", answer)
+
+
 @pytest.mark.parametrize(
     "answer",
     [
@@ -70,6 +112,11 @@ def test_echo(answer):
     assert P.defects(Q, answer)[0] == "echo"
 
 
+@pytest.mark.parametrize("question", ["¿Qué debe hacer el equipo cuando la sala de archivos copia todo el envío?", "Draft a note that says the painted mill copies the narrow lantern before noon."])
+def test_words_of_repetition_in_the_text_ask_for_none(question):
+    assert P.defects(question, question)[0] == "echo"
+
+
 def test_no_echo():
     text = "The quiet mill feeds the tall bridge in the valley."
     assert P.defects(f"Repeat the following text exactly as it stands:\n{text}", text) == []
