@@ -1,22 +1,20 @@
 """Problem 3: records that are equal apart from how they are written.
 
-Method: every record gets a canonical key (a 128-bit digest of its canonical form). Keys are counted exactly
-by partial counts per task, merged by key. Keys with at least a thousandth of all records are hot: there are at
-most a thousand of them, so they may be broadcast. Their rows never meet in one task: they are salted by
-identifier into a two-level aggregation, and each hot row finds its representative in the broadcast result. All
-other groups are small by construction and take one shuffle on the key. Representatives are the smallest ids.
+Method: every record gets a canonical key (a 128-bit digest of its canonical form). Keys are counted exactly by partial
+counts per task, merged by key in one shuffle of a few bytes a record; these counts show which keys are hot (HOT_ROWS
+rows or more, and at most HOT_KEYS keys, whatever the number of records). Hot keys are aggregated in two levels, salted by
+identifier; the rest in one. The representative of a group is its smallest id. Where each record has to meet its
+representative, hot keys are salted again, so that no task holds more rows of one key than the bound.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.runtime import staged, table
+from tessera.runtime import hot_bound, salted_join, staged, table
 
-#: A key is hot if it holds one in so many records, and at least HOT_LEAST of them; so there are at most HOT_SHARE hot keys.
-HOT_SHARE, HOT_LEAST = 1000, 10_000
-#: Rows of a hot key are spread over so many groups in the first level.
-SALTS = 64
+#: A key with so many rows is hot, unless there are more than HOT_KEYS such keys: then the bound is doubled until there aren't.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
 
 LINE_SCHEMA = "messages array<struct<role string, content string>>, source string, channel string, lang string, _broken string"
 
@@ -66,6 +64,30 @@ def line_records(df: DataFrame, id_column: str = "line_id", raw: str = "raw") ->
     return parsed.where("r IS NOT NULL AND r._broken IS NULL").select("id", _key(form).alias("key"))
 
 
+class Copies:
+    """The groups of equal records of ``records (id, key)``. All frames are staged tables of some bytes a record."""
+
+    def __init__(self, records: DataFrame) -> None:
+        self.records = staged(records)  # read several times below instead of canonicalising again
+        counted = staged(self.records.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("keep_id")))
+        self.bound = hot_bound(counted, "copies", HOT_ROWS, HOT_KEYS)
+        rest = counted.where(F.col("copies") < self.bound)
+        hot_keys = counted.where(F.col("copies") >= self.bound).select("key", F.ceil(F.col("copies") / self.bound).cast("int").alias("salts"))
+        hot = self.records.join(F.broadcast(hot_keys), "key")  # at most HOT_KEYS keys
+        first_level = hot.groupBy("key", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt")).agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("keep_id"))
+        second_level = first_level.groupBy("key").agg(F.sum("copies").alias("copies"), F.min("keep_id").alias("keep_id"))
+        #: ``key, copies, keep_id``: one row for each distinct record.
+        self.groups = rest.unionByName(second_level)
+
+    def collapsed(self) -> DataFrame:
+        """``keep_id, copies`` of each group. ``keep_id`` is NULL only where all ids of the group are."""
+        return self.groups.select("keep_id", "copies")
+
+    def placed(self, groups: DataFrame) -> DataFrame:
+        """``keep_id, id, copies`` of every row of some groups."""
+        return salted_join(self.records, groups.withColumn("n", F.col("copies")), ["key"], "n", F.col("id"), self.bound).select("keep_id", "id", "copies")
+
+
 def grouped_copies(records: DataFrame) -> DataFrame:
     """``keep_id, id, copies`` of every record of ``records (id, key)``.
 
@@ -73,38 +95,34 @@ def grouped_copies(records: DataFrame) -> DataFrame:
     with the same id count each. Rows whose id is NULL count as copies, but represent a group only if all its
     ids are NULL. An empty table gives no rows.
     """
-    records = staged(records)  # 24 bytes a record: read several times below instead of canonicalising again
-    total = records.count()
-    threshold = max(HOT_LEAST, total // HOT_SHARE)
-    hot_keys = records.groupBy("key").count().where(F.col("count") >= threshold).select("key")
-    hot_keys = staged(hot_keys)  # at most HOT_SHARE rows
-    small = Window.partitionBy("key")
-    rest = records.join(F.broadcast(hot_keys), "key", "left_anti")
-    rest = rest.select(F.min("id").over(small).alias("keep_id"), "id", F.count(F.lit(1)).over(small).alias("copies"))
-    if not hot_keys.head(1):
-        return rest
-    hot = records.join(F.broadcast(hot_keys), "key")
-    first_level = hot.groupBy("key", F.pmod(F.hash("id"), F.lit(SALTS)).alias("salt")).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
-    second_level = first_level.groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
-    return rest.unionByName(hot.join(F.broadcast(second_level), "key").select("keep_id", "id", "copies"))
+    copies = Copies(records)
+    return copies.placed(copies.groups)
+
+
+def collapsed(records: DataFrame) -> DataFrame:
+    """``keep_id, copies``: one row for each distinct record, as in ``grouped_copies``; no row meets another but by aggregation."""
+    return Copies(records).collapsed()
+
+
+def repeated(records: DataFrame) -> DataFrame:
+    """``keep_id, id, copies`` of the records that repeat one with a smaller id."""
+    copies = Copies(records)
+    return copies.placed(copies.groups.where("copies > 1")).where("id > keep_id")
 
 
 def _both(spark: SparkSession, root: str) -> list[tuple[str, DataFrame]]:
-    return [
-        ("chats", grouped_copies(chat_records(table(spark, root, "chats")))),
-        ("raw_lines", grouped_copies(line_records(table(spark, root, "raw_lines")))),
-    ]
+    return [("chats", chat_records(table(spark, root, "chats"))), ("raw_lines", line_records(table(spark, root, "raw_lines")))]
 
 
 def p3_collapsed(spark: SparkSession, root: str) -> DataFrame:
     """One row for each distinct record of chats and raw_lines: its smallest id and its number of copies."""
-    parts = [d.where("id = keep_id").select(F.lit(t).alias("tab"), "keep_id", "copies") for t, d in _both(spark, root)]
+    parts = [collapsed(d).select(F.lit(t).alias("tab"), "keep_id", "copies") for t, d in _both(spark, root)]
     return parts[0].unionByName(parts[1])
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Each record that repeats another one, beside the one to keep."""
-    parts = [d.where("id > keep_id").select(F.lit(t).alias("tab"), "keep_id", F.col("id").alias("copy_id")) for t, d in _both(spark, root)]
+    parts = [repeated(d).select(F.lit(t).alias("tab"), "keep_id", F.col("id").alias("copy_id")) for t, d in _both(spark, root)]
     return parts[0].unionByName(parts[1])
 
 

@@ -61,14 +61,31 @@ def test_lines(spark):
 
 
 def test_hot_keys_take_the_salted_way(spark, monkeypatch):
-    monkeypatch.setattr(C, "HOT_LEAST", 50)
+    monkeypatch.setattr(C, "HOT_ROWS", 50)
     df = spark.range(1000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 400).cast("string")).alias("key"))
-    monkeypatch.setattr(C, "HOT_SHARE", 10)
     got = groups(df)
     by = {}
     for r in df.collect():
         by.setdefault(r["key"], []).append(r["id"])
     assert got == sorted((min(v), i, len(v)) for v in by.values() for i in v)
+    assert sorted(map(tuple, C.collapsed(df).collect())) == sorted((min(v), len(v)) for v in by.values())
+    assert sorted((r["keep_id"], r["id"]) for r in C.repeated(df).collect()) == sorted((min(v), i) for v in by.values() for i in v if i > min(v))
+
+
+def test_hot_keys_are_few_and_no_task_holds_one(spark, monkeypatch):
+    monkeypatch.setattr(C, "HOT_ROWS", 10)
+    monkeypatch.setattr(C, "HOT_KEYS", 3)
+    df = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, "third").otherwise((F.col("id") % 150).cast("string")).alias("key"))
+    copies = C.Copies(df)
+    assert copies.bound > 60 and copies.groups.where(F.col("copies") >= copies.bound).count() == 1
+    rows = copies.placed(copies.groups)
+    assert rows.count() == 6000 and rows.where("keep_id = 0").count() == 2000
+
+
+def test_ids_that_are_null_or_repeated(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "a"), (4, "b"), (4, "b"), (5, "b"), (None, "b")], "id long, key string")
+    assert sorted(map(str, (tuple(r) for r in C.collapsed(df).collect()))) == ["(4, 4)", "(None, 2)"]
+    assert [tuple(r) for r in C.repeated(df).collect()] == [(4, 5, 4)]
 
 
 def test_queries_equal_their_sql(spark, small):
