@@ -10,7 +10,7 @@ looked up from then on, which makes scoring a dictionary lookup a word. Runs of
 the segments of a text; short or doubtful sentences follow their neighbours.
 
 The classifier (weights, document frequencies, temperature) is fitted on the driver on a bounded sample of
-labelled rows: about SAMPLE_ROWS rows for each label and table, at most MAX_SAMPLE altogether. Everything else
+labelled rows: about SAMPLE_ROWS rows for each label and table, about MAX_SAMPLE altogether. Everything else
 reads every text whole, in one pass without a shuffle.
 """
 
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.runtime import broadcast_object, received, spread, table
+from tessera.runtime import broadcast_object, received, spread, staged, table
 
 #: Bound of the training sample: rows for each label and table, and rows altogether.
 SAMPLE_ROWS, MAX_SAMPLE = 700, 25_000
@@ -344,18 +344,22 @@ def label_of(column: str) -> F.Column:
 
 
 def training_sample(*sources: tuple[DataFrame, str, str, F.Column]) -> list[tuple[str, str]]:
-    """A bounded sample of labelled texts of ``(table, id column, label column, array of texts)``."""
+    """A bounded sample of labelled texts of ``(table, id column, label column, array of texts)``.
+
+    About SAMPLE_ROWS rows of each label and table, the ids with the least hashes, so the sample doesn't depend on the
+    order or layout of the rows. With so many labels that this would exceed MAX_SAMPLE, every label gives less in
+    proportion. The counts of the labels stay in a table; rows whose id is NULL are not taken.
+    """
     out = []
     for df, id_column, label, texts in sources:
-        counts = {r["label"]: r["count"] for r in df.select(label_of(label).alias("label")).where("label IS NOT NULL").groupBy("label").count().orderBy(F.desc("count")).limit(200).collect()}
-        if not counts:
-            continue
-        share = F.lit(0)
-        for k, n in counts.items():
-            share = F.when(label_of(label) == k, min(1_000_000, SAMPLE_ROWS * 1_000_000 // n)).otherwise(share)
-        chosen = df.where(F.pmod(F.xxhash64(F.col(id_column)), F.lit(1_000_000)) < share).limit(MAX_SAMPLE // len(sources))
-        for r in chosen.select(label_of(label).alias("label"), F.array_join(texts, "\n").alias("text")).collect():
-            out.append((r["text"] or "", r["label"]))
+        named = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), label_of(label).alias("label"), texts.alias("texts")).where("label IS NOT NULL")
+        counts = staged(named.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+        wanted = counts.agg(F.sum(F.least("n", F.lit(SAMPLE_ROWS)))).first()[0] or 0
+        share = min(1.0, MAX_SAMPLE / len(sources) / wanted) if wanted else 0.0
+        chance = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
+        chosen = named.join(counts, "label").where(chance * F.col("n") < F.least("n", F.lit(SAMPLE_ROWS)) * share)
+        rows = chosen.select("label", "id", F.array_join("texts", "\n").alias("text")).collect()
+        out += [(r["text"] or "", r["label"]) for r in sorted(rows, key=lambda r: (r["label"], r["id"], r["text"] or ""))]
     return out
 
 
@@ -454,26 +458,35 @@ def languages(scorer: Scorer, df: DataFrame, id_column: str, label: str, texts:
     return spread(source).mapInArrow(_detector(broadcast_object(df.sparkSession, scorer)), schema)
 
 
-def _all_units(spark: SparkSession, root: str) -> DataFrame:
+def _sources(spark: SparkSession, root: str) -> list[tuple[str, DataFrame, str, F.Column]]:
     chats, questions, documents = (table(spark, root, t) for t in ("chats", "questions", "documents"))
-    sources = [
+    return [
         ("chats", chats, "sample_id", F.col("messages.content")),
         ("questions", questions, "question_id", F.col("turns")),
         ("documents", documents, "doc_id", F.array("text")),
     ]
-    scorer = fit(training_sample(*((df, key, "lang", texts) for _, df, key, texts in sources)))
-    parts = [languages(scorer, df, key, "lang", texts).select(F.lit(tab).alias("tab"), "*") for tab, df, key, texts in sources]
+
+
+def fitted(spark: SparkSession, root: str) -> Scorer:
+    """The classifier of a set of tables; give it to ``p2_found`` and ``p2_segments`` to fit it once for both."""
+    return fit(training_sample(*((df, key, "lang", texts) for _, df, key, texts in _sources(spark, root))))
+
+
+def _all_units(spark: SparkSession, root: str, scorer: Scorer | None) -> DataFrame:
+    scorer = scorer or fitted(spark, root)
+    parts = [languages(scorer, df, key, "lang", texts).select(F.lit(tab).alias("tab"), "*") for tab, df, key, texts in _sources(spark, root)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def p2_segments(spark: SparkSession, root: str) -> DataFrame:
+def p2_segments(spark: SparkSession, root: str, scorer: Scorer | None = None) -> DataFrame:
     """Every message content, question turn and document, by passage, with language and confidence."""
-    return _all_units(spark, root).select("tab", "rec_id", "pos", F.posexplode("segments").alias("segment", "s")).select("tab", "rec_id", "pos", "segment", "s.*")
+    units = _all_units(spark, root, scorer)
+    return units.select("tab", "rec_id", "pos", F.posexplode("segments").alias("segment", "s")).select("tab", "rec_id", "pos", "segment", "s.*")
 
 
-def p2_found(spark: SparkSession, root: str) -> DataFrame:
+def p2_found(spark: SparkSession, root: str, scorer: Scorer | None = None) -> DataFrame:
     """The languages of every text whose set of languages isn't exactly its row's label."""
     found = F.array_distinct(F.transform(F.filter("segments", lambda s: s["full"]), lambda s: s["lang"]))
-    units = _all_units(spark, root).select("tab", "rec_id", "pos", "label", found.alias("langs"))
+    units = _all_units(spark, root, scorer).select("tab", "rec_id", "pos", "label", found.alias("langs"))
     wrong = units.where(F.col("label").isNull() | (F.size("langs") != 1) | (F.element_at("langs", 1) != F.col("label")))
     return wrong.select("tab", "rec_id", "pos", F.explode("langs").alias("lang"))

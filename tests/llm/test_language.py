@@ -71,6 +71,16 @@ def test_table_with_every_kind_of_row(spark, scorer):
     assert L.languages(scorer, df.limit(0), "doc_id", "lang", F.array("text")).count() == 0
 
 
+def test_sample_is_bounded_and_fixed(spark, monkeypatch):
+    df = spark.range(6000).select("id", F.when(F.col("id") < 5000, "EN ").when(F.col("id") < 5400, "de").otherwise(F.concat(F.lit("x"), F.col("id"))).alias("lang"), F.col("id").cast("string").alias("text"))
+    take = lambda d: L.training_sample((d, "id", "lang", F.array("text")))
+    sample = take(df)
+    assert sample == take(df.repartition(7)) and abs(sum(k == "en" for _, k in sample) - L.SAMPLE_ROWS) < 120
+    assert sum(k == "de" for _, k in sample) == 400 and sum(k.startswith("x") for _, k in sample) == 600  # no label is left out
+    monkeypatch.setattr(L, "MAX_SAMPLE", 170)
+    assert 60 < len(take(df)) < 400
+
+
 def test_without_labels(spark):
     df = spark.createDataFrame([(1, EN, None)], "doc_id long, text string, lang string")
     scorer = L.fit(L.training_sample((df, "doc_id", "lang", F.array("text"))))
