@@ -127,14 +127,14 @@ def hot_bound(counts: DataFrame, n: str = "n", least: int | None = None, most_ke
 
 
 def salted_join(rows: DataFrame, one_each: DataFrame, keys: list[str], n: str, salt: Column, bound: int | None = None) -> DataFrame:
-    """``rows`` joined with ``one_each``, which has one row a key and in ``n`` how many of ``rows`` hold the key (dropped).
+    """``rows`` joined with ``one_each``, which has one row (or few) a key and in ``n`` how many of ``rows`` hold the key (dropped).
 
     A key with ``bound`` rows or more is dealt by ``salt`` into parts of about that many, and its row of ``one_each`` is
     given to each part. Only those keys are broadcast, at most HOT_KEYS; everything is one join in one shuffle.
     """
     bound = bound or hot_bound(one_each, n)
     parts = F.ceil(F.col(n) / F.lit(bound)).cast("int")
-    hot = one_each.where(F.col(n) >= bound).select(*keys, (parts + 1).alias("_parts"))
+    hot = one_each.where(F.col(n) >= bound).select(*keys, (parts + 1).alias("_parts")).distinct()
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(salt), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
     given = one_each.withColumn("_salt", F.explode(F.when(F.col(n) >= bound, F.sequence(F.lit(0), parts)).otherwise(F.array(F.lit(0))))).drop(n)
     return dealt.join(given, [*keys, "_salt"]).drop("_salt")
