@@ -7,9 +7,10 @@ nothing. Rarity is counted over the whole corpus in a first pass; ordering shing
 The place of the shingle in the window gives its place in the text: a candidate is discarded if the window
 would begin before the text or end after it. What is left is verified word by word over the item-sized window.
 
-The items are the stated query set. They are taken in blocks of at most BLOCK_TURNS turns; an index of a block
-(some hundred bytes a word) is broadcast, so what is broadcast doesn't grow with the data. Nothing is gathered
-from the corpus but one number for each shingle of the items.
+Items of at most BLOCK_CHARACTERS altogether (their size is counted first) are one index, which is broadcast: some hundred
+bytes a word. More items are joined by shuffle: their shingles, then their windows' prefixes, select by a bitmap of a fixed
+size what of the corpus takes part; shingles are counted in one pass over the corpus, and a second one gives the places of
+prefix shingles with the words around them, in which windows are verified. Either way the corpus is read twice.
 """
 
 from __future__ import annotations
@@ -19,14 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.runtime import broadcast_object, received, spread, staged, table
+from tessera.runtime import broadcast_object, received, salted_join, spread, staged, table
 
 WORDS, CHARACTERS = 12, 20
 SHINGLE_WORDS, SHINGLE_CHARACTERS = 3, 4
-#: Turns of items in one broadcast block.
-BLOCK_TURNS = 4000
+#: Characters of items in a broadcast index; beyond, items are joined by shuffle.
+BLOCK_CHARACTERS = 2_000_000
+#: Bits of the bitmap that selects shingles of the corpus, as a power of two: 16 MB.
+BITMAP_BITS = 27
 
 # The code points of Chinese characters.
 HAN = "㐀-䶿一-鿿豈-﫿\U00020000-\U000323af"
@@ -207,46 +211,174 @@ def _finder(shared):
     return find
 
 
+def _by_broadcast(texts: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    """``item, row`` by an index of all items in every task."""
+    spark = texts.sparkSession
+    indexes = [ItemIndex(kind, items) for kind in KINDS]
+    counts = [np.zeros(len(i.keys), dtype=np.int64) for i in indexes]
+    shared = broadcast_object(spark, indexes)
+    counted = texts.mapInArrow(_counter(shared), "k int, shingle long, n long").groupBy("k", "shingle").agg(F.sum("n").alias("n"))
+    for r in counted.toArrow().to_pylist():  # one row for each shingle of the items at most
+        counts[r["k"]][r["shingle"]] = r["n"]
+    for index, count in zip(indexes, counts):
+        index.order(count)
+    shared = broadcast_object(spark, indexes)
+    return texts.mapInArrow(_finder(shared), "item long, row long")
+
+
+class Shingler:
+    """64-bit hashes of the shingles of a sequence of tokens; every word is hashed once."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def __call__(self, kind: str, tokens: list[str]) -> np.ndarray:
+        width = KINDS[kind][2]
+        if len(tokens) < width:
+            return np.zeros(0, dtype=np.int64)
+        if len(self.known) > 400_000:  # bounds the table
+            self.known.clear()
+        known = self.known
+        for t in tokens:
+            if t not in known:
+                known[t] = xxhash.xxh64_intdigest(t)
+        h = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+        n = len(h) - width + 1
+        out = np.full(n, sum(map(ord, kind)), dtype=np.uint64)
+        for k in range(width):
+            out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out.view(np.int64)
+
+
+_JOINT = "\x1f"  # between the tokens of a window
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ``item, turn`` the windows of each turn and the hashes of their shingles."""
+    shingler = Shingler()
+    for batch in batches:
+        out = []
+        for item, turn in zip(*(batch.column(k).to_pylist() for k in range(2))):
+            for kind, (tokens, window, width, _) in KINDS.items():
+                for seq in tokens(turn.replace(_BREAK, " ")):
+                    marks = shingler(kind, seq).tolist()
+                    han = [bool(_HAN.match(t)) for t in seq] if kind == "chinese" else None
+                    for i in range(len(seq) - window + 1):
+                        if han is None or any(han[i : i + window]):
+                            out.append((item, _JOINT.join(seq[i : i + window]), marks[i : i + window - width + 1]))
+        columns = list(zip(*out)) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.list_(pa.int64())))], names=["item", "window", "shingles"])
+
+
+def _bitmap(shingles: DataFrame) -> np.ndarray:
+    """The leading bits of all hashes of column ``shingle`` as a bitmap of 2 ** BITMAP_BITS bits, whatever their number."""
+    place = F.shiftrightunsigned("shingle", 64 - BITMAP_BITS) + 1
+    rows = shingles.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(max(1, (1 << BITMAP_BITS) // 8), dtype=np.uint8)
+    for r in rows:
+        part = np.frombuffer(r["bits"], dtype=np.uint8)
+        at = (r["bucket"] - 1) * len(part)
+        out[at : at + len(part)] = part[: len(out) - at]
+    return out
+
+
+def _chosen(bitmap: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The places of hashes that the bitmap holds; a few more may pass, which the join drops."""
+    at = marks.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+    return np.flatnonzero((bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+
+
+def _sequences(text: str) -> Iterator[tuple[str, list[str]]]:
+    for kind, (tokens, *_) in KINDS.items():
+        for seq in tokens(text):
+            yield kind, seq
+
+
+def _counter_by_hash(shared):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, shingler = received(shared), Shingler()
+        for batch in batches:
+            for _, texts in _slabs(batch.column(1)):
+                found = [marks[_chosen(bitmap, marks)] for text in texts for kind, seq in _sequences(text) if len(marks := shingler(kind, seq))]
+                keys, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *found]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+
+    return count
+
+
+def _finder_by_hash(shared):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, shingler = received(shared), Shingler()
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for rows, texts in _slabs(batch.column(1)):
+                out = []
+                for row, text in zip(rows, texts):
+                    for kind, seq in _sequences(text):
+                        marks, window, width = shingler(kind, seq), KINDS[kind][1], KINDS[kind][2]
+                        for i in _chosen(bitmap, marks).tolist():
+                            a = max(0, i - (window - width))
+                            out.append((int(marks[i]), ids[row], seq[a : i + window], i - a))
+                columns = list(zip(*out)) if out else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int32()))], names=["shingle", "row", "around", "before"])
+
+    return find
+
+
+def _by_shuffle(texts: DataFrame, turns: DataFrame) -> DataFrame:
+    """``item, row`` by joins on hashed shingles; only bitmaps of a fixed size are broadcast."""
+    spark = texts.sparkSession
+    windows = staged(turns.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_item_windows, "item long, window string, shingles array<long>"))
+    marked = staged(windows.select("window", "shingles").dropDuplicates(["window"]).select("window", F.posexplode("shingles").alias("offset", "shingle")))
+    shared = broadcast_object(spark, _bitmap(marked))
+    counts = texts.mapInArrow(_counter_by_hash(shared), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = marked.select("shingle").distinct().join(counts, "shingle", "left").select("shingle", F.coalesce("n", F.lit(0)).alias("n"))
+    # the rarest shingle of each window; one that the corpus lacks rules the window out
+    prefix = marked.join(counts, "shingle").groupBy("window").agg(F.min_by(F.struct("shingle", "offset", "n"), F.struct("n", "shingle")).alias("p"))
+    prefix = staged(prefix.select("window", "p.*").where("n > 0"))
+    shared = broadcast_object(spark, _bitmap(prefix))
+    places = texts.mapInArrow(_finder_by_hash(shared), "shingle long, row long, around array<string>, before int")
+    met = salted_join(places, prefix, ["shingle"], "n", F.col("row")).where(F.col("before") >= F.col("offset"))  # bound by position
+    length = F.size(F.split("window", _JOINT))
+    inside = F.array_join(F.slice("around", F.col("before") - F.col("offset") + 1, length), _JOINT)
+    verified = met.where(inside == F.col("window")).select("window", "row").distinct()
+    return verified.join(windows.select("window", "item").distinct(), "window").select("item", "row")
+
+
 def leaked_items(items: DataFrame, corpus: DataFrame, item_id: str = "question_id", turns: str = "turns", row_id: str = "sample_id", messages: str = "messages") -> DataFrame:
     """``item_id, row_id`` of every item with a window in one message content of a corpus row.
 
     ``items[turns]`` is an array of texts, ``corpus[messages]`` an array of structs with a field ``content``.
     Letter case, punctuation and whitespace don't matter. NULL ids, texts and messages, and texts shorter than a
     window, match nothing; each pair of ids comes out once, however often its windows occur and its rows repeat;
-    an empty table on either side gives no rows. Other columns are ignored. Any number of items is taken, block
-    by block; a text is read whole.
+    an empty table on either side gives no rows. Other columns are ignored. Any number of items is taken; a text is
+    read whole.
     """
-    spark = items.sparkSession
     texts = spread(corpus.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("long").alias("row"), F.col(f"{messages}.content").alias("texts")))
     exploded = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("item"), F.explode(turns).alias("turn")).where("turn IS NOT NULL")
-    found, block = None, []
-    stream = exploded.toLocalIterator()  # the query set, one block in memory at a time
-
-    def search(block: list[tuple[int, str]]) -> DataFrame:
-        indexes = [ItemIndex(kind, block) for kind in KINDS]
-        counts = [np.zeros(len(i.keys), dtype=np.int64) for i in indexes]
-        shared = broadcast_object(spark, indexes)
-        counted = texts.mapInArrow(_counter(shared), "k int, shingle long, n long").groupBy("k", "shingle").agg(F.sum("n").alias("n"))
-        for r in counted.toArrow().to_pylist():  # one row for each shingle of the block's items at most
-            counts[r["k"]][r["shingle"]] = r["n"]
-        for index, count in zip(indexes, counts):
-            index.order(count)
-        shared = broadcast_object(spark, indexes)
-        return texts.mapInArrow(_finder(shared), "item long, row long")
-
-    parts = []
-    for r in stream:
-        block.append((r["item"], r["turn"]))
-        if len(block) == BLOCK_TURNS:
-            parts.append(staged(search(block)))
-            block = []
-    parts.append(search(block))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    size = exploded.agg(F.sum(F.length("turn"))).first()[0] or 0
+    found = _by_broadcast(texts, [(r["item"], r["turn"]) for r in exploded.toArrow().to_pylist()]) if size <= BLOCK_CHARACTERS else _by_shuffle(texts, exploded)
     return found.distinct().select(F.col("item").alias(item_id), F.col("row").alias(row_id))
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """The test questions that leaked into each contaminated chat."""
     return leaked_items(table(spark, root, "questions"), table(spark, root, "chats"))
+
+
+# DuckDB's form: windows as lists of words, and as runs of Chinese characters and digits. RE2's classes are spelled out.
+_SQL_WORDS = r"regexp_extract_all(lower(replace(replace(%s, 'ß', 'ss'), 'ẞ', 'ss')), '[\p{L}\p{N}]+')"
+_SQL_HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}"
+_SQL_RUNS = rf"regexp_extract_all(regexp_replace(lower(%s), '[^\p{{L}}\p{{N}}]+', '', 'g'), '[{_SQL_HAN}\p{{Nd}}]{{20,}}')"
+SQL = {
+    "p4_found": rf"""
+WITH turn AS (SELECT question_id, unnest(turns) AS t FROM questions),
+content AS (SELECT sample_id, m.content AS t FROM (SELECT sample_id, unnest(messages) AS m FROM chats)),
+q AS (SELECT question_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT question_id, {_SQL_WORDS % 't'} AS w FROM turn) WHERE len(w) >= 12),
+c AS (SELECT sample_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT sample_id, {_SQL_WORDS % 't'} AS w FROM content) WHERE len(w) >= 12),
+qz AS (SELECT question_id, r, unnest(range(1, length(r) - 18)) AS i FROM (SELECT question_id, unnest({_SQL_RUNS % 't'}) AS r FROM turn)),
+cz AS (SELECT sample_id, r, unnest(range(1, length(r) - 18)) AS i FROM (SELECT sample_id, unnest({_SQL_RUNS % 't'}) AS r FROM content))
+SELECT question_id, sample_id FROM (SELECT DISTINCT question_id, array_to_string(w[i:i+11], ' ') AS x FROM q) JOIN (SELECT DISTINCT sample_id, array_to_string(w[i:i+11], ' ') AS x FROM c) USING (x)
+UNION SELECT question_id, sample_id FROM (SELECT DISTINCT question_id, substr(r, i, 20) AS x FROM qz) JOIN (SELECT DISTINCT sample_id, substr(r, i, 20) AS x FROM cz) USING (x) WHERE regexp_matches(x, '[{_SQL_HAN}]')""",
+}

@@ -1,6 +1,8 @@
 import random
 import re
 
+from oracle import connect, same
+
 from tessera.llm import leakage as K
 
 WORD = re.compile(r"[^\W_]+")
@@ -39,22 +41,38 @@ def test_against_brute_force(spark, monkeypatch):
         chinese = q[1][rng.randrange(25) :][: rng.randrange(17, 24)]
         rows.append((s, [("user", sentence(6) + ", " + "; ".join(part).upper() + " - " + sentence(4)), ("assistant", "前" + "，".join(chinese) + "后")]))
     assert run(spark, items, rows) == brute(items, rows)
-    monkeypatch.setattr(K, "BLOCK_TURNS", 7)  # several blocks of items
+    monkeypatch.setattr(K, "BLOCK_CHARACTERS", 100)  # too many items for a broadcast
     assert run(spark, items, rows) == brute(items, rows)
 
 
-def test_edges(spark):
+def test_edges(spark, monkeypatch):
     text = "one two three four five six seven eight nine ten eleven twelve thirteen"
     items = [(1, [text]), (2, [None, ""]), (3, None), (None, [text]), (1, [text]), (4, ["1" * 30]), (5, [])]
     rows = [
         (1, [("user", "ONE, two-three; four five six\nseven eight nine ten eleven twelve!")]), (2, [("user", "one two three four five six seven eight nine ten eleven")]), (3, None), (4, []), (5, [None, ("user", None)]),
         (None, [("user", text)]), (6, [("user", "1" * 30)]), (7, [("user", "x " * 100_000 + text)]), (1, [("user", text)]), (8, [("user", "one two three four five six"), ("user", "seven eight nine ten eleven twelve")]),
     ]
-    assert run(spark, items, rows) == [(1, 1), (1, 7)]
-    assert run(spark, [], rows) == [] and run(spark, items, []) == []
+    for characters in (K.BLOCK_CHARACTERS, 0):
+        monkeypatch.setattr(K, "BLOCK_CHARACTERS", characters)
+        assert run(spark, items, rows) == [(1, 1), (1, 7)]
+        assert run(spark, [], rows) == [] and run(spark, items, []) == []
+
+
+def test_a_window_of_many_rows_is_dealt(spark, monkeypatch):
+    """A passage in a third of all rows, with items joined by shuffle and a bitmap so small that much passes it."""
+    monkeypatch.setattr(K, "BLOCK_CHARACTERS", 0)
+    monkeypatch.setattr(K, "BITMAP_BITS", 8)
+    text = " ".join(f"word{i}" for i in range(14))
+    items = [(1, [text]), (2, ["x " + text]), (3, [" ".join(f"other{i}" for i in range(14))])]
+    rows = [(s, [("user", text if s % 3 == 0 else f"row {s} has nothing of it, only word1 word2 word3 word4 and the rest")]) for s in range(3300)]
+    assert run(spark, items, rows) == [(q, s) for q in (1, 2) for s in range(0, 3300, 3)]
+
+
+def test_query_equals_its_sql(spark, small):
+    same(K.p4_found(spark, small), connect(small), K.SQL["p4_found"])
 
 
-def test_p4_on_the_tables(spark, small):
+def test_p4_on_the_tables(spark, small, monkeypatch):
     questions, chats = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("questions", "chats"))
     items = [(r["question_id"], r["turns"]) for r in questions.collect()]
     rows = [(r["sample_id"], [m and (m["role"], m["content"]) for m in r["messages"] or ()]) for r in chats.collect()]
@@ -64,4 +82,6 @@ def test_p4_on_the_tables(spark, small):
             for w in windows(t or ""):
                 index.setdefault(w, set()).add(q)
     want = {(q, s) for s, ms in rows for m in ms if m and m[1] for w in windows(m[1]) for q in index.get(w, ())}
-    assert {(r["question_id"], r["sample_id"]) for r in K.p4_found(spark, small).collect()} == want
+    for characters in (K.BLOCK_CHARACTERS, 1000):
+        monkeypatch.setattr(K, "BLOCK_CHARACTERS", characters)
+        assert {(r["question_id"], r["sample_id"]) for r in K.p4_found(spark, small).collect()} == want
