@@ -65,54 +65,71 @@ class LastSeen:
         )
 
 
+class LastSeenIntegers:
+    """The same counters for integers, a batch at a time: terms in ascending order, each with its last record."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.terms, self.occurrences, self.records, self.last = (np.zeros(0, dtype=np.int64) for _ in range(4))
+
+    def add(self, values: np.ndarray, record: np.ndarray) -> None:
+        """``values`` in the order of their ``record``."""
+        if not len(values):
+            return
+        order = np.argsort(values, kind="stable")  # by term, within it still by record
+        values, record = values[order].astype(np.int64), record[order]
+        starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+        terms = values[starts]
+        unseen = np.setdiff1d(terms, self.terms, assume_unique=True)
+        if len(unseen):
+            at = np.searchsorted(self.terms, unseen)
+            self.terms = np.insert(self.terms, at, unseen)
+            self.occurrences, self.records = (np.insert(x, at, 0) for x in (self.occurrences, self.records))
+            self.last = np.insert(self.last, at, -1)
+        slot = np.searchsorted(self.terms, terms)
+        seen_before = np.r_[-1, record[:-1]]
+        seen_before[starts] = self.last[slot]
+        ends = np.r_[starts[1:], len(values)]
+        self.occurrences[slot] += ends - starts
+        self.records[slot] += np.add.reduceat((record != seen_before).astype(np.int64), starts)
+        self.last[slot] = record[ends - 1]
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pc.cast(pa.array(self.terms), pa.string()), pa.array(self.occurrences), pa.array(self.records)], schema=_PARTIAL)
+
+
 def terms_of(text: str) -> list[str]:
     """The terms of one text, in order, with repetitions."""
     return TERM.findall(text.lower())
 
 
-def _count_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Column 0: arrays of integers. The term NULL counts the records with any term."""
-    held: dict[int, np.ndarray] = {}
-    with_any = 0
+def _all_records(with_any: int) -> pa.RecordBatch:
+    """The term NULL counts the records with any term."""
+    return pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([with_any], pa.int64())], schema=_PARTIAL)
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays(
-            [pa.array([None, *map(str, held)], pa.string()), pa.array([0, *(int(v[0]) for v in held.values())], pa.int64()), pa.array([with_any, *(int(v[1]) for v in held.values())], pa.int64())],
-            schema=_PARTIAL,
-        )
-        held.clear()
-        return out
 
+def _count_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Column 0: arrays of integers."""
+    counters, with_any, first = LastSeenIntegers(), 0, 0
     for batch in batches:
         lists = batch.column(0)
         flat = lists.flatten()
-        record = pc.list_parent_indices(lists)
         keep = flat.is_valid().to_numpy(zero_copy_only=False)
-        values, owner = flat.fill_null(0).to_numpy(zero_copy_only=False)[keep], record.to_numpy(zero_copy_only=False)[keep]
-        if not len(values):
-            continue
-        order = np.argsort(values, kind="stable")  # by term, within it still by record
-        values, owner = values[order], owner[order]
-        first = np.r_[True, values[1:] != values[:-1]]
-        fresh = first | np.r_[True, owner[1:] != owner[:-1]]  # not the last record seen for this term
-        starts = np.flatnonzero(first)
-        occurrences = np.diff(np.r_[starts, len(values)])
-        records = np.add.reduceat(fresh.astype(np.int64), starts)
-        with_any += len(np.unique(owner))
-        for term, o, r in zip(values[starts].tolist(), occurrences, records):
-            pair = held.get(term)
-            if pair is None:
-                held[term] = np.array((o, r))
-            else:
-                pair += (o, r)
-        if len(held) > FLUSH_TERMS:
-            yield flush()
-            with_any = 0
-    yield flush()
+        record = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[keep].astype(np.int64) + first
+        counters.add(flat.fill_null(0).to_numpy(zero_copy_only=False)[keep], record)
+        with_any += len(np.unique(record))
+        first += batch.num_rows
+        if len(counters.terms) > FLUSH_TERMS:
+            yield counters.batch()
+            counters.clear()
+    yield counters.batch()
+    yield _all_records(with_any)
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Column 0: arrays of texts. The term NULL counts the records with any term."""
+    """Column 0: arrays of texts."""
     counters, record, with_any = LastSeen(), 0, 0
 
     def flush() -> pa.RecordBatch:
@@ -133,7 +150,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield flush()
     if counters.last:
         yield flush()
-    yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([with_any], pa.int64())], schema=_PARTIAL)
+    yield _all_records(with_any)
 
 
 def _partials(df: DataFrame, column: str, field: str) -> DataFrame:

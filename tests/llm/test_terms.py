@@ -1,3 +1,4 @@
+import numpy as np
 from oracle import connect, same
 
 from tessera.llm import terms as T
@@ -30,6 +31,19 @@ def test_columns_of_every_kind(spark, monkeypatch):
     assert T.term_frequency((df.limit(0), "ids", "x"), (df.limit(0), "text", "y")).count() == 0
 
 
+def test_integers_across_batches():
+    rng = np.random.default_rng(5)
+    counters, plain = T.LastSeenIntegers(), T.LastSeen()
+    for start in range(0, 60, 20):
+        lists = [rng.integers(-3, 40, rng.integers(0, 30)) for _ in range(20)]
+        counters.add(np.concatenate(lists), np.repeat(np.arange(start, start + 20), [len(x) for x in lists]))
+        for k, values in enumerate(lists):
+            plain.add(values.tolist(), start + k)
+    counters.add(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    got, want = (sorted(zip(*(c.to_pylist() for c in x.batch().columns))) for x in (counters, plain))
+    assert got == want
+
+
 def test_long_text(spark):
     df = spark.createDataFrame([("word " * 200_000,)], "t string")
     assert [(r["term"], r["occurrences"], r["records"]) for r in T.term_frequency((df, "t", "t")).collect()] == [("word", 200_000, 1)]
