@@ -9,7 +9,7 @@ length get one more use is then handed back to the documents: the first so many
 
 Only counts by length are ever brought together (one row for each length of a source, whatever the number of
 documents). Lengths that very many documents share are dealt into buckets by the seeded order first, so that no
-task ranks more than BUCKET_ROWS documents.
+task ranks many more than BUCKET_ROWS documents.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tessera.llm.packing import sized_documents
-from tessera.runtime import staged, table
+from tessera.runtime import hot_bound, staged, table
 
+#: Sources of all plans together, at most: they are few rows of a small table, which may be broadcast.
+MAX_PLAN_ROWS = 100_000
 #: Tokens of a budget that are left to the knapsack; it never fits more than four times as many.
 KNAPSACK_TOKENS = 60_000
 BUCKET_ROWS = 200_000
@@ -140,31 +142,41 @@ def mix(documents: DataFrame, plans: DataFrame, id_column: str = "doc_id") -> Da
     lengths = staged(docs.groupBy("name", "tokens").agg(F.count(F.lit(1)).alias("n")))  # one row a length
     held = lengths.groupBy("name").agg(F.sum(F.col("tokens") * F.col("n")).alias("held"))
     plan = staged(plan.join(held, "name", "left"))
+    pairs = plan.count()
+    if pairs > MAX_PLAN_ROWS:
+        raise ValueError(f"{pairs} sources of plans; at most {MAX_PLAN_ROWS} are taken at once")
     usable = F.coalesce("held", F.lit(0)) * F.col("max_repeats")
     # the total: no source may need more than it has; those that have nothing don't bind
     limit = F.min(F.when((F.col("target_share") > 0) & (usable > 0), usable / F.col("target_share"))).over(Window.partitionBy("plan_id"))
     budgets = plan.withColumn("budget", F.when(usable > 0, F.floor(F.coalesce(limit * F.col("target_share"), F.lit(0.0)) + 1e-6)).otherwise(0).cast("long"))
     budgets = staged(budgets.withColumn("budget", F.least("budget", usable.cast("long"))))
-    wanted = budgets.where("budget > 0").join(lengths, "name")
+    wanted = F.broadcast(budgets.where("budget > 0")).join(lengths, "name")
+    # a number of partitions of its own: by their few bytes all sources would go to one task
+    wanted = wanted.repartition(max(1, min(4 * documents.sparkSession.sparkContext.defaultParallelism, pairs)), "plan_id", "name")
     chosen = staged(wanted.groupBy("plan_id", "name").applyInPandas(_plan_source, "plan_id int, name string, tokens long, n long, rounds long, more long"))
     shares = chosen.groupBy("plan_id", "name").agg(F.sum(F.col("tokens") * (F.col("rounds") * F.col("n") + F.col("more"))).alias("used"))
     shares = budgets.select("plan_id", "name", "target_share").join(shares, ["plan_id", "name"], "left").withColumn("used", F.coalesce("used", F.lit(0)))
     shares = shares.withColumn("actual_share", F.coalesce(F.try_divide(F.col("used"), F.sum("used").over(Window.partitionBy("plan_id"))), F.lit(0.0)))
-    # back to documents. A length of very many documents is ranked by buckets of the seeded order.
-    spread = docs.join(lengths.select("name", "tokens", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("buckets")), ["name", "tokens"])
-    spread = spread.withColumn("bucket", F.when(F.col("buckets") > 1, F.pmod(F.col("order"), F.col("buckets"))).otherwise(F.lit(0)).cast("int"))
-    crowded = spread.where("buckets > 1").groupBy("name", "tokens", "bucket").agg(F.count(F.lit(1)).alias("m"))
+    # back to documents. A length of very many documents is dealt into buckets of the seeded order; only such lengths are broadcast.
+    bound = hot_bound(lengths, "n", BUCKET_ROWS)
+    buckets = F.when(F.col("n") >= bound, F.ceil(F.col("n") / bound)).otherwise(1).cast("int")
+    crowded = F.broadcast(lengths.where(F.col("n") >= bound).select("name", "tokens", buckets.alias("buckets")))
+    dealt = docs.join(F.broadcast(budgets.select("name").distinct()), "name").join(crowded, ["name", "tokens"], "left")
+    dealt = dealt.select("name", "tokens", "doc", "order", F.coalesce(F.pmod("order", F.col("buckets")), F.lit(0)).cast("int").alias("bucket"), (F.col("buckets") > 1).alias("many"))
+    sizes = dealt.where("many").groupBy("name", "tokens", "bucket").agg(F.count(F.lit(1)).alias("m"))
     earlier = Window.partitionBy("name", "tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    crowded = crowded.select("name", "tokens", "bucket", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"))
+    sizes = sizes.select("name", "tokens", "bucket", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"))
+    # how many of a bucket get one more use, for every plan at once
+    more = chosen.join(lengths.select("name", "tokens", F.sequence(F.lit(0), buckets - 1).alias("b")), ["name", "tokens"]).select("name", "tokens", F.explode("b").alias("bucket"), "plan_id", "rounds", "more")
+    more = more.join(sizes, ["name", "tokens", "bucket"], "left").groupBy("name", "tokens", "bucket").agg(F.first(F.coalesce("before", F.lit(0))).alias("before"), F.collect_list(F.struct("plan_id", "rounds", "more")).alias("plans"))
     rank = F.row_number().over(Window.partitionBy("name", "tokens", "bucket").orderBy("order", "doc"))
-    ranked = spread.withColumn("rank", rank).join(crowded, ["name", "tokens", "bucket"], "left").select("name", "tokens", "doc", (F.col("rank") + F.coalesce("before", F.lit(0))).alias("rank"))
-    named = budgets.select("plan_id", "name")
-    uses = (
-        ranked.join(named, "name")
-        .join(chosen.drop("n"), ["plan_id", "name", "tokens"], "left")
-        .select("plan_id", "name", "doc", "tokens", F.coalesce(F.col("rounds") + (F.col("rank") <= F.col("more")).cast("long"), F.lit(0)).alias("uses"))
-    )
-    return shares.join(uses, ["plan_id", "name"], "left").select(
+    ranked = dealt.select("name", "tokens", "bucket", "doc", rank.alias("rank")).join(more, ["name", "tokens", "bucket"], "left")
+    used = F.transform("plans", lambda p: F.struct(p["plan_id"].alias("plan_id"), (p["rounds"] + (F.col("rank") + F.col("before") <= p["more"]).cast("long")).alias("uses")))
+    ranked = ranked.select("name", "tokens", "doc", F.map_from_entries(F.coalesce(used, F.array().cast("array<struct<plan_id:int,uses:bigint>>"))).alias("used"))
+    uses = ranked.join(F.broadcast(budgets.select("plan_id", "name")), "name").select("plan_id", "name", "doc", "tokens", F.coalesce(F.try_element_at("used", "plan_id"), F.lit(0)).alias("uses"))
+    held_rows = uses.join(F.broadcast(shares), ["plan_id", "name"])
+    empty = shares.join(F.broadcast(budgets.where("held IS NULL").select("plan_id", "name")), ["plan_id", "name"]).select("plan_id", "name", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("tokens"), F.lit(0).cast("long").alias("uses"), "target_share", "actual_share")
+    return held_rows.select("plan_id", "name", "doc", "tokens", "uses", "target_share", "actual_share").unionByName(empty).select(
         "plan_id", F.col("name").alias("source"), "doc", "tokens", F.coalesce("uses", F.lit(0)).alias("uses"), "target_share", "actual_share"
     )
 
