@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from oracle import connect, same
 
 from tessera.llm import packing as P
 
@@ -80,6 +81,35 @@ def test_bound_sees_large_items():
     assert P.lower_bound(np.array([], dtype=int), 100) == 0
 
 
+def test_bounds_of_plans(spark):
+    df = spark.createDataFrame([(i, 51) for i in range(40)] + [(100, 250), (101, 10)], "doc_id long, tokens int")
+    plans = spark.createDataFrame([(1, 100), (2, 51)], "plan_id int, capacity_tokens int")
+    got = {r["plan_id"]: r["least_rows"] for r in P.bounds(df, plans, "doc_id", "tokens").collect()}
+    assert got == {1: 43, 2: -(-(40 * 51 + 250 + 10) // 51)}
+    assert P.bounds(df, plans.limit(0), "doc_id", "tokens").count() == 0
+
+
+def test_exchange_saves_bins(spark):
+    rng = random.Random(5)
+    items = [(i, rng.choice([34, 35, 52, 26, 61, 13])) for i in range(600)]
+    df = spark.createDataFrame(items, "doc_id long, tokens int")
+    plans = spark.createDataFrame([(1, 100)], "plan_id int, capacity_tokens int")
+    used = {n: P.pack(df, plans, "doc_id", "tokens", partition_items=n).select("row_id").distinct().count() for n in (20, 1000)}
+    alone = sum(int(P.best_fit_decreasing(np.array([n for i, n in items[a : a + 20]]), 100).max()) + 1 for a in range(0, 600, 20))
+    assert used[1000] <= used[20] < alone
+
+
+def test_too_many_plans(spark, monkeypatch):
+    monkeypatch.setattr(P, "MAX_PLANS", 2)
+    df = spark.createDataFrame([(1, 5)], "doc_id long, tokens int")
+    with pytest.raises(ValueError, match="plans"):
+        P.pack(df, spark.range(3).selectExpr("cast(id as int) as plan_id", "10 as capacity_tokens"), "doc_id", "tokens")
+
+
+def test_query_equals_its_sql(spark, small):
+    same(P.p6_checked(spark, small), connect(small), P.SQL["p6_checked"])
+
+
 def test_sizes_of_documents(spark):
     df = spark.createDataFrame([(1, "s", "añ", None), (2, "s", None, 5), (3, "s", "  　", 5), (4, "s", "abc", 9), (5, "s", "", None)], "doc_id long, source string, text string, n_tokens int")
     assert {r["doc_id"]: r["tokens"] for r in P.sized_documents(df).collect()} == {1: 4, 4: 9}
