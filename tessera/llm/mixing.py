@@ -189,3 +189,26 @@ def p7_mixed(spark: SparkSession, root: str) -> DataFrame:
 def p7_shares(spark: SparkSession, root: str) -> DataFrame:
     """Target and actual share of each source of each plan, with its tokens and the most uses of one of its documents."""
     return p7_mixed(spark, root).groupBy("plan_id", "source", "target_share", "actual_share").agg(F.coalesce(F.sum(F.col("uses") * F.col("tokens")), F.lit(0)).alias("used_tokens"), F.max("uses").alias("most_uses"))
+
+
+def p7_checked(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of ``p7_mixed``: for every source of a plan its target share, its documents, uses above the limit,
+    and whether its share of the tokens misses the target (among the sources that have documents) by over 0.1 %."""
+    plans = table(spark, root, "mix_plans").groupBy("plan_id", source_name(F.col("source")).alias("source")).agg(F.max("max_repeats").alias("most"))
+    mixed = p7_mixed(spark, root).join(F.broadcast(plans), ["plan_id", "source"])  # a row for each source of a plan
+    each = mixed.groupBy("plan_id", "source", "target_share", "actual_share").agg(F.count("doc_id").alias("documents"), F.count_if(F.col("uses") > F.col("most")).alias("over_limit"), F.sum(F.col("uses") * F.col("tokens")).alias("used"))
+    plan = Window.partitionBy("plan_id")  # the sources of one plan
+    reachable = F.sum(F.when((F.col("documents") > 0) & (F.col("used") > 0), F.col("target_share"))).over(plan)
+    stated = F.abs(F.col("actual_share") - F.coalesce(F.col("used"), F.lit(0)) / F.sum("used").over(plan)) > 1e-9
+    missed = (F.col("documents") > 0) & (F.abs(F.col("actual_share") - F.col("target_share") / reachable) > 1e-3)
+    return each.select("plan_id", "source", F.round("target_share", 9).alias("target_share"), "documents", "over_limit", (stated | missed).cast("long").alias("off_target"))
+
+
+SQL = {
+    "p7_checked": r"""
+WITH d AS (SELECT replace(lower(regexp_replace(regexp_replace(source, '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '')), '-', '_') AS source FROM documents
+  WHERE regexp_matches(text, '[^\s\p{Z}\x{85}\x0b]') AND source IS NOT NULL AND coalesce(n_tokens, 1) >= 1),
+n AS (SELECT source, count(*) AS n FROM d GROUP BY source),
+p AS (SELECT plan_id, replace(lower(trim(source)), '-', '_') AS source, sum(target_weight) AS w FROM mix_plans GROUP BY ALL)
+SELECT plan_id, source, round(w / sum(w) OVER (PARTITION BY plan_id), 9) AS target_share, coalesce(n, 0) AS documents, 0 AS over_limit, 0 AS off_target FROM p LEFT JOIN n USING (source)""",
+}

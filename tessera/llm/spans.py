@@ -11,13 +11,16 @@ costs the square of the corpus, so shards and documents are brought together by
 3. The document with the smallest id that holds an anchor is the anchor's reference; the surroundings of its shared
    anchors, SHARD_CHARS characters of the document at a time, are a reference shard. Every other document is
    streamed past the automata of the shards it has anchors of, and only with the surroundings of those.
-4. The matching statistics tell how far an anchor's match extends to both sides. If all documents of an anchor
-   match its reference over a common SPAN characters, they are a class of documents that share a span. If some
-   don't, or an anchor stands twice in a document, all the windows of SPAN characters around the anchor
-   are compared by 128-bit digest, which is exact in any case; those are few.
-
-The work follows the text, the shared text and the result. A span that a third of all documents hold costs one row a
-document up to the classes; no pair is made before the classes, which come out once each, are known.
+4. The matching statistics tell how far an anchor's match with its reference extends to both sides. Two documents that
+   leave the reference at different places match each other exactly as far as the shorter of the two reaches, so the
+   extents alone give the sets of documents that share SPAN characters, by the distinct left extents of an anchor. Only
+   documents that leave the reference at the same place as another one may go on alike: for those, and where an anchor
+   stands twice in a document, the windows of SPAN characters around the anchor are compared by 128-bit digests, which
+   is exact in any case.
+
+A reference goes to a task once for each MOST_PIECES pieces streamed past it, and rows of anchors, shards and copies that very
+many documents hold are dealt by salt. The work follows the text, the shared text and the classes; no pair is made before
+the classes, which come out once each, are known (``p8_classes`` has them, with each document's number of links).
 """
 
 from __future__ import annotations
@@ -28,12 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tessera.runtime import spread, staged, table
+from tessera.runtime import hot_bound, salted_join, spread, staged, table
 
 #: Least length of a shared span, and length of an anchor, in characters (code points).
 SPAN, ANCHOR = 200, 100
 #: Characters of one document in a reference shard.
 SHARD_CHARS = 20_000
+#: Pieces that one task streams past one reference shard, about.
+MOST_PIECES = 2_000
 
 _CHUNK = 1 << 19  # characters hashed at once
 _POSITION = (1 << 20) - 1
@@ -240,13 +245,21 @@ def _slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From ``home, shard, reference, doc, piece, places, anchors`` how far each anchor's match extends; -1: not told."""
-    shard, automaton = None, None
+    """From ``home, shard, doc, piece, places, anchors`` how far each anchor's match extends; -1: not told.
+
+    Rows come sorted by shard, the pieces of its reference (doc = home) first.
+    """
+    shard, reference, automaton = None, [], None
     for batch in batches:
         out = []
-        for home, number, reference, doc, piece, places, anchors in zip(*(batch.column(k).to_pylist() for k in range(7))):
-            if shard != (home, number):  # rows come sorted by shard
-                shard, automaton = (home, number), SuffixAutomaton(reference)
+        for home, number, doc, piece, places, anchors in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            if shard != (home, number):
+                shard, reference, automaton = (home, number), [], None
+            if doc == home:
+                reference.append(piece)
+                continue
+            if automaton is None:
+                automaton = SuffixAutomaton(reference)
             statistics = automaton.matching_statistics(piece)
             for place, anchor in zip(places, anchors):
                 end = place + ANCHOR - 1
@@ -298,85 +311,120 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class SharedSpans:
     """The classes of documents that share a span, and where. All frames are staged tables."""
 
-    def __init__(self, df: DataFrame, id_column: str, text: str, exact_places: bool = False) -> None:
-        """``exact_places``: also compare by windows where several documents leave the reference at the same place, since
-        they may go on alike; for the classes that makes no difference."""
+    def __init__(self, df: DataFrame, id_column: str, text: str) -> None:
         docs = df.where(F.col(id_column).isNotNull() & (F.length(text) >= SPAN)).select(F.col(id_column).cast("long").alias("doc"), F.col(text).alias("text"))
         # 1. classes of equal texts, each represented by its smallest id
         keyed = docs.select("doc", F.unhex(F.md5("text")).alias("key"))
-        least = keyed.groupBy("key").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).where("rep < last").select("key", "rep")
-        self.copies = staged(keyed.join(least, "key").select("doc", "rep").distinct())
+        least = staged(keyed.groupBy("key").agg(F.min("doc").alias("rep"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("rep < last").select("key", "rep", "n"))
+        self.copies = staged(salted_join(keyed, least, ["key"], "n", F.col("doc")).select("doc", "rep").distinct())
         others = self.copies.where("doc <> rep").select("doc")
         # 2. anchors
-        anchors = staged(spread(docs).mapInArrow(_find_anchors, "anchor long, doc long, pos int, many boolean").join(others, "doc", "left_anti"))
-        held = anchors.groupBy("anchor").agg(F.max("doc").alias("last"), F.min(F.struct("doc", "pos")).alias("home"), F.max("many").alias("many")).where("home.doc < last")
-        shared = staged(
-            anchors.drop("many").join(held, "anchor").select("anchor", "doc", "pos", "many", F.col("home.doc").alias("home"), F.floor(F.col("home.pos") / SHARD_CHARS).cast("int").alias("shard"))
-        )
+        anchors = staged(spread(docs).mapInArrow(_find_anchors, "anchor long, doc long, pos int, many boolean").join(others, "doc", "left_anti").distinct())
+        held = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last"), F.min(F.struct("doc", "pos")).alias("home"), F.max("many").alias("many"))
+        held = staged(held.where("home.doc < last").select("anchor", "n", "many", F.col("home.doc").alias("home"), F.floor(F.col("home.pos") / SHARD_CHARS).cast("int").alias("shard")))
+        shared = staged(salted_join(anchors.drop("many"), held, ["anchor"], "n", F.col("doc")).select("anchor", "doc", "pos", "many", "home", "shard"))
         # 3. surroundings of shared anchors, past the automata of their shards
         live = shared.where("NOT many").groupBy("doc").agg(F.collect_list(F.struct("home", "shard", "pos", "anchor")).alias("live"))
         pieces = staged(
             docs.join(live, "doc").select("doc", "text", "live").mapInArrow(_slice, "home long, shard int, doc long, piece string, places array<int>, anchors array<long>").distinct()
         )
-        references = pieces.where("doc = home").groupBy("home", "shard").agg(F.collect_list("piece").alias("reference"))
-        streamed = pieces.where("doc <> home").join(references.hint("merge"), ["home", "shard"]).select("home", "shard", "reference", "doc", "piece", "places", "anchors")
-        reach = staged(streamed.mapInArrow(_stream, "anchor long, doc long, before int, after int"))
-        # 4. anchors whose documents all share a span with each other; the rest by all their windows
-        judged = reach.groupBy("anchor").agg(
-            F.count(F.lit(1)).alias("others"), F.min("before").alias("before"), F.min("after").alias("after"), F.max("before").alias("widest_before"), F.max("after").alias("widest_after")
-        )
-        judged = judged.withColumn("clean", (F.col("before") >= 0) & (F.col("before") + F.col("after") >= SPAN))
-        if exact_places:
-            alone = []
-            for side, most in (("before", SPAN - ANCHOR), ("after", SPAN)):
-                short = F.when(F.col(side) < most, F.col(side))
-                alone.append(F.size(F.collect_set(short)) == F.count(short))  # a set of at most SPAN numbers
-            apart = reach.groupBy("anchor").agg((alone[0] & alone[1]).alias("apart"))
-            judged = judged.join(apart, "anchor").withColumn("clean", F.col("clean") & F.col("apart"))
-        clean = judged.where("clean").select("anchor", "others", "widest_before", "widest_after")
-        # where only two documents hold the anchor, no more needs to be known
-        settled = judged.where("clean OR (others = 1 AND before >= 0)").select("anchor", F.lit(True).alias("settled"))
-        unclear = shared.select("anchor", "doc").join(settled, "anchor", "left_anti").groupBy("doc").agg(F.collect_set("anchor").alias("wanted"))
+        self.reach = staged(self._met(pieces).mapInArrow(_stream, "anchor long, doc long, before int, after int"))
+        # 4. who shares a span: by extents, and by windows where two documents leave the reference at the same place
+        whole = shared.where("NOT many AND doc = home").select("anchor", "doc", F.lit(SPAN - ANCHOR).alias("before"), F.lit(SPAN).alias("after"), F.lit(True).alias("is_home"))
+        told = self.reach.where("before >= 0").select("anchor", "doc", "before", "after", F.lit(False).alias("is_home"))
+        self.extents = staged(whole.unionByName(told))
+        alike = []
+        for side, most in (("before", SPAN - ANCHOR), ("after", SPAN)):
+            left = self.extents.where(~F.col("is_home") & (F.col(side) < most))
+            n = staged(left.groupBy("anchor", side).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+            alike.append(salted_join(left, n, ["anchor", side], "n", F.col("doc")).select("anchor", "doc"))
+        # of an anchor whose match isn't told in some document, all documents are compared
+        untold = self.reach.where("before < 0").select("anchor").unionByName(shared.where("many").select("anchor")).groupBy("anchor").agg(F.lit(True).alias("untold"))
+        n = staged(untold.join(held.select("anchor", "n"), "anchor").select("anchor", "n"))
+        every = salted_join(shared.select("anchor", "doc"), n, ["anchor"], "n", F.col("doc"))
+        unclear = alike[0].unionByName(alike[1]).unionByName(every.select("anchor", "doc")).groupBy("doc").agg(F.collect_set("anchor").alias("wanted"))
         windows = staged(docs.join(unclear, "doc").select("doc", "text", "wanted").mapInArrow(_windows, "one long, two long, doc long, start int, end int").distinct())
-        alike = windows.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").select("one", "two")
-        self.windows = staged(windows.join(alike, ["one", "two"]))
-        place = shared.select("anchor", "doc", "pos")
-        clean_places = place.join(clean, "anchor").join(reach, ["anchor", "doc"], "left")
-        self.places = staged(
-            clean_places.select(
-                "anchor",
-                "doc",
-                (F.col("pos") - F.coalesce("before", "widest_before")).alias("start"),  # the reference shares with the widest match
-                (F.col("pos") + F.coalesce("after", "widest_after")).alias("end"),
-            )
-        )
+        found = staged(windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").select("one", "two", "n"))
+        self.windows = staged(salted_join(windows, found, ["one", "two"], "n", F.col("doc")).select("one", "two", "doc", "start", "end"))
+        self.shared = shared
+
+    @staticmethod
+    def _met(pieces: DataFrame) -> DataFrame:
+        """References and pieces brought together by shard, the reference first; a shard of very many pieces is dealt."""
+        shard = ["home", "shard"]
+        n = staged(pieces.where("doc <> home").groupBy(*shard).agg(F.count(F.lit(1)).alias("n")))
+        bound = hot_bound(n, "n", MOST_PIECES)
+        parts = F.ceil(F.col("n") / bound).cast("int")
+        crowded = F.broadcast(n.where(F.col("n") >= bound).select(*shard, (parts + 1).alias("parts")))
+        dealt = pieces.where("doc <> home").join(crowded, shard, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+        given = n.select(*shard, F.explode(F.when(F.col("n") >= bound, F.sequence(F.lit(0), parts)).otherwise(F.array(F.lit(0)))).alias("part"))
+        references = pieces.where("doc = home").join(given, shard)
+        union = references.select("home", "shard", "part", "doc", "piece", "places", "anchors").unionByName(dealt)
+        sorted_ = union.repartition(*shard, "part").sortWithinPartitions(*shard, "part", F.col("doc") != F.col("home"))
+        return sorted_.select("home", "shard", "doc", "piece", "places", "anchors")
+
+    def _members(self) -> DataFrame:
+        """``key, doc``: sets of distinct texts of which any two share a span, told by extents.
+
+        For each left extent x that a document of the anchor has: all that reach x to the left and SPAN - x to the right.
+        Any two of these share SPAN characters, and of any two that do so by their extents, the one with the smaller left
+        extent x gives a set that holds both. Sets of one document are dropped later.
+        """
+        steps = self.extents.groupBy("anchor").agg(F.array_sort(F.collect_set("before")).alias("steps"), F.count(F.lit(1)).alias("n"))  # at most 101 numbers
+        met = salted_join(self.extents, staged(steps), ["anchor"], "n", F.col("doc"))
+        reached = F.filter("steps", lambda x: (x <= F.col("before")) & (x >= SPAN - F.col("after")))
+        return met.select("doc", "anchor", F.explode(reached).alias("step")).select(F.struct(F.col("anchor").alias("one"), F.col("step").cast("long").alias("two")).alias("key"), "doc")
 
     def classes(self) -> DataFrame:
         """``class, doc``: sets of documents that share a span with each other, each set once, copies included."""
-        by_anchor = self.places.select(F.struct(F.col("anchor").alias("one"), F.lit(0).cast("long").alias("two")).alias("key"), "doc")
         by_window = self.windows.select(F.struct("one", "two").alias("key"), "doc")
-        members = staged(by_anchor.unionByName(by_window).distinct())
+        members = staged(self._members().unionByName(by_window).distinct())
         # neighbouring anchors of one span have the same documents: one class for each set
-        signature = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
-        once = signature.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-        kept = members.join(once, "key").select(F.col("key").alias("class"), F.col("doc").alias("rep"))
+        signature = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).where("n > 1")
+        once = staged(signature.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"))
+        kept = salted_join(members, once, ["key"], "n", F.col("doc")).select(F.col("key").alias("class"), F.col("doc").alias("rep"))
         groups = self.copies.select("rep", "doc")
         spread = kept.join(groups, "rep", "left").select("class", F.coalesce("doc", "rep").alias("doc"))
         copies = groups.select(F.struct(F.col("rep").alias("one"), F.lit(-1).cast("long").alias("two")).alias("class"), "doc")
         return spread.unionByName(copies)
 
     def pairs(self) -> DataFrame:
+        """``doc_lo, doc_hi``: the pairs of all classes, each once; the one place where the output grows as they do."""
         members = staged(self.classes())
-        other = members.select("class", F.col("doc").alias("doc_hi"))
-        return members.withColumnRenamed("doc", "doc_lo").join(other, "class").where("doc_lo < doc_hi").select("doc_lo", "doc_hi").distinct()
+        n = staged(members.groupBy("class").agg(F.count(F.lit(1)).alias("n")))
+        # one side dealt, the other given to every part: no task pairs a large class by itself
+        bound = hot_bound(n, "n")
+        lows = salted_join(members, n.withColumn("parts", F.when(F.col("n") >= bound, F.ceil(F.col("n") / bound) + 1).otherwise(1).cast("int")), ["class"], "n", F.col("doc"), bound)
+        lows = lows.select("class", F.col("doc").alias("doc_lo"), F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part"))
+        highs = members.join(F.broadcast(n.where(F.col("n") >= bound).select("class", (F.ceil(F.col("n") / bound) + 1).cast("int").alias("parts"))), "class", "left")
+        highs = highs.select("class", F.col("doc").alias("doc_hi"), F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("parts", F.lit(1)) - 1).cast("long"))).alias("part"))
+        return lows.join(highs, ["class", "part"]).where("doc_lo < doc_hi").select("doc_lo", "doc_hi").distinct()
+
+    def spans(self) -> DataFrame:
+        """``doc, start, end``: places of shared characters, overlapping ones of one document not yet merged."""
+        # a document shares with its reference what its own extents tell, and the reference what the others' tell; what two
+        # others share by their extents lies within that, or is found by their windows
+        others = self.extents.where("NOT is_home").groupBy("anchor").agg(F.collect_set(F.struct("before", "after")).alias("reached"), F.count(F.lit(1)).alias("n"))
+        met = salted_join(self.extents, staged(others), ["anchor"], "n", F.col("doc"))
+        # extents that make a span of SPAN characters with this document's; a home counts the others only
+        b, a = F.col("before"), F.col("after")
+        mine = F.when(F.col("is_home"), F.col("reached")).otherwise(F.array(F.struct(b.alias("before"), a.alias("after"))))
+        fits = F.filter(mine, lambda r: F.least(r["before"], b) + F.least(r["after"], a) >= SPAN)
+        placed = met.select("anchor", "doc", F.explode(fits).alias("r")).join(self.shared.select("anchor", "doc", "pos"), ["anchor", "doc"])
+        by_extent = placed.select("doc", (F.col("pos") - F.col("r.before")).alias("start"), (F.col("pos") + F.col("r.after")).alias("end"))
+        return by_extent.unionByName(self.windows.select("doc", "start", "end"))
+
+    def merged(self) -> DataFrame:
+        """``doc, start, end``: the maximal stretches of each document that are shared elsewhere, in characters from 0."""
+        order = Window.partitionBy("doc").orderBy("start", "end")  # the stretches of one document
+        before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        marked = self.spans().select("doc", "start", "end", F.when(F.coalesce(before, F.lit(-1)) >= F.col("start"), 0).otherwise(1).alias("fresh"))
+        numbered = marked.withColumn("stretch", F.sum("fresh").over(order))
+        return numbered.groupBy("doc", "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc", "start", "end")
 
     def covered(self) -> DataFrame:
-        """``doc, shared_chars`` of the documents that share anything; a copy shares all."""
-        spans = self.places.select("doc", "start", "end").unionByName(self.windows.select("doc", "start", "end"))
-        order = Window.partitionBy("doc").orderBy("start", "end")
-        before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        fresh = spans.select("doc", F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, "start"))).alias("fresh"))
-        return fresh.groupBy("doc").agg(F.sum("fresh").alias("shared_chars"))
+        """``doc, shared_chars`` of the documents that share anything but whole copies."""
+        return self.merged().groupBy("doc").agg(F.sum(F.col("end") - F.col("start")).alias("shared_chars"))
 
 
 def shared_pairs(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -389,12 +437,23 @@ def shared_pairs(df: DataFrame, id_column: str = "doc_id", text: str = "text") -
     return SharedSpans(df, id_column, text).pairs()
 
 
-def shared_amount(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def shared_classes(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """``class, doc, links``: the sets of documents of which any two share a span, linear in their members.
+
+    ``class`` is the smallest document of a set (sets may share it: two spans of one document), ``links`` how many others
+    are in the set. A document has a row for each set it is in. Rows as in ``shared_pairs``.
+    """
+    members = staged(SharedSpans(df, id_column, text).classes().select(F.col("class").alias("key"), "doc"))
+    sizes = staged(members.groupBy("key").agg(F.min("doc").alias("class"), F.count(F.lit(1)).alias("n")))
+    return salted_join(members, sizes.withColumn("links", F.col("n") - 1), ["key"], "n", F.col("doc")).select("class", "doc", "links")
+
+
+def shared_amount(df: DataFrame, id_column: str = "doc_id", text: str = "text", spans: SharedSpans | None = None) -> DataFrame:
     """``doc, n_chars, shared_chars`` of every document: how many of its characters lie in spans shared elsewhere.
 
     A NULL text has 0 characters and shares none; ids that are NULL give no rows.
     """
-    spans = SharedSpans(df, id_column, text, exact_places=True)
+    spans = spans or SharedSpans(df, id_column, text)
     base = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc"), F.coalesce(F.length(text), F.lit(0)).alias("n_chars"))
     copied = spans.copies.select("doc", F.lit(True).alias("copied"))
     return (
@@ -404,6 +463,23 @@ def shared_amount(df: DataFrame, id_column: str = "doc_id", text: str = "text")
     )
 
 
+def without_shared(df: DataFrame, id_column: str = "doc_id", text: str = "text", spans: SharedSpans | None = None) -> DataFrame:
+    """``doc, text``: the documents without the maximal spans they share, the rest in order. Of documents that are copies
+    as a whole the one with the smallest id keeps what it shares with no other text; the others are left empty.
+
+    Documents that share nothing come out as they are, NULL texts stay NULL, ids that are NULL give no rows.
+    """
+    spans = spans or SharedSpans(df, id_column, text)
+    cut = spans.merged().groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cut"))
+    later = spans.copies.where("doc <> rep").select("doc", F.lit(True).alias("later"))
+    base = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc"), F.col(text).alias("text"))
+    ends = F.concat(F.array(F.lit(0)), F.transform("cut", lambda s: s["end"]))
+    starts = F.concat(F.transform("cut", lambda s: s["start"]), F.array(F.length("text")))
+    left = F.array_join(F.zip_with(ends, starts, lambda a, b: F.substring(F.col("text"), a + 1, F.greatest(b - a, F.lit(0)))), "")
+    joined = base.join(cut, "doc", "left").join(later, "doc", "left")
+    return joined.select("doc", F.when(F.col("later") & F.col("text").isNotNull(), "").when(F.col("cut").isNotNull(), left).otherwise(F.col("text")).alias("text"))
+
+
 def p8_shared(spark: SparkSession, root: str) -> DataFrame:
     """How much of each document is shared elsewhere."""
     return shared_amount(table(spark, root, "documents")).withColumnRenamed("doc", "doc_id")
@@ -412,3 +488,22 @@ def p8_shared(spark: SparkSession, root: str) -> DataFrame:
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """The pairs of documents that share a span of at least 200 characters."""
     return shared_pairs(table(spark, root, "documents"))
+
+
+def p8_classes(spark: SparkSession, root: str) -> DataFrame:
+    """The sets of documents that share a span, without their pairs."""
+    return shared_classes(table(spark, root, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+_SQL_WINDOWS = """
+WITH w AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id))"""
+SQL = {
+    "p8_found": _SQL_WINDOWS + """,
+m AS (SELECT DISTINCT h, doc_id FROM w JOIN s USING (h))
+SELECT DISTINCT a.doc_id AS doc_lo, b.doc_id AS doc_hi FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p8_shared": _SQL_WINDOWS + """,
+m AS (SELECT doc_id, least(200, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 200)) AS n FROM w JOIN s USING (h)),
+c AS (SELECT doc_id, sum(n)::BIGINT AS shared_chars FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(shared_chars, 0) AS shared_chars FROM documents LEFT JOIN c USING (doc_id)""",
+}

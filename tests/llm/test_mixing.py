@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from oracle import connect, same
 
 from tessera.llm import mixing as M
 
@@ -71,6 +72,10 @@ def test_crowded_lengths_are_ranked_by_buckets(spark, monkeypatch):
     assert len(used) == len(set(used)) == 120 and sum(d >= 5000 for d in used) == 30
 
 
+def test_query_equals_its_sql(spark, small):
+    same(M.p7_checked(spark, small), connect(small), M.SQL["p7_checked"])
+
+
 def test_p7_on_the_tables(spark, small):
     rows = M.p7_shares(spark, small).collect()
     assert {r["plan_id"] for r in rows} == {1, 2, 3, 4}
