@@ -8,7 +8,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 
 def boxed(text: Column) -> Column:
@@ -110,30 +110,127 @@ def sanitised_json(text: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def quoted(literal: str) -> str:
+    """A text as a regular expression of the JVM that matches nothing but it."""
+    return re.sub(r"([^\w\s])", r"\\\1", literal, flags=re.A) if literal.isascii() else "".join(c if c.isalnum() or ord(c) > 127 or c.isspace() else f"\\{c}" for c in literal)
+
+
 def sections(delimiters: list[str], regex: bool = False):
     """A function splitting a text at delimiters into ``array<struct<key, content>>``; leading text has the key ''.
 
-    The contents with their delimiters add up to the text. The longest of literal delimiters wins where several begin.
+    The contents with their delimiters add up to the text. The longest of literal delimiters wins where several begin;
+    regular expressions must have no groups of their own and match at least one character. NULL gives NULL.
     """
-    pattern = "|".join(delimiters if regex else map(re.escape, sorted(delimiters, key=len, reverse=True)))
-
-    @F.pandas_udf("array<struct<key:string,content:string>>")
-    def cut(text: pd.Series) -> pd.Series:
-        out = []
-        for t in text:
-            if t is None:
-                out.append(None)
-                continue
-            found, key, at = [], "", 0
-            for m in re.finditer(pattern, t):
-                if not m.group():
-                    continue
-                if key or m.start() > at:
-                    found.append({"key": key, "content": t[at : m.start()]})
-                key, at = m.group(), m.end()
-            if key or at < len(t):
-                found.append({"key": key, "content": t[at:]})
-            out.append(found)
-        return pd.Series(out)
+    marks = "|".join(delimiters if regex else map(quoted, sorted(delimiters, key=len, reverse=True)))
+    pattern = F.lit(rf"(?s)({marks}|\A)(.*?)(?={marks}|\z)")
+
+    def cut(text: Column) -> Column:
+        pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, 1).alias("key"), F.regexp_extract_all(text, pattern, 2).alias("content"))
+        return F.filter(pairs, lambda p: (p["key"] != "") | (p["content"] != ""))
 
     return cut
+
+
+def first_value(document: Column) -> Column:
+    """The first value of a JSON document that is neither null, empty, false nor 0, however deep it is nested; NULL if none is."""
+    text = r'"(?:[^"\\]|\\.)*"'
+    found = F.regexp_extract_all(document, F.lit(rf"{text}\s*:|({text}|-?\d[\d.eE+-]*|true)"), 1)  # keys are matched, but not taken
+    kept = F.filter(found, lambda v: ~v.isin("", '""') & ~F.coalesce(v.try_cast("double") == 0, F.lit(False)))
+    first = F.get(kept, F.lit(0))
+    return F.when(first.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), first, F.lit("}")), "$.v")).otherwise(first)
+
+
+# ---- equality of mathematical answers --------------------------------------------------------------------------
+_LATEX = (  # fixed values: LaTeX that stands for a sign or for nothing
+    (r"\\(?:left|right|displaystyle|,|;|!|quad|text\{[^{}]*\}|mathrm\{[^{}]*\})", ""), (r"\\(?:cdot|times)", "*"), (r"\\div", "/"), (r"\\(?:dfrac|tfrac)", r"\\frac"), (r"\\pi", "pi"), (r"\\infty", "inf"), (r"\\%", "%"), (r"\\\$|\$", ""),
+)
+
+
+def _expression(text: str) -> str:
+    """LaTeX of numbers as an expression of Python."""
+    for pattern, by in _LATEX:
+        text = re.sub(pattern, by, text)
+    for _ in range(20):  # from the innermost braces outwards
+        new = re.sub(r"\\frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", r"((\1)/(\2))", text)
+        new = re.sub(r"\\frac\s*(\d)\s*(\d)", r"((\1)/(\2))", new)
+        new = re.sub(r"\\sqrt\s*\{([^{}]*)\}", r"((\1)**0.5)", new)
+        new = re.sub(r"\\sqrt\s*(\d)", r"((\1)**0.5)", new)
+        new = re.sub(r"\^\s*\{([^{}]*)\}", r"**(\1)", new)
+        if new == text:
+            break
+        text = new
+    text = re.sub(r"(\d+(?:\.\d+)?)\s*%", r"((\1)/100)", text.replace("^", "**"))
+    return re.sub(r"(?<=[\d)])\s*(?=\(|pi)", "*", re.sub(r"(?<=\d),(?=\d{3}\b)", "", text))
+
+
+def _number(text: str) -> float | None:
+    """The value of an expression of numbers; None if it is anything else."""
+    import math
+    import operator
+
+    steps = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Pow: operator.pow}
+
+    def value(node) -> float:
+        if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)):
+            return float(node.value)
+        if isinstance(node, ast.Name) and node.id in ("pi", "inf"):
+            return getattr(math, node.id)
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
+            return -value(node.operand) if isinstance(node.op, ast.USub) else value(node.operand)
+        if isinstance(node, ast.BinOp) and type(node.op) in steps:
+            return steps[type(node.op)](value(node.left), value(node.right))
+        raise ValueError
+
+    try:
+        out = value(ast.parse(_expression(text).strip(), mode="eval").body)
+        return out if isinstance(out, float) else None
+    except (ValueError, SyntaxError, ArithmeticError, MemoryError, RecursionError):
+        return None
+
+
+def _parts(text: str) -> list[str]:
+    """What commas outside brackets separate."""
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(text):
+        depth += (c in "([{") - (c in ")]}")
+        if c == "," and depth == 0:
+            out.append(text[at:i])
+            at = i + 1
+    return [*out, text[at:]]
+
+
+def _equal_answers(a: str, b: str) -> bool:
+    a, b = (re.sub(r"\\[()\[\]]", "", x).strip().strip("$").strip().rstrip(".") for x in (a, b))
+    a, b = (re.sub(r"^(?:[A-Za-z]\w*\s*(?:=|\\in)\s*)", "", x) for x in (a, b))  # x = 3
+    x, y = _number(a), _number(b)
+    if x is not None and y is not None:
+        return x == y or abs(x - y) <= 1e-9 * max(1.0, abs(y))
+    if (x is None) != (y is None):
+        return False
+    plain = [re.sub(r"\\left|\\right|\s+", "", t) for t in (a, b)]
+    sets = [re.fullmatch(r"\\\{(.*)\\\}", t) for t in plain]
+    if all(sets):
+        left, right = (_parts(m[1]) for m in sets)
+        return len(left) == len(right) and all(any(_equal_answers(p, q) for q in right) for p in left) and all(any(_equal_answers(p, q) for p in left) for q in right)
+    pairs = [re.fullmatch(r"([(\[])(.*)([)\]])", t) for t in plain]  # intervals and points
+    if all(pairs):
+        left, right = (_parts(m[2]) for m in pairs)
+        return (pairs[0][1], pairs[0][3]) == (pairs[1][1], pairs[1][3]) and len(left) == len(right) and all(map(_equal_answers, left, right))
+    return re.sub(r"[{}\s]", "", plain[0]).lower() == re.sub(r"[{}\s]", "", plain[1]).lower()
+
+
+@F.pandas_udf(BooleanType())
+def equal_mathematics(said: pd.Series, wanted: pd.Series) -> pd.Series:
+    """Whether two answers are the same number (fractions, roots, powers, percentages), set, interval or point, or else text.
+
+    Letters are compared as text: there is no symbolic algebra. NULL gives NULL.
+    """
+    return pd.Series([None if a is None or b is None else _equal_answers(a, b) for a, b in zip(said, wanted)], dtype="object")
+
+
+def boxed_whole(text: Column) -> Column:
+    """What stands in the first ``\\boxed{...}`` with its nested braces, up to three deep; the whole text if there is none."""
+    inner = r"[^{}]*"
+    for _ in range(3):
+        inner = rf"(?:[^{{}}]|\{{{inner}\}})*"
+    return F.when(text.rlike(rf"\\boxed\{{{inner}\}}"), F.regexp_extract(text, rf"\\boxed\{{({inner})\}}", 1)).otherwise(text)

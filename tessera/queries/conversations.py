@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.operators import agents as G, clean as C, messages as M
@@ -259,9 +261,66 @@ def tool_prompts(spark: SparkSession, root: str) -> DataFrame:
     return union
 
 
-@query()
+def _parts_sql(text: str, weights: dict, regex: bool = False) -> str:
+    """``list<struct(content, weight)>`` of a text: delimiters are set off by marks, which then split it."""
+    esc = (lambda k: k) if regex else re.escape
+    marked = f"regexp_replace({text}, '({'|'.join(esc(k) for k in sorted(weights, key=len, reverse=True))})', chr(1) || '\\1' || chr(2), 'gs')"
+    parts = f"string_split({marked}, chr(1))"
+    test = (lambda k: f"regexp_full_match(k, '{k}', 's')") if regex else (lambda k: f"k = '{k}'")
+    first = "CASE " + " ".join(f"WHEN {test(k)} THEN {float(w[0])}" for k, w in weights.items()) + " ELSE 1.0 END"
+    follow = "1.0" if regex else "CASE " + " ".join(f"WHEN k = '{k}' THEN {float(w[-1])}" for k, w in weights.items()) + " ELSE 1.0 END"
+    one = f"CASE WHEN contains(x, chr(2)) THEN [struct_pack(content := split_part(x, chr(2), 1), weight := ({first.replace('k =', 'split_part(x, chr(2), 1) =').replace('match(k,', 'match(split_part(x, chr(2), 1),')})::DOUBLE), struct_pack(content := split_part(x, chr(2), 2), weight := ({follow.replace('k =', 'split_part(x, chr(2), 1) =')})::DOUBLE)] ELSE [struct_pack(content := x, weight := 1.0::DOUBLE)] END"
+    return f"list_filter(flatten(list_transform({parts}, lambda x: {one})), lambda y: y.content <> '')"
+
+
+@query(f"""
+WITH c AS (SELECT sample_id, messages[-1].content AS t FROM chats WHERE len(messages) > 0), s AS (SELECT sample_id, {_parts_sql('t', {'Answer:': (2.0, 2.0), 'therefore': (1.5, 0.5), ', ': (0.25, 1.0)})} AS s FROM c WHERE t IS NOT NULL)
+SELECT sample_id, i - 1 AS part, md5(s[i].content) AS content_md5, s[i].weight AS weight FROM (SELECT sample_id, s, unnest(range(1, len(s) + 1)) AS i FROM s)""")
 def split_by_delimiters(spark: SparkSession, root: str) -> DataFrame:
     """Contents cut at delimiters, each part with the weight of its delimiter."""
     c = F.get("messages", F.size("messages") - 1)["content"]
-    rows = table(spark, root, "chats").where("size(messages) > 0").select("sample_id", G.weighted_sections(c, {"Answer:": 2.0, "therefore": (1.5, 0.5)}).alias("s"))
-    return rows.where("s IS NOT NULL").select("sample_id", F.posexplode("s").alias("part", "p")).select("sample_id", "part", F.md5("p.content").alias("content_md5"), "p.weight")
+    rows = table(spark, root, "chats").where("size(messages) > 0").select("sample_id", G.weighted_sections(c, {"Answer:": (2.0, 2.0), "therefore": (1.5, 0.5), ", ": (0.25, 1.0)}).alias("s"))
+    return rows.where("s IS NOT NULL").select("sample_id", F.posexplode("s").alias("part", "p")).select("sample_id", F.col("part").cast("long").alias("part"), F.md5("p.content").alias("content_md5"), "p.weight")
+
+
+# Every chat with marks of agent formats in the place of punctuation, so that all modes have something to cut.
+_MARKS = ((", ", " Action: "), (". ", " Observation: "), ("? ", " <tool_call>x</tool_call> "), (" and ", " ✿ARGS✿: "), (" und ", " <think> </think> "))
+_MARKED_SQL = "m.content"
+for _old, _new in _MARKS:
+    _MARKED_SQL = f"replace({_MARKED_SQL}, '{_old}', '{_new}')"
+
+
+def _mode_sql(name: str) -> str:
+    scale = G.LOSS_SCALES[name]
+    weights = scale.delimiters or scale.patterns
+    whole = "[struct_pack(content := t, weight := {}::DOUBLE)]".format
+    if scale.everything:
+        cut = whole("1.0")
+    else:
+        cut = _parts_sql("t", weights, scale.delimiters is None) if weights else whole("1.0")
+        for k, w in (scale.queries or {}).items():
+            cut = f"CASE WHEN contains(before, '{k}') THEN {whole(w)} ELSE {cut} END"
+        if scale.last_round:
+            cut = f"CASE WHEN i = n THEN {cut} ELSE {whole('0.0')} END"
+        cut = f"CASE WHEN role = 'assistant' THEN {cut} ELSE {whole('0.0')} END"
+    return f"SELECT sample_id, '{name}' AS mode, i, {cut} AS s FROM u WHERE t IS NOT NULL"
+
+
+@query(f"""
+WITH l AS (SELECT sample_id, messages, unnest(range(1, len(messages) + 1)) AS i FROM chats WHERE len(messages) > 0),
+t AS (SELECT sample_id, i, len(messages) AS n, messages[i].role AS role, messages[i] AS m, messages[i - 1] AS b FROM l WHERE messages[i] IS NOT NULL),
+u AS (SELECT sample_id, i, n, role, {_MARKED_SQL} AS t, CASE WHEN i > 1 THEN {_MARKED_SQL.replace('m.content', 'b.content')} END AS before FROM t),
+a AS ({' UNION ALL '.join(_mode_sql(m) for m in G.LOSS_SCALES)})
+SELECT sample_id, mode, sum(len(s))::BIGINT AS parts, round(sum(list_sum(list_transform(s, lambda x: x.weight * length(x.content)))), 4) AS weighed, sum(list_sum(list_transform(s, lambda x: length(x.content))))::BIGINT AS chars FROM a GROUP BY sample_id, mode""")
+def loss_scale_modes(spark: SparkSession, root: str) -> DataFrame:
+    """Every conversation under every registered mode of loss weights: parts, and characters plain and weighted."""
+    def marked(m):
+        out = m["content"]
+        for old, new in _MARKS:
+            out = F.replace(out, F.lit(old), F.lit(new))
+        return F.when(m.isNotNull(), F.struct(m["role"].alias("role"), out.alias("content")))
+
+    rows = _chats(spark, root).select("sample_id", F.transform("messages", marked).alias("m"))
+    each = rows.select("sample_id", F.explode(F.array(*[F.struct(F.lit(k).alias("mode"), G.loss_sections(F.col("m"), k).alias("s")) for k in G.LOSS_SCALES])).alias("e")).select("sample_id", "e.mode", "e.s")
+    total = lambda f: F.aggregate("s", F.lit(0.0), lambda a, x: a + f(x))
+    return each.where(F.size("s") > 0).select("sample_id", "mode", F.size("s").cast("long").alias("parts"), F.round(total(lambda x: x["weight"] * F.length(x["content"])), 4).alias("weighed"), total(lambda x: F.length(x["content"])).cast("long").alias("chars"))

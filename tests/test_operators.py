@@ -164,8 +164,8 @@ def test_rewards(spark):
     assert one(spark, rewards.cosine(F.lit(1000), F.lit(True))) == pytest.approx(0.5)
     assert one(spark, rewards.cosine(F.lit(0), F.lit(False))) == pytest.approx(-0.5)
     good = 'Action: f\nAction Input: {"a": "1"}'
-    assert one(spark, rewards.action(F.lit(good), F.lit(good))) == 1.0
-    assert one(spark, rewards.action(F.lit(good), F.lit('Action: f\nAction Input: {"a": "2"}'))) == 0.0
+    assert one(spark, rewards.toolbench(F.lit(good), F.lit(good))) == 1.0
+    assert one(spark, rewards.toolbench(F.lit(good), F.lit('Action: f\nAction Input: {"a": "2"}'))) == 0.0
     assert one(spark, rewards.mean_extracted(F.array(F.lit("Reward: 1"), F.lit("none"), F.lit("Reward: 0")))) == 0.5
     with pytest.raises(ValueError):
         rewards.register_reward("format")(None)
@@ -330,10 +330,10 @@ def test_agent_formats():
     for name in agents.FORMATS:
         prompt = agents.tool_prompt(tools, name, "SYS", "USER")
         assert "f" in prompt and "does it" in prompt
-    assert agents.tool_prompt("oops", "tagged") is None
+    assert agents.tool_prompt("oops", "hermes") is None
     assert agents.call_text(['{"name": "f", "arguments": {"a": 1}}'], "react_en") == 'Action: f\nAction Input: {"a": 1}\nObservation:'
-    assert agents.call_text(['{"name": "f", "arguments": {"a": 1}}'], "tagged") == '<tool_call>\n{"name": "f", "arguments": {"a": 1}}\n</tool_call>'
-    assert agents.response_text(["1", "2"], "headed") == "\n1<|observation|>\n2<|assistant|>\n"
+    assert agents.call_text(['{"name": "f", "arguments": {"a": 1}}'], "hermes") == '<tool_call>\n{"name": "f", "arguments": {"a": 1}}\n</tool_call>'
+    assert agents.response_text(["1", "2"], "glm4_0414") == "\n1<|observation|>\n2<|assistant|>\n"
 
 
 def test_weighted_sections(spark):
