@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import text as T
 from tessera.operators import dedup
-from tessera.runtime import spread
+from tessera.runtime import spread, staged
 
 # Bounds of the filters.
 RESPONSE_MIN = 10
@@ -54,32 +59,52 @@ def length_reason(prompt: Column, response: Column) -> Column:
     return F.when((p < PROMPT_RANGE[0]) | (r < RESPONSE_RANGE[0]), "length_short").when((p > PROMPT_RANGE[1]) | (r > RESPONSE_RANGE[1]), "length_long")
 
 
+#: What is no blank for ``text.words``.
+_NO_BLANKS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def _commonest(n: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, words_, grams, top = [], [], [], []
+            for k, text in enumerate(batch.column(1)):  # one text at a time, however long
+                words = _NO_BLANKS.findall(text.as_py() or "")
+                if len(words) >= n:
+                    counts = Counter(zip(*(words[i:] for i in range(n))))
+                    row.append(k)
+                    words_.append(len(words))
+                    grams.append(len(words) - n + 1)
+                    top.append(max(counts.values()))
+            ids = batch.column(0).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(words_, pa.int64()), pa.array(grams, pa.int64()), pa.array(top, pa.int64())], names=["id", "n_words", "n_grams", "top_count"])
+
+    return count
+
+
 def ngram_repetition(df: DataFrame, id_column: str, text: Column, n: int = NGRAM) -> DataFrame:
     """``id, n_words, n_grams, top_count, share`` of each text with at least n words: its commonest n-gram of words.
 
-    Counted by one shuffle on (id, n-gram) after partial counts, so that texts of any length fit.
+    A text lies in one row and is counted there; nothing is shuffled. NULL texts and shorter ones give no rows.
     """
-    grams = spread(df.select(F.col(id_column).alias("id"), text.alias("text"))).select("id", F.explode(T.word_ngrams(F.col("text"), n)).alias("gram"))
-    counts = grams.groupBy("id", "gram").count()
-    tops = counts.groupBy("id").agg(F.sum("count").alias("n_grams"), F.max("count").alias("top_count"))
-    return tops.select("id", (F.col("n_grams") + (n - 1)).alias("n_words"), "n_grams", "top_count", (F.col("top_count") / F.col("n_grams")).alias("share"))
+    rows = spread(df.select(F.col(id_column).alias("id"), text.alias("text")))
+    counted = rows.mapInArrow(_commonest(n), f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_grams long, top_count long")
+    return counted.select("*", (F.col("top_count") / F.col("n_grams")).alias("share"))
 
 
 def clean(df: DataFrame, id_column: str, threshold: float = dedup.THRESHOLD) -> DataFrame:
     """``id, outcome`` of every row of ``df (id, prompt, response)``: 'kept', or the stage or reason that drops it.
 
     The stages run in fixed order: near duplicates first (the smallest id of a cluster survives, good or bad), then
-    incompleteness, repetition, length, and exact duplicates among what is left.
+    incompleteness, repetition, length, and exact duplicates among what is left. Each text is judged where it lies; what
+    meets the clusters is an id, a reason and a digest.
     """
-    whole = F.concat(F.coalesce("prompt", F.lit("")), F.lit(" "), F.coalesce("response", F.lit("")))
+    p, r = F.col("prompt"), F.col("response")
+    whole = F.concat(F.coalesce(p, F.lit("")), F.lit(" "), F.coalesce(r, F.lit("")))
     clusters = dedup.near_duplicate_clusters(df, id_column, whole, threshold)
-    rows = spread(df.select(F.col(id_column).cast("long").alias("id"), "prompt", "response"))
-    judged = rows.join(clusters, "id").select(
-        "id",
-        F.when(F.col("cluster") != F.col("id"), "near_duplicate")
-        .otherwise(F.coalesce(incomplete_reason(F.col("prompt"), F.col("response")), F.when(is_repetitive(F.col("response")), "repetitive"), length_reason(F.col("prompt"), F.col("response"))))
-        .alias("reason"),
-        T.exact_key(F.col("prompt"), F.col("response")).alias("key"),
-    )
-    first = judged.where("reason IS NULL").groupBy("key").agg(F.min("id").alias("first"))
-    return judged.join(first, "key", "left").select("id", F.coalesce("reason", F.when(F.col("first") != F.col("id"), "duplicate"), F.lit("kept")).alias("outcome"))
+    reason = F.coalesce(incomplete_reason(p, r), F.when(is_repetitive(r), "repetitive"), length_reason(p, r))
+    alone = staged(spread(df.select(F.col(id_column).cast("long").alias("id"), "prompt", "response")).select("id", reason.alias("reason"), F.unhex(T.exact_key(p, r)).alias("key")))
+    judged = alone.join(clusters, "id").select("id", F.when(F.col("cluster") != F.col("id"), "near_duplicate").otherwise(F.col("reason")).alias("reason"), "key")
+    left = judged.where("reason IS NULL").select("id", "key")
+    first = left.groupBy("key").agg(F.min("id").alias("first"))
+    later = left.join(first.where("first IS NOT NULL"), "key").where("id <> first").select("id", F.lit("duplicate").alias("outcome"))
+    return judged.select("id", "reason").join(later, "id", "left").select("id", F.coalesce("reason", "outcome", F.lit("kept")).alias("outcome"))

@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import text as T
-from tessera.runtime import spread, staged
+from tessera.runtime import salted_join, spread, staged
 
-#: Permutations, bands and rows a band for a threshold of 0.85 on the estimated similarity.
-PERMUTATIONS, BANDS, ROWS, THRESHOLD, SHINGLE = 128, 8, 16, 0.85, 5
+#: Permutations, bands and rows a band for a threshold of 0.85 on the estimated similarity: a pair at the threshold shares a
+#: bucket with probability 1 - (1 - 0.85 ** 8) ** 16 = 0.99. Candidates are verified, so short bands cost time only.
+PERMUTATIONS, BANDS, ROWS, THRESHOLD, SHINGLE = 128, 16, 8, 0.85, 5
 
 _PRIME = (1 << 31) - 1
 _BASE = 1_000_003  # of the polynomial over code points that hashes a shingle
@@ -79,8 +80,8 @@ class NearDuplicates:
         self.threshold = threshold
         self.signed = staged(minhash_signatures(df, id_column, text).withColumn("key", F.md5(F.array_join("signature", ","))))
         # membership by a join on the partially aggregated minimum, not by a window: a key may hold a third of all rows
-        least = self.signed.groupBy("key").agg(F.min("id").alias("rep"))
-        self.members = staged(self.signed.select("id", "key").join(least, "key").select("id", "rep"))
+        least = self.signed.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+        self.members = staged(salted_join(self.signed.select("id", "key"), staged(least), ["key"], "n", F.col("id")).select("id", "rep"))
         distinct = self.signed.join(self.members.where("id = rep").select("id"), "id").dropDuplicates(["id"])
         self.distinct = staged(distinct.select("id", "signature"))
         bands = self.distinct.select(
@@ -126,8 +127,13 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     vertex of a hub meets its neighbours by aggregation and joins, never in one group. What isn't done after
     ``max_rounds`` raises RuntimeError.
     """
-    pairs = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct()
-    pairs = staged(pairs)
+    pairs = staged(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").distinct())
+
+    def mark(df: DataFrame) -> tuple:
+        """Number and checksums of a set of distinct edges."""
+        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+    before = mark(pairs)
     for _ in range(max_rounds):
         # large star: each vertex hands its smallest neighbour to its larger neighbours
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -136,11 +142,11 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         # small star: each vertex hands its smallest neighbour to its smaller neighbours and itself
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        small = staged(small)
-        same = pairs.join(small, ["u", "v"], "left_anti").limit(1).count() == 0 and small.join(pairs, ["u", "v"], "left_anti").limit(1).count() == 0
-        pairs = small
-        if same:
+        pairs = staged(small)
+        after = mark(pairs)
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError(f"the components aren't settled after {max_rounds} rounds")
     roots = pairs.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
@@ -152,11 +158,12 @@ def near_duplicate_clusters(df: DataFrame, id_column: str, text: Column, thresho
     return NearDuplicates(df, id_column, text, threshold).clusters()
 
 
-def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
+def keep_first(df: DataFrame, key: Column, order: str, columns: list[str] | None = None) -> DataFrame:
     """The row with the smallest ``order`` of each key, by an aggregation that combines before the shuffle.
 
-    Ties of ``order`` keep one row. NULL keys are one key.
+    Only ``columns`` (all by default) come out and are shuffled, whatever the key is made of. Ties of ``order`` keep the
+    row whose columns are least. NULL keys are one key.
     """
-    columns = df.columns
-    row = F.struct(*[F.col(c) for c in columns])
-    return df.groupBy(key.alias("_key")).agg(F.min_by(row, F.col(order)).alias("_row")).select(*[F.col("_row")[c].alias(c) for c in columns])
+    columns = columns or df.columns
+    narrow = df.select(key.alias("_key"), F.struct(F.col(order).alias("_order"), *[F.col(c) for c in columns]).alias("_row"))
+    return narrow.groupBy("_key").agg(F.min("_row").alias("_row")).select(*[F.col("_row")[c].alias(c) for c in columns])

@@ -40,9 +40,13 @@ def fixed_blocks(df: DataFrame, order: str, column: str, block: int) -> DataFram
     placed = rows.join(offsets.select("_o", "_end"), "_o").select((F.col("_end") - F.col("_n")).alias("_start"), "_a")
     total = rows.agg(F.sum("_n")).first()[0] or 0
     blocks = max(total // block, 1)
-    tokens = placed.select("_start", F.posexplode("_a").alias("_i", "token")).select((F.col("_start") + F.col("_i")).alias("at"), "token")
-    cut = tokens.select(F.floor(F.col("at") / block).alias("block_no"), "at", "token").where(F.col("block_no") < blocks)
-    return cut.groupBy("block_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("tokens"))
+    # each array is cut where blocks begin; its pieces, not its tokens, meet
+    first, last = F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.size("_a") - 1) / block)
+    numbered = placed.select("_start", "_a", F.explode(F.sequence(first, last)).alias("block_no")).where(F.col("block_no") < blocks)
+    begin = F.greatest(F.col("block_no") * block - F.col("_start"), F.lit(0)).cast("int")
+    end = F.least((F.col("block_no") + 1) * block - F.col("_start"), F.size("_a").cast("long")).cast("int")
+    pieces = numbered.select("block_no", (F.col("_start") + begin).alias("at"), F.slice("_a", begin + 1, end - begin).alias("piece"))
+    return pieces.groupBy("block_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"])).alias("tokens"))
 
 
 def running_total(df: DataFrame, order: str, value: str) -> DataFrame:

@@ -36,7 +36,7 @@ def _pairs(spark: SparkSession, root: str) -> DataFrame:
 @query("""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""")
 def exact_dedup_documents(spark: SparkSession, root: str) -> DataFrame:
     """The first document of each text."""
-    return D.keep_first(table(spark, root, "documents").select("doc_id", "source", "text"), T.exact_key(F.col("text")), "doc_id").select("doc_id", "source")
+    return D.keep_first(table(spark, root, "documents"), F.unhex(T.exact_key(F.col("text"))), "doc_id", ["doc_id", "source"])
 
 
 @query("""
@@ -144,7 +144,7 @@ rep AS (SELECT doc_id, n_words, sum(n)::BIGINT AS n_grams, max(n) AS top_count,
 def ngram_repetition_scores(spark: SparkSession, root: str) -> DataFrame:
     """Share of the commonest word 5-gram of each document."""
     r = C.ngram_repetition(table(spark, root, "documents"), "doc_id", F.col("text"))
-    return r.select(F.col("id").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), "n_grams", "top_count", F.round("share", 9).alias("share"), ((F.col("n_words") >= 20) & (F.col("share") > 0.3)).alias("repetitive"))
+    return r.select(F.col("id").alias("doc_id"), "n_words", "n_grams", "top_count", F.round("share", 9).alias("share"), ((F.col("n_words") >= 20) & (F.col("share") > 0.3)).alias("repetitive"))
 
 
 @query("""
