@@ -33,5 +33,5 @@ def within(left: DataFrame, right: DataFrame, point: str, low: str, high: str, w
 
 
 def with_default(df: DataFrame, dim: DataFrame, key: str, value: str, default: Column) -> DataFrame:
-    """Left join on a key; a default where the dimension lacks it."""
-    return df.join(dim.select(key, value).dropDuplicates([key]), key, "left").withColumn(value, F.coalesce(value, default))
+    """Left join on a key; a default where the dimension lacks it or has NULL. Of several values of a key the least counts."""
+    return df.join(dim.groupBy(key).agg(F.min(value).alias(value)), key, "left").withColumn(value, F.coalesce(value, default))

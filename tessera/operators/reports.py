@@ -68,10 +68,11 @@ def prefix_lookup(df: DataFrame, name: str, registry: DataFrame, key: str, value
 
 
 def first_lookup(df: DataFrame, key: str, tables: list[tuple[DataFrame, str, str]], default) -> Column | DataFrame:
-    """Adds ``found`` from the first of several lookup tables that holds the key, else the default."""
+    """Adds ``found`` from the first of several lookup tables that holds the key, else the default. Of several values of a
+    key in one table the least counts."""
     out, columns = df, []
     for i, (dim, k, v) in enumerate(tables):
-        out = out.join(dim.select(F.col(k).alias(f"_k{i}"), F.col(v).alias(f"_v{i}")).dropDuplicates([f"_k{i}"]), F.col(key) == F.col(f"_k{i}"), "left")
+        out = out.join(dim.groupBy(F.col(k).alias(f"_k{i}")).agg(F.min(v).alias(f"_v{i}")), F.col(key) == F.col(f"_k{i}"), "left")
         columns.append(F.col(f"_v{i}"))
     return out.withColumn("found", F.coalesce(*columns, F.lit(default))).drop(*[f"_{x}{i}" for i in range(len(tables)) for x in "kv"])
 
