@@ -65,23 +65,25 @@ def sweep(df: DataFrame, measure: str, stops_below: bool, *sample: str, threshol
     value = F.when(~F.isnan(measure), F.col(measure))
     range_ = df.groupBy("task").agg(F.min(value).alias("low"), F.max(value).alias("high"))
     rows = by_sample(df, *sample).join(F.broadcast(range_), "task")  # a row for each task
-    each = rows.select("task", "steps", F.posexplode(linspace(F.col("low"), F.col("high"), thresholds)).alias("i", "thr"))
+    # means up to each step are found once; a threshold then only chooses its step, and the steps aren't copied for it
+    upto = lambda x: F.filter("steps", lambda s: (s["step"] <= x["step"]) & s["accept"].isNotNull())
+    means = F.transform("steps", lambda x: F.struct(x["step"].alias("step"), F.try_divide(F.aggregate(upto(x), F.lit(0.0), lambda a, s: a + s["accept"]), F.size(upto(x))).alias("mean")))
+    tests = F.transform(F.filter("steps", lambda s: s["step"] >= 1), lambda s: F.struct(s["step"].alias("step"), F.when(~F.isnan(s[measure]), s[measure]).alias("x")))
+    rows = rows.select("task", linspace(F.col("low"), F.col("high"), thresholds).alias("thresholds"), means.alias("means"), tests.alias("tests"), F.array_max(F.transform("steps", lambda s: s["step"])).alias("deepest"))
 
-    def stops(s: Column) -> Column:
-        x = s[measure]
-        return (s["step"] >= 1) & F.coalesce(~F.isnan(x) & ((x < F.col("thr")) if stops_below else (x > F.col("thr"))), F.lit(False))
+    def chosen(thr: Column) -> Column:
+        first = F.array_min(F.transform(F.filter("tests", lambda s: (s["x"] < thr) if stops_below else (s["x"] > thr)), lambda s: s["step"]))
+        return F.struct(thr.alias("thr"), F.coalesce(first - 1, F.col("deepest")).alias("k"))
 
-    first = F.array_min(F.transform(F.filter("steps", stops), lambda s: s["step"]))
-    k = F.coalesce(first - 1, F.array_max(F.transform("steps", lambda s: s["step"])))
-    judged = each.select("task", "i", "thr", "steps", k.alias("k"))
-    used = F.filter("steps", lambda s: (s["step"] <= F.col("k")) & s["accept"].isNotNull())
-    mean = F.try_divide(F.aggregate(used, F.lit(0.0), lambda a, s: a + s["accept"]), F.size(used))
-    return judged.select("task", "i", "thr", "k", mean.alias("m")).groupBy("task", "i", "thr").agg(F.avg("m").alias("acc"), F.avg("k").alias("mean_k"))
+    each = rows.select("task", "means", F.posexplode(F.transform("thresholds", chosen)).alias("i", "c"))
+    mean = F.element_at(F.filter("means", lambda m: m["step"] <= F.col("c.k")), -1)["mean"]
+    return each.select("task", "i", "c.thr", "c.k", mean.alias("m")).groupBy("task", "i", "thr").agg(F.avg("m").alias("acc"), F.avg("k").alias("mean_k"))
 
 
 def best_threshold(swept: DataFrame) -> DataFrame:
-    """The threshold with the best acceptance of each task, the first of equals."""
-    return swept.groupBy("task").agg(F.max_by(F.struct("i", "thr", "acc", "mean_k"), F.struct("acc", -F.col("i"))).alias("b")).select("task", "b.thr", "b.acc", "b.mean_k")
+    """The threshold with the best acceptance of each task, the first of equals; means that agree to nine digits are equal,
+    since the order in which they were summed decides the rest."""
+    return swept.groupBy("task").agg(F.max_by(F.struct("i", "thr", "acc", "mean_k"), F.struct(F.round("acc", 9), -F.col("i"))).alias("b")).select("task", "b.thr", "b.acc", "b.mean_k")
 
 
 def efficiency(fixed: DataFrame, adaptive: DataFrame) -> DataFrame:

@@ -8,7 +8,10 @@ from tessera.functions import arrays as A, text as T
 from tessera.operators import adaptive as P, metrics as Q
 from tessera.queries.corpus import words_sql
 from tessera.queries.registry import query
-from tessera.runtime import table
+from tessera.runtime import staged, table
+
+#: Centres in one broadcast block.
+CENTRES = 1024
 
 
 def _steps(spark: SparkSession, root: str) -> DataFrame:
@@ -82,7 +85,7 @@ def threshold_sweep_entropy(spark: SparkSession, root: str) -> DataFrame:
     return _tidy(P.sweep(_steps(spark, root), "ent", False, "run_id", "sample_id"), "thr", "acc", "mean_k")
 
 
-@query(f"WITH {_sweep_sql('conf', '<')} SELECT task, arg_max(round(thr, 7), (acc, -i)) AS thr, round(max(acc), 7) AS acc, arg_max(round(mean_k, 7), (acc, -i)) AS mean_k FROM swept GROUP BY task")
+@query(f"WITH {_sweep_sql('conf', '<')} SELECT task, arg_max(round(thr, 7), (round(acc, 9), -i)) AS thr, round(max(acc), 7) AS acc, arg_max(round(mean_k, 7), (round(acc, 9), -i)) AS mean_k FROM swept GROUP BY task")
 def best_threshold(spark: SparkSession, root: str) -> DataFrame:
     """The best threshold of each task."""
     return _tidy(P.best_threshold(P.sweep(_steps(spark, root), "conf", True, "run_id", "sample_id")), "thr", "acc", "mean_k")
@@ -229,11 +232,22 @@ def embedding_margin(spark: SparkSession, root: str) -> DataFrame:
     e = table(spark, root, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     mean = e.select("label", F.posexplode("e").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     centres = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("centre"))
-    packed = centres.agg(F.collect_list(F.struct("label", "centre")).alias("centres")).withColumn("one", F.lit(1))
-    rows = e.withColumn("one", F.lit(1)).join(F.broadcast(packed), "one").select("vec_id", "label", "e", F.explode("centres").alias("c"))
-    scored = rows.select("vec_id", (F.col("label") == F.col("c.label")).alias("own"), A.cosine(F.col("e"), F.col("c.centre")).alias("cos"))
-    own, other = F.max(F.when(F.col("own"), F.col("cos"))), F.when(~F.col("own"), F.col("cos"))
-    return scored.groupBy("vec_id").agg(F.round(own, 6).alias("positive"), F.round(F.avg(other), 6).alias("mean_negative"), F.round(own - F.max(other), 6).alias("margin"))
+    centres = staged(centres)
+    blocks = max(1, -(-centres.count() // CENTRES))  # a block of centres is broadcast; a vector is compared with one block after the other
+    packed = centres.groupBy(F.pmod(F.xxhash64("label"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("label", "centre")).alias("centres"))
+    parts = []
+    for block in range(blocks):
+        rows = e.withColumn("block", F.lit(block).cast("long")).join(F.broadcast(packed.where(F.col("block") == block)), "block")
+        scored = F.transform("centres", lambda c: F.struct((c["label"] == F.col("label")).alias("own"), A.cosine(F.col("e"), c["centre"]).alias("cos")))
+        rows = rows.select("vec_id", scored.alias("s"))
+        cos = lambda own: F.transform(F.filter("s", lambda x: x["own"] == F.lit(own)), lambda x: x["cos"])
+        total = F.aggregate(cos(False), F.lit(0.0), lambda a, x: a + x)
+        parts.append(rows.select("vec_id", F.array_max(cos(True)).alias("own"), F.array_max(cos(False)).alias("other"), total.alias("total"), F.size(cos(False)).alias("n")))
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    merged = union.groupBy("vec_id").agg(F.max("own").alias("own"), F.max("other").alias("other"), F.try_divide(F.sum("total"), F.sum("n")).alias("mean"))
+    return merged.select("vec_id", F.round("own", 6).alias("positive"), F.round("mean", 6).alias("mean_negative"), F.round(F.col("own") - F.col("other"), 6).alias("margin"))
 
 
 @query("""
