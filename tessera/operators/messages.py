@@ -68,6 +68,16 @@ def messages_to_history(messages: Column) -> Column:
     return F.when(rest.isNotNull(), F.struct(system_of(messages).alias("system"), rest["history"].alias("history"), rest["query"].alias("query"), rest["response"].alias("response")))
 
 
+def text_content(messages: Column) -> Column:
+    """Messages whose contents are any values as messages of texts: a text stays, anything else becomes JSON. NULL stays NULL."""
+    def text(m: Column) -> Column:
+        shown = F.to_json(F.struct(m["content"].alias("v")))
+        inner = F.substring(shown, F.lit(6), F.length(shown) - 6)  # what stands in {"v":...}
+        return F.when(m["content"].isNotNull(), F.when(inner.startswith('"'), F.get_json_object(shown, "$.v")).otherwise(inner))
+
+    return F.transform(messages, lambda m: F.struct(m["role"].alias("role"), text(m).alias("content")))
+
+
 def aliased_roles(messages: Column) -> Column:
     """``tool_response`` becomes ``tool``."""
     return F.transform(messages, lambda m: F.struct(F.when(m["role"] == "tool_response", "tool").otherwise(m["role"]).alias("role"), m["content"].alias("content")))
@@ -141,7 +151,10 @@ def repeated(df: DataFrame, n: int, number: str = "copy") -> DataFrame:
 
 @dataclass(frozen=True)
 class ChatTemplate:
-    """How messages become one text. ``{{SYSTEM}}`` and ``{{QUERY}}`` are replaced; ``{{ROUND}}`` is the 1-based turn."""
+    """How messages become one text. ``{{SYSTEM}}`` and ``{{QUERY}}`` are replaced; ``{{ROUND}}`` is the 1-based turn.
+
+    Without a ``system_prefix`` the ``prefix`` may hold ``{{SYSTEM}}``, which is empty where there is no system message.
+    """
 
     name: str
     prefix: str = ""
@@ -163,6 +176,11 @@ def register_template(template: ChatTemplate, replace: bool = False) -> ChatTemp
     return template
 
 
+def templates() -> list[str]:
+    """The names of all registered templates."""
+    return sorted(_TEMPLATES)
+
+
 def get_template(name: str) -> ChatTemplate:
     return _TEMPLATES[name]
 
@@ -171,6 +189,21 @@ def get_template(name: str) -> ChatTemplate:
 register_template(ChatTemplate("chatml", system_prefix="<|im_start|>system\n{{SYSTEM}}<|im_end|>\n", prompt="<|im_start|>user\n{{QUERY}}<|im_end|>\n<|im_start|>assistant\n", separator="<|im_end|>\n", suffix="<|im_end|>\n"))
 register_template(ChatTemplate("default", system_prefix="{{SYSTEM}}\n\n", prompt="### Human:\n{{QUERY}}\n\n### Assistant:\n", separator="\n\n", suffix="</s>"))
 register_template(ChatTemplate("llama3", prefix="<|begin_of_text|>", system_prefix="<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\n{{SYSTEM}}<|eot_id|>", prompt="<|start_header_id|>user<|end_header_id|>\n\n{{QUERY}}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n", separator="<|eot_id|>", suffix="<|eot_id|>"))
+_GEMMA_TURN = "<start_of_turn>user\n{{QUERY}}<end_of_turn>\n<start_of_turn>model\n"
+register_template(ChatTemplate("gemma", prefix="<bos>", system_prefix="<bos><start_of_turn>system\n{{SYSTEM}}<end_of_turn>\n", prompt=_GEMMA_TURN, separator="<end_of_turn>\n", suffix="<end_of_turn>"))
+register_template(ChatTemplate("phi3", system_prefix="<|system|>\n{{SYSTEM}}<|end|>\n", prompt="<|user|>\n{{QUERY}}<|end|>\n<|assistant|>\n", separator="<|end|>\n", suffix="<|end|>"))
+register_template(ChatTemplate("phi4", system_prefix="<|im_start|>system<|im_sep|>{{SYSTEM}}<|im_end|>", prompt="<|im_start|>user<|im_sep|>{{QUERY}}<|im_end|><|im_start|>assistant<|im_sep|>", separator="<|im_end|>", suffix="<|im_end|>"))
+register_template(ChatTemplate("deepseek_v2_5", prefix="<｜begin▁of▁sentence｜>{{SYSTEM}}", prompt="<｜User｜>{{QUERY}}<｜Assistant｜>", separator="<｜end▁of▁sentence｜>", suffix="<｜end▁of▁sentence｜>"))
+register_template(ChatTemplate("deepseek_coder", prefix="{{SYSTEM}}", prompt="### Instruction:\n{{QUERY}}\n### Response:\n", separator="\n<|EOT|>\n", suffix="\n<|EOT|>"))
+register_template(ChatTemplate("mistral_2501", prefix="<s>", system_prefix="<s>[SYSTEM_PROMPT]{{SYSTEM}}[/SYSTEM_PROMPT]", prompt="[INST]{{QUERY}}[/INST]", separator="</s>", suffix="</s>"))
+register_template(ChatTemplate("zephyr", system_prefix="<|system|>\n{{SYSTEM}}</s>\n", prompt="<|user|>\n{{QUERY}}</s>\n<|assistant|>\n", separator="</s>\n", suffix="</s>"))
+register_template(ChatTemplate("sus", prefix="{{SYSTEM}}", prompt="### Human: {{QUERY}}\n\n### Assistant: ", separator="<|endoftext|>", suffix="<|endoftext|>"))
+register_template(ChatTemplate("orion", prefix="<s>{{SYSTEM}}", prompt="Human: {{QUERY}}\n\nAssistant: </s>", separator="</s>", suffix="</s>"))
+register_template(ChatTemplate("xverse", prefix="{{SYSTEM}}", prompt="Human: {{QUERY}}\n\nAssistant: ", separator="<|endoftext|>", suffix="<|endoftext|>"))
+register_template(ChatTemplate("ziya", prefix="<s>{{SYSTEM}}", prompt="<human>:{{QUERY}}\n<bot>:", separator="\n", suffix="</s>"))
+register_template(ChatTemplate("bluelm", prefix="<s>{{SYSTEM}}", prompt="[|Human|]:{{QUERY}}[|AI|]:", suffix="</s>"))
+register_template(ChatTemplate("codefuse", system_prefix="<s>system\n{{SYSTEM}}\n", prompt="<s>human\n{{QUERY}}\n<s>bot\n", separator="<|endoftext|>\n", suffix="<|endoftext|>"))
+register_template(ChatTemplate("codefuse_codellama", prefix="{{SYSTEM}}", prompt="<|role_start|>human<|role_end|>{{QUERY}}<|role_start|>bot<|role_end|>", suffix="</s>"))
 register_template(ChatTemplate("llama2", prefix="<s>[INST] ", system_prefix="<s>[INST] <<SYS>>\n{{SYSTEM}}\n<</SYS>>\n\n", prompt="{{QUERY}} [/INST]", separator="</s><s>[INST] ", suffix="</s>"))
 
 
@@ -181,7 +214,9 @@ def rendered(messages: Column, template: ChatTemplate) -> Column:
     """
     system = F.coalesce(system_of(messages), F.lit(template.default_system))
     head = F.lit(template.prefix)
-    if template.system_prefix is not None:
+    if template.system_prefix is None and "{{SYSTEM}}" in template.prefix:
+        head = F.replace(head, F.lit("{{SYSTEM}}"), F.coalesce(system, F.lit("")))
+    elif template.system_prefix is not None:
         head = F.when(system.isNotNull(), F.replace(F.lit(template.system_prefix), F.lit("{{SYSTEM}}"), system)).otherwise(head)
 
     def body(m: Column) -> Column:

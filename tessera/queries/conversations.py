@@ -85,6 +85,24 @@ def sampling_requests(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("sample_id", F.col("copy").cast("long").alias("copy"), F.md5(F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), F.coalesce(x["content"], F.lit("")))), "|")).alias("prompt_md5"))
 
 
+def _template_sql(t: M.ChatTemplate) -> str:
+    lit = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    slot = lambda x, name, value: lit(x).replace("{{" + name + "}}", f"' || {value} || '")
+    if t.system_prefix is None:
+        head = slot(t.prefix, "SYSTEM", "coalesce(system, '')")
+    else:
+        head = f"CASE WHEN system IS NOT NULL THEN {slot(t.system_prefix, 'SYSTEM', 'system')} ELSE {lit(t.prefix)} END"
+    said = f"CASE WHEN m[i].role = 'user' THEN {slot(t.prompt, 'QUERY', "coalesce(m[i].content, '')")} ELSE coalesce(m[i].content, '') || CASE WHEN i = len(m) THEN {lit(t.suffix)} ELSE {lit(t.separator)} END END"
+    return f"SELECT sample_id, '{t.name}' AS template, md5({head} || array_to_string(list_transform(range(1, len(m) + 1), lambda i: {said}), '')) AS text_md5 FROM b"
+
+
+@query(f"WITH b AS (SELECT sample_id, {_SYSTEM} AS system, {_BODY} AS m FROM chats WHERE len(messages) > 0) " + " UNION ALL ".join(_template_sql(M.get_template(n)) for n in M.templates()))
+def render_templates(spark: SparkSession, root: str) -> DataFrame:
+    """Messages rendered in every registered format."""
+    each = F.array(*[F.struct(F.lit(n).alias("template"), F.md5(M.rendered(F.col("messages"), M.get_template(n))).alias("text_md5")) for n in M.templates()])
+    return _chats(spark, root).select("sample_id", F.explode(each).alias("e")).select("sample_id", "e.*")
+
+
 @query(f"""
 SELECT sample_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT sample_id,
   CASE WHEN system IS NOT NULL THEN '<|im_start|>system' || chr(10) || system || '<|im_end|>' || chr(10) ELSE '' END ||

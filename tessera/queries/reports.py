@@ -119,11 +119,14 @@ def duration_totals(spark: SparkSession, root: str) -> DataFrame:
     return s.select("event_type", "seconds", R.duration_text(F.col("seconds")).alias("shown"))
 
 
-@query("""SELECT coalesce(CASE WHEN user_id % 3 = 0 THEN 'team' END, 'merger ' || (user_id % 5)) AS author, event_type, count(*) AS failures FROM events WHERE event_type = 'error' OR value > 50 GROUP BY ALL""")
+@query("""SELECT coalesce(CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_name END, n_name, 'unknown') AS author, event_type, count(*) AS failures
+FROM events LEFT JOIN customer ON c_custkey = user_id LEFT JOIN nation ON n_nationkey = c_nationkey WHERE event_type = 'error' OR value > 50 GROUP BY ALL""")
 def failures_by_author(spark: SparkSession, root: str) -> DataFrame:
-    """Failures by author, who is replaced by the merger if not of the team."""
-    author = F.coalesce(F.when(F.col("user_id") % 3 == 0, F.lit("team")), F.concat(F.lit("merger "), (F.col("user_id") % 5).cast("string")))
-    return _events(spark, root).where("event_type = 'error' OR value > 50").groupBy(author.alias("author"), "event_type").agg(F.count(F.lit(1)).alias("failures"))
+    """Failures by author: a customer of the team's segments, else who merged the work, their nation."""
+    c, n = table(spark, root, "customer"), table(spark, root, "nation")
+    failed = _events(spark, root).where("event_type = 'error' OR value > 50").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    people = c.join(n, c["c_nationkey"] == n["n_nationkey"], "left").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.col("c_name")).alias("own"), "n_name")
+    return failed.join(people, "user_id", "left").groupBy(F.coalesce("own", "n_name", F.lit("unknown")).alias("author"), "event_type").agg(F.sum("n").alias("failures"))
 
 
 @query("""SELECT event_type, round(avg(k), 6) AS mean_k, count(k) AS n FROM (SELECT event_type, try_cast(props->>'k' AS INT) AS k, props->'missing' AS m FROM events) GROUP BY event_type""")
@@ -243,12 +246,26 @@ def targeted_top_k(spark: SparkSession, root: str) -> DataFrame:
     return e.select("vec_id", "i", rank.alias("rk")).where(F.col("rk") <= min(k, len(targets)))
 
 
-@query("""SELECT sample_id, CASE WHEN regexp_matches(c, '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{F900}-\\x{FAFF}]') THEN 1 ELSE 0 END AS cjk, CASE WHEN sample_id % 2 = 0 THEN 'image' ELSE 'audio' END AS kind FROM (SELECT sample_id, messages[1].content AS c FROM chats) WHERE c IS NOT NULL""".replace("\\\\", "\\"))
+_KINDS = {"image": "jpg jpeg png gif bmp webp tiff", "audio": "mp3 wav flac ogg m4a aac", "video": "mp4 avi mov mkv webm flv", None: "txt json parquet py"}
+_EXTENSIONS = [x for own in _KINDS.values() for x in own.split()]
+
+
+@query(rf"""SELECT sample_id, count(*) FILTER (regexp_matches(c, '[\x{{4E00}}-\x{{9FFF}}\x{{3400}}-\x{{4DBF}}\x{{F900}}-\x{{FAFF}}\x{{20000}}-\x{{2A6DF}}\x{{2A700}}-\x{{2B73F}}\x{{2B740}}-\x{{2B81F}}\x{{2B820}}-\x{{2CEAF}}\x{{2F800}}-\x{{2FA1F}}]')) AS cjk, count(c) AS texts
+FROM (SELECT sample_id, unnest(messages).content AS c FROM chats WHERE len(messages) > 0) GROUP BY sample_id""")
 def char_classes(spark: SparkSession, root: str) -> DataFrame:
-    """Whether the first message holds ideographs; and the kind of a file by its extension."""
-    c = F.get("messages", F.lit(0))["content"]
-    path = F.when(F.col("sample_id") % 2 == 0, "https://x/a.PNG?size=2").otherwise("b.mp3")
-    return table(spark, root, "chats").where(c.isNotNull()).select("sample_id", T.is_cjk(c).cast("int").alias("cjk"), T.file_kind(path).alias("kind"))
+    """How many messages of each chat hold ideographs."""
+    m = F.col("messages.content")
+    held = F.size(F.filter(m, lambda c: F.coalesce(T.is_cjk(c), F.lit(False))))
+    return table(spark, root, "chats").where("size(messages) > 0").select("sample_id", held.cast("long").alias("cjk"), F.size(F.filter(m, lambda c: c.isNotNull())).cast("long").alias("texts"))
+
+
+@query(f"""WITH e AS (SELECT line_id, file_name, {_EXTENSIONS!r}[1 + line_id % {len(_EXTENSIONS)}] AS x FROM raw_lines)
+SELECT line_id, CASE {' '.join(f"WHEN x IN ({', '.join(repr(x) for x in own.split())}) THEN '{kind}'" for kind, own in _KINDS.items() if kind)} END AS kind FROM e""")
+def file_kinds(spark: SparkSession, root: str) -> DataFrame:
+    """The kind of the file that each delivered line would name, by extensions of all kinds, in either case, with and without a query."""
+    x = F.get(F.array(*map(F.lit, _EXTENSIONS)), F.pmod("line_id", F.lit(len(_EXTENSIONS))).cast("int"))
+    name = F.concat(F.col("file_name"), F.lit("."), F.when(F.col("line_id") % 2 == 0, F.upper(x)).otherwise(x), F.when(F.col("line_id") % 3 == 0, "?size=2.5").otherwise(""))
+    return table(spark, root, "raw_lines").select("line_id", T.file_kind(name).alias("kind"))
 
 
 @query("SELECT count(*) AS n, round(avg(1 / (1 + exp(-value / 100))), 7) AS mean_sigmoid FROM events WHERE value IS NOT NULL")

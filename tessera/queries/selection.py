@@ -8,7 +8,7 @@ from tessera.functions import arrays as A, parsing as X, text as T
 from tessera.operators import packing as B, rewards as R, sampling as S
 from tessera.queries.corpus import words_sql
 from tessera.queries.registry import query
-from tessera.runtime import table
+from tessera.runtime import staged, table
 
 
 def _docs(spark: SparkSession, root: str) -> DataFrame:
@@ -199,6 +199,22 @@ def bin_pack(spark: SparkSession, root: str) -> DataFrame:
     return B.pack_rows(table(spark, root, "encoded_rows"), "row_id", F.coalesce("length", F.size("input_ids")), 2048, overlong=True)
 
 
+def packed_checks(packed: DataFrame, *bin_: str) -> DataFrame:
+    """One row: rows and tokens placed, ids that are placed twice, and bins of several rows over 2048."""
+    packed = staged(packed)
+    rows = packed.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.sum("length").alias("length"))
+    rows = rows.agg(F.sum("k").alias("n"), F.sum("length").alias("tokens"), F.count_if(F.col("k") > 1).alias("twice"))
+    bins = packed.groupBy(*bin_).agg(F.sum("length").alias("fill"), F.count(F.lit(1)).alias("k"))
+    over = bins.agg(F.count_if((F.col("fill") > 2048) & (F.col("k") > 1)).alias("overfull"))
+    return rows.withColumn("one", F.lit(1)).join(over.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+@query("""SELECT count(*) AS n, sum(n)::BIGINT AS tokens, 0 AS twice, 0 AS overfull FROM (SELECT coalesce(length, len(input_ids)) AS n FROM encoded_rows) WHERE n >= 1""")
+def bin_pack_checked(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of ``bin_pack``."""
+    return packed_checks(bin_pack(spark, root), "bin")
+
+
 @query("""WITH d AS (SELECT DISTINCT id, len(choices) AS n FROM candidates WHERE choices IS NOT NULL), done AS (SELECT id FROM d GROUP BY id HAVING sum(n) >= 4)
 SELECT DISTINCT id FROM candidates WHERE id NOT IN (SELECT id FROM done)""")
 def pending_requests(spark: SparkSession, root: str) -> DataFrame:

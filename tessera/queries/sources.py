@@ -84,10 +84,15 @@ def output_names(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "questions").where("category IS NOT NULL").select("category", K.safe_name(F.col("category")).alias("folder")).distinct()
 
 
-@query()
+@query("""SELECT line_id, CASE WHEN json_valid(raw) THEN raw->>'source' END AS source, CASE WHEN json_valid(raw) THEN md5(coalesce(array_to_string(list_transform(from_json(raw->'messages', '[{"content":"VARCHAR"}]'), lambda m: coalesce(m.content, '-')), '|'), '-')) END AS contents_md5,
+  CASE WHEN json_valid(raw) THEN 0 END AS secrets FROM raw_lines""")
 def sanitised_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Lines as JSON in one notation, secrets removed; malformed ones NULL."""
-    return _lines(spark, root).select("line_id", X.sanitised_json(F.col("raw")).alias("clean"))
+    """Lines with a secret put into them, sanitised: everything else is still there, the secret isn't; malformed ones NULL."""
+    given = F.regexp_replace("raw", r"^(\s*\{)", '$1"access_token": "s3cret", ')
+    rows = _lines(spark, root).select("line_id", X.sanitised_json(given).alias("clean"))
+    contents = F.from_json(F.get_json_object("clean", "$.messages"), "array<struct<content:string>>")["content"]
+    joined = F.md5(F.coalesce(F.array_join(F.transform(contents, lambda c: F.coalesce(c, F.lit("-"))), "|"), F.lit("-")))
+    return rows.select("line_id", F.get_json_object("clean", "$.source").alias("source"), F.when(F.col("clean").isNotNull(), joined).alias("contents_md5"), F.col("clean").contains("s3cret").cast("int").alias("secrets"))
 
 
 @query("""SELECT md5(t) AS text_md5, max(o) AS origin FROM (SELECT text AS t, 1 AS o FROM documents UNION ALL SELECT m.content, 2 FROM (SELECT unnest(messages) AS m FROM chats)) WHERE t IS NOT NULL GROUP BY 1""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.queries.registry import query
+from tessera.queries.selection import packed_checks
 from tessera.runtime import table
 from tessera.streaming import operators as O, run as S
 
@@ -55,22 +56,37 @@ def stream_enriched(spark: SparkSession, root: str) -> DataFrame:
     return S.drained(joined).groupBy("request_id", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _length():
+    return F.coalesce("length", F.size("input_ids"))
+
+
 @query()
 def stream_bin_pack(spark: SparkSession, root: str) -> DataFrame:
     """Encoded rows packed as they arrive; a length that is missing follows from the ids, a longer row is a bin of its own."""
-    return S.drained(O.packed(S.table_stream(spark, root, "encoded_rows"), "row_id", F.coalesce("length", F.size("input_ids")), 2048, overlong=True))
+    packed = S.drained(O.packed(S.table_stream(spark, root, "encoded_rows"), "row_id", _length(), 2048, overlong=True, rest=True))
+    return O.closed_rows(packed, "shard", "id")
+
+
+@query("""SELECT count(*) AS n, sum(n)::BIGINT AS tokens, 0 AS twice, 0 AS overfull FROM (SELECT coalesce(length, len(input_ids)) AS n FROM encoded_rows) WHERE n >= 1""")
+def stream_bin_pack_checked(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of ``stream_bin_pack``: rows and tokens, rows in two bins, and bins of several rows over the capacity."""
+    return packed_checks(stream_bin_pack(spark, root), "shard", "bin")
 
 
-@query("""SELECT doc_id, count(*) AS chunks, sum(length(c))::BIGINT AS chars FROM (SELECT doc_id, substr(text, i * 80 + 1, 100) AS c, i, length(text) AS n FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) >= 100 THEN (length(text) - 100) // 80 + 2 ELSE 1 END)) AS i FROM documents WHERE text IS NOT NULL))
-WHERE n >= i * 80 + 100 OR length(c) > 10 GROUP BY doc_id""")
+_CHUNKED_SQL = """SELECT doc_id, count(*) AS chunks, sum(length(c))::BIGINT AS chars FROM (SELECT doc_id, substr(text, i * 80 + 1, 100) AS c, i, length(text) AS n FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) >= 100 THEN (length(text) - 100) // 80 + 2 ELSE 1 END)) AS i FROM documents WHERE text IS NOT NULL))
+WHERE n >= i * 80 + 100 OR length(c) > 10 GROUP BY doc_id"""
+
+
+@query(_CHUNKED_SQL)
 def chunked_texts(spark: SparkSession, root: str) -> DataFrame:
     """Texts in overlapping chunks of 100 with strides of 10."""
     d = table(spark, root, "documents").select("doc_id", F.explode(O.chunks(F.col("text"), 100, 10, 10)).alias("c"))
     return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("c.chunk")).alias("chars"))
 
 
-@query()
+@query(_CHUNKED_SQL)
 def stream_chunked(spark: SparkSession, root: str) -> DataFrame:
-    """Texts of each source in overlapping chunks as they arrive, with the last one of each source."""
-    d = S.table_stream(spark, root, "documents").where("text IS NOT NULL AND source IS NOT NULL").select("source", "text")
-    return O.closed(S.drained(O.chunked(d, "source", "text", 1000, 100, 100, rest=True)), "chunk")
+    """Texts in the same chunks as they arrive, each text's last one among them."""
+    d = S.table_stream(spark, root, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    c = O.closed(S.drained(O.chunked(d, "doc_id", "text", 100, 10, 10, rest=True)), "chunk")
+    return c.groupBy(F.col("key").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("chunk")).alias("chars"))

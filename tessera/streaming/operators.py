@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,32 +37,65 @@ def enriched(stream: DataFrame, static: DataFrame, key: str) -> DataFrame:
     return stream.join(static, key, "left")
 
 
-def packed(stream: DataFrame, id_column: str, length: str | Column, capacity: int, shards: int = 8, overlong: bool = False) -> DataFrame:
-    """``id, length, shard, bin``: rows put into bins as they arrive; each shard's open bin is carried over between batches.
+#: Rows that are packed together at most; a shard's rows of one batch come in groups of so many.
+PACKED_AT_ONCE = 5_000
 
-    Within a batch rows go largest first; a row that doesn't fit closes the open bin. Rows longer than the capacity are
-    dropped, or with ``overlong`` have a bin each of their own. Rows without a length (NULL or 0) are dropped.
+
+def packed(stream: DataFrame, id_column: str, length: str | Column, capacity: int, shards: int | None = None, overlong: bool = False, rest: bool = False) -> DataFrame:
+    """``id, length, shard, bin``: rows packed best-fit decreasing as they arrive; the emptiest bin is carried over.
+
+    Each group of rows of a shard (``shards``: as many as shuffle partitions by default) is packed together with the
+    carried ones, and all bins but the one with most room come out. A stream without end never knows its last bin: with
+    ``rest`` each batch gives the rows that wait as well, numbered in ``rest`` (0 for bins that are done); ``closed_rows``
+    keeps the last. Rows longer than the capacity are dropped, or with ``overlong`` have a bin each of their own. Rows
+    without a length (NULL or 0) are dropped.
     """
 
     def place(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, fill = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches))
-        rows = rows.sort_values(["length", "id"], ascending=[False, True])
-        bins = []
-        for n in rows["length"]:
-            if fill and fill + n > capacity:
-                number, fill = number + 1, 0
-            fill += int(n)
-            bins.append(number)
-        state.update((number, fill))
-        yield pd.DataFrame({"id": rows["id"], "length": rows["length"], "shard": key[0], "bin": bins})
+        number, batch, ids, sizes = state.get if state.exists else (0, 0, [], [])
+        ids, sizes, out = list(ids), list(sizes), []
+        for pdf in batches:
+            for at in range(0, len(pdf), PACKED_AT_ONCE):
+                part = pdf.iloc[at : at + PACKED_AT_ONCE]
+                pool = sorted(zip(sizes + part["length"].tolist(), ids + part["id"].tolist()), key=lambda x: (-x[0], x[1]))
+                bins: list[list[tuple[int, int]]] = []
+                rooms: list[tuple[int, int]] = []  # (room, bin), ascending
+                for n, i in pool:
+                    fit = bisect_left(rooms, (n, -1))
+                    if fit == len(rooms):
+                        room, b = capacity, len(bins)
+                        bins.append([])
+                    else:
+                        room, b = rooms.pop(fit)
+                    bins[b].append((i, n))
+                    insort(rooms, (room - n, b))
+                carried = rooms[-1][1] if rooms and rooms[-1][0] > 0 else -1
+                for b, own in enumerate(bins):
+                    if b != carried:
+                        out += [(i, n, key[0], number, 0) for i, n in own]
+                        number += 1
+                ids, sizes = ([i for i, _ in bins[carried]], [n for _, n in bins[carried]]) if carried >= 0 else ([], [])
+        state.update((number, batch + 1, ids, sizes))
+        if rest:
+            out += [(i, n, key[0], number, batch + 1) for i, n in zip(ids, sizes)] or [(None, None, key[0], number, batch + 1)]
+        made = pd.DataFrame(out, columns=["id", "length", "shard", "bin", "rest"]).astype({"id": "Int64", "length": "Int64"})
+        yield made if rest else made.drop(columns="rest")
 
     size = F.col(length) if isinstance(length, str) else length
     rows = stream.select(F.col(id_column).cast("long").alias("id"), size.cast("long").alias("length")).where(F.col("length") >= 1)
     if not overlong:
         rows = rows.where(F.col("length") <= capacity)
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandasWithState(place, "id long, length long, shard int, bin long", "number long, fill long", "append", GroupStateTimeout.NoTimeout)
+    n = shards or int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    schema = "id long, length long, shard int, bin long" + ", rest long" * rest
+    return dealt.groupBy("shard").applyInPandasWithState(place, schema, "number long, batch long, ids array<long>, sizes array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def closed_rows(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The drained rows of ``packed`` with ``rest``: those of finished bins, and those that each key still had at the end."""
+    last = df.where("rest > 0").groupBy(key).agg(F.max("rest").alias("rest"))
+    waiting = df.join(last, [key, "rest"]).where(F.col(value).isNotNull())
+    return df.where("rest = 0").unionByName(waiting).drop("rest")
 
 
 def chunk(text: str, size: int, left: int, right: int) -> list[tuple[str, int, int]]:

@@ -43,12 +43,14 @@ def test_every_number_is_text(spark, tmp_path):
 
 
 def test_every_source_is_chunked_to_its_end(spark, tmp_path):
+    from tessera.streaming import operators as O, run
     from tessera.streaming.operators import chunk
 
     texts = {"long": ["".join(map(chr, range(0x4E00, 0x4E00 + 2500)))], "short": ["abc" * 100], "same": ["x" * 700] * 3}
     rows = [(s, t) for s, ts in texts.items() for t in ts] + [(None, "n"), ("none", None)]
     spark.createDataFrame(rows, "source string, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
-    got = QUERIES["stream_chunked"](spark, str(tmp_path)).collect()
+    pieces = run.table_stream(spark, str(tmp_path), "documents").where("text IS NOT NULL AND source IS NOT NULL")
+    got = O.closed(run.drained(O.chunked(pieces, "source", "text", 1000, 100, 100, rest=True)), "chunk").collect()
     assert sorted(map(tuple, got)) == sorted((s, *c) for s, ts in texts.items() for c in chunk("".join(ts), 1000, 100, 100))
 
 
