@@ -112,7 +112,7 @@ class NearDuplicates:
         alike = staged(self._verified(seated.select("lo", "hi")).select("lo", "hi"))
         apart = seated.join(alike, ["lo", "hi"], "left_anti").select("band", "bucket", F.col("hi").alias("x"))
         rest = apart.join(self.bands, ["band", "bucket"]).where("x <> id").select(F.least("x", "id").alias("lo"), F.greatest("x", "id").alias("hi"))
-        return alike.unionByName(self._verified(rest).select("lo", "hi"))
+        return alike.unionByName(self._verified(rest).select("lo", "hi")).distinct()
 
     def clusters(self) -> DataFrame:
         """``id, cluster``: the smallest id of each row's cluster."""

@@ -40,7 +40,23 @@ def test_links_connect_what_pairs_connect(spark):
         rows.append((i, " ".join(words)))
     near = dedup.NearDuplicates(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t"))
     components = lambda d: {(r["id"], r["component"]) for r in dedup.connected_components(d, "lo", "hi").collect()}
-    assert components(near.links()) == components(near.pairs()) and near.pairs().count() > near.links().count() > 0
+    assert components(near.links()) == components(near.pairs()) and near.pairs().count() >= near.links().count() > 0
+
+
+def test_links_are_few_in_a_large_bucket(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*words[:199], f"n{rng.randrange(10**6)}"])) for i in range(150)]
+    near = dedup.NearDuplicates(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t"))
+    pairs, links = near.pairs().count(), near.links()
+    assert pairs > 10_000 and links.count() <= dedup.BANDS * 150 < pairs / 4
+    assert {r["component"] for r in dedup.connected_components(links, "lo", "hi").collect()} == {0}
+
+
+def test_recall_of_bands_at_the_threshold():
+    """Of pairs just at the threshold at least nine in ten share a bucket."""
+    s = dedup.THRESHOLD
+    assert 1 - (1 - s**dedup.ROWS) ** dedup.BANDS > 0.9 and dedup.BANDS * dedup.ROWS <= dedup.PERMUTATIONS
 
 
 def test_near_duplicates_of_an_empty_table(spark):
