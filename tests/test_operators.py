@@ -48,8 +48,8 @@ def test_links_are_few_in_a_large_bucket(spark):
     words = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join([*words[:199], f"n{rng.randrange(10**6)}"])) for i in range(150)]
     near = dedup.NearDuplicates(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t"))
-    pairs, links = near.pairs().count(), near.links()
-    assert pairs > 10_000 and links.count() <= dedup.BANDS * 150 < pairs / 4
+    pairs, links = near.pairs().count(), near.links()  # between distinct signatures
+    assert pairs > 2000 and links.count() < pairs / 10
     assert {r["component"] for r in dedup.connected_components(links, "lo", "hi").collect()} == {0}
 
 
