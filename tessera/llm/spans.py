@@ -319,10 +319,10 @@ class SharedSpans:
         self.copies = staged(salted_join(keyed, least, ["key"], "n", F.col("doc")).select("doc", "rep").distinct())
         others = self.copies.where("doc <> rep").select("doc")
         # 2. anchors
-        anchors = staged(spread(docs).mapInArrow(_find_anchors, "anchor long, doc long, pos int, many boolean").join(others, "doc", "left_anti").distinct())
+        anchors = staged(spread(docs).mapInArrow(_find_anchors, "anchor long, doc long, pos int, many boolean").join(others, "doc", "left_anti"))
         held = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last"), F.min(F.struct("doc", "pos")).alias("home"), F.max("many").alias("many"))
         held = staged(held.where("home.doc < last").select("anchor", "n", "many", F.col("home.doc").alias("home"), F.floor(F.col("home.pos") / SHARD_CHARS).cast("int").alias("shard")))
-        shared = staged(salted_join(anchors.drop("many"), held, ["anchor"], "n", F.col("doc")).select("anchor", "doc", "pos", "many", "home", "shard"))
+        shared = staged(salted_join(anchors.drop("many"), held, ["anchor"], "n", F.col("doc")).select("anchor", "doc", "pos", "many", "home", "shard").distinct())  # a repeated row is one document
         # 3. surroundings of shared anchors, past the automata of their shards
         live = shared.where("NOT many").groupBy("doc").agg(F.collect_list(F.struct("home", "shard", "pos", "anchor")).alias("live"))
         pieces = staged(
