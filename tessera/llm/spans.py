@@ -437,13 +437,14 @@ def shared_pairs(df: DataFrame, id_column: str = "doc_id", text: str = "text") -
     return SharedSpans(df, id_column, text).pairs()
 
 
-def shared_classes(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def shared_classes(df: DataFrame, id_column: str = "doc_id", text: str = "text", spans: SharedSpans | None = None) -> DataFrame:
     """``class, doc, links``: the sets of documents of which any two share a span, linear in their members.
 
     ``class`` is the smallest document of a set (sets may share it: two spans of one document), ``links`` how many others
     are in the set. A document has a row for each set it is in. Rows as in ``shared_pairs``.
     """
-    members = staged(SharedSpans(df, id_column, text).classes().select(F.col("class").alias("key"), "doc"))
+    spans = spans or SharedSpans(df, id_column, text)
+    members = staged(spans.classes().select(F.col("class").alias("key"), "doc"))
     sizes = staged(members.groupBy("key").agg(F.min("doc").alias("class"), F.count(F.lit(1)).alias("n")))
     return salted_join(members, sizes.withColumn("links", F.col("n") - 1), ["key"], "n", F.col("doc")).select("class", "doc", "links")
 

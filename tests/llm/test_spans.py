@@ -36,7 +36,7 @@ def run(spark, docs):
     return pairs, {r["doc"]: r["shared_chars"] for r in S.shared_amount(df, spans=spans).collect()}
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_against_brute_force(spark, seed):
     rng = random.Random(seed)
     noise = lambda n: "".join(rng.choice("abcdefgh ijklmnop中文字é😀") for _ in range(n))
@@ -74,11 +74,12 @@ def test_boilerplate_of_many_documents(spark, monkeypatch):
     passage = noise(420)
     docs = [(i, noise(30) + passage + noise(30)) for i in range(40)] + [(100 + i, noise(20) + passage[i * 30 :][: 230 + 10 * i] + noise(25)) for i in range(6)] + [(200, noise(20) + passage[:210]), (201, noise(20) + passage[205:])]
     pairs, covered = brute(docs)
-    assert run(spark, docs) == (pairs, covered)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     sets = {}
-    rows = S.shared_classes(df).collect()
     spans = S.SharedSpans(df, "doc_id", "text")
+    rows = S.shared_classes(df, spans=spans).collect()
+    assert {(r["doc_lo"], r["doc_hi"]) for r in spans.pairs().collect()} == pairs
+    assert {r["doc"]: r["shared_chars"] for r in S.shared_amount(df, spans=spans).collect()} == covered
     for r in spans.classes().collect():
         sets.setdefault(r["class"], set()).add(r["doc"])
     assert {(a, b) for own in sets.values() for a in own for b in own if a < b} == pairs
