@@ -142,3 +142,13 @@ def projected(df: DataFrame, fields: list[str]) -> DataFrame:
     """Only those of the fields that the table has, in the order given."""
     have = set(df.columns)
     return df.select(*[f for f in fields if f in have])
+
+
+def rows_at(spark: SparkSession, path: str, numbers: list[int] | tuple[int, int]) -> DataFrame:
+    """Rows of ``sinks.indexed`` by number: a list of numbers, or a pair for a range from the first up to before the second.
+
+    Only files and row groups that may hold them are read.
+    """
+    rows = spark.read.parquet(path)
+    no = F.col("row_no")
+    return rows.where((no >= numbers[0]) & (no < numbers[1])) if isinstance(numbers, tuple) else rows.where(no.isin(list(numbers)))

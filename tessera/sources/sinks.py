@@ -6,6 +6,9 @@ import time
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.operators import sampling
+from tessera.runtime import staged
+
 
 def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON object a line, non-ASCII as it is, NULL fields left out; ``mode`` 'append' adds to what is there."""
@@ -41,6 +44,15 @@ def sharded(df: DataFrame, path: str, rows_per_file: int) -> None:
     df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
+def indexed(df: DataFrame, path: str, order: str, rows_per_file: int = 1_000_000) -> None:
+    """Rows numbered from 0 in ``order`` and written in that order, so that ``readers.rows_at`` finds a row by its number.
+
+    The least and largest number that each file and row group states are the index: a reader opens only what holds the
+    numbers it wants.
+    """
+    sampling.numbered(df, order, name="row_no").repartitionByRange("row_no").sortWithinPartitions("row_no").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
 def resumable(df: DataFrame, path: str, id_column: str) -> int:
     """Append the rows whose id isn't in the output yet; returns how many were written. Running it again writes nothing."""
     spark = df.sparkSession
@@ -71,8 +83,26 @@ def jdbc(df: DataFrame, url: str, table: str, **properties: str) -> None:
     df.write.jdbc(url, table, mode="append", properties=properties)
 
 
-def benchmark_store(runs: DataFrame, devices: DataFrame, measures: DataFrame, path: str) -> None:
-    """The three tables of a benchmark store, appended as Parquet; nested values as JSON text."""
+def new_keys(runs: DataFrame, stored: DataFrame | None, order: str, key: str = "benchmark_id") -> DataFrame:
+    """``runs`` with keys that go on from the largest one stored: what inserting rows one by one would return."""
+    last = -1 if stored is None else stored.agg(F.max(key)).first()[0]
+    return sampling.numbered(runs, order, name=key).withColumn(key, F.col(key) + (0 if last is None else last + 1))
+
+
+def benchmark_store(runs: DataFrame, devices: DataFrame, measures: DataFrame, path: str, order: str | None = None) -> DataFrame:
+    """The three tables of a benchmark store, appended as Parquet; nested values as JSON text. Returns the runs as stored.
+
+    With ``order`` (a column that all three tables share and that names a run) each run gets a new ``benchmark_id``, which
+    the rows of the other tables take over.
+    """
+    if order is not None:
+        spark = runs.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        where = hadoop.Path(f"{path}/benchmarks")
+        exists = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        runs = staged(new_keys(runs, spark.read.parquet(f"{path}/benchmarks") if exists else None, order))
+        devices, measures = (df.join(runs.select(order, "benchmark_id"), order) for df in (devices, measures))
     for name, df in (("benchmarks", runs), ("device_measurements", devices), ("model_measurements", measures)):
         nested = [f.name for f in df.schema if f.dataType.typeName() in ("struct", "map", "array")]
         df.withColumns({c: F.to_json(c) for c in nested}).write.mode("append").parquet(f"{path}/{name}")
+    return runs

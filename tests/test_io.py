@@ -170,3 +170,33 @@ def test_cyclic_source(spark):
         assert {r["id"] for r in spark.table("cyclic").collect()} == {0, 1, 2}
     finally:
         query.stop()
+
+
+def test_rows_are_found_by_number(spark, tmp_path):
+    from tessera.sources import readers, sinks
+
+    df = spark.range(500).select((499 - F.col("id")).alias("k"), F.col("id").cast("string").alias("t"))
+    sinks.indexed(df, str(tmp_path / "i"), "k", rows_per_file=50)
+    at = lambda n: [(r["row_no"], r["k"]) for r in readers.rows_at(spark, str(tmp_path / "i"), n).orderBy("row_no").collect()]
+    assert at([7, 499, 1000]) == [(7, 7), (499, 499)] and at((10, 13)) == [(10, 10), (11, 11), (12, 12)] and at([]) == []
+
+
+def test_stored_runs_get_keys(spark, tmp_path):
+    from tessera.sources import sinks
+
+    for n, first in ((2, 0), (3, 2)):
+        runs = spark.createDataFrame([(f"r{i}", {"a": i}) for i in range(n)], "name string, other map<string,int>")
+        measures = spark.createDataFrame([("r0", 1.5), ("r1", 2.5), ("r0", 3.5)], "name string, value double")
+        stored = sinks.benchmark_store(runs, measures, measures, str(tmp_path / "s"), order="name")
+        assert {r["name"]: r["benchmark_id"] for r in stored.collect()} == {f"r{i}": first + i for i in range(n)}
+    kept = spark.read.parquet(str(tmp_path / "s" / "model_measurements"))
+    assert sorted((r["benchmark_id"], r["value"]) for r in kept.collect()) == [(0, 1.5), (0, 3.5), (1, 2.5), (2, 1.5), (2, 3.5), (3, 2.5)]
+
+
+def test_contents_of_any_kind_become_text(spark):
+    from tessera.operators import messages as M
+
+    df = spark.createDataFrame([([("tool", {"a": 1}), ("tool", None)],)], "m array<struct<role:string,content:map<string,int>>>").select(M.text_content(F.col("m")).alias("m"))
+    assert [tuple(x) for x in df.first()["m"]] == [("tool", '{"a":1}'), ("tool", None)]
+    df = spark.createDataFrame([([("user", 'say "hi"\n')],)], "m array<struct<role:string,content:string>>").select(M.text_content(F.col("m")).alias("m"))
+    assert df.first()["m"][0]["content"] == 'say "hi"\n'
