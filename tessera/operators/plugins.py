@@ -129,7 +129,8 @@ class AccuracyTip:
 def run_turns(df: DataFrame, scheduler_name: str, respond: Callable[[DataFrame], DataFrame], max_turns: int = 8) -> DataFrame:
     """Rows ``id, response, finish_reason, accuracy`` taken turn by turn until their scheduler is done.
 
-    ``respond`` maps the rows that go on to their next state, with the same columns (a join with a table of
+    Rows that aren't finished after ``max_turns`` turns come out as they are then: the limit is a part of the schedule, as a
+    model's answers needn't ever satisfy it. ``respond`` maps the rows that go on to their next state, with the same columns (a join with a table of
     responses, say). Each turn works only on what isn't finished.
     """
     s = SCHEDULERS[scheduler_name]()
