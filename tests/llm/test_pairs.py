@@ -36,8 +36,8 @@ def test_refusal(answer):
     assert P.defects(None, answer)[0] == "refusal"
 
 
-# Phrasings that no rule was written from.
-HELD_OUT = {
+# Phrasings written along with the families, some known before: they guard against regressions and measure no recall.
+PHRASINGS = {
     "en": "I refuse.|I must refuse to answer.|That's not something I can do for you.|I'm not going to answer this.|Unfortunately I'm not permitted to talk about it.|This request is against my policy.|Sorry, no can do.|We are unable to process this request.|I shall not speak about it; I can't explain why.",
     "de": "Tut mir leid, das geht leider nicht.|Ich weigere mich, das zu schreiben.|Das ist mir nicht gestattet.|Darüber spreche ich nicht.|Diese Anfrage kann ich leider nicht bearbeiten.",
     "fr": "Je regrette, mais ce n'est pas possible.|Je m'abstiens de tout commentaire.|Il m'est impossible de répondre à cette demande.|Désolé, je n'ai pas le droit d'en parler.",
@@ -49,9 +49,9 @@ HELD_OUT = {
 }
 
 
-@pytest.mark.parametrize("language", sorted(HELD_OUT))
+@pytest.mark.parametrize("language", sorted(PHRASINGS))
 def test_other_phrasings(language):
-    said = HELD_OUT[language].split("|")
+    said = PHRASINGS[language].split("|")
     assert sum("refusal" in P.defects(Q, x) for x in said) >= 0.8 * len(said)
 
 
