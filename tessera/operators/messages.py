@@ -5,7 +5,7 @@ NULL message lists give NULL.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -154,6 +154,7 @@ class ChatTemplate:
     """How messages become one text. ``{{SYSTEM}}`` and ``{{QUERY}}`` are replaced; ``{{ROUND}}`` is the 1-based turn.
 
     Without a ``system_prefix`` the ``prefix`` may hold ``{{SYSTEM}}``, which is empty where there is no system message.
+    ``{{BOS}}`` and ``{{EOS}}`` are the marks of a model's tokenizer, where a format leaves them to it.
     """
 
     name: str
@@ -165,12 +166,17 @@ class ChatTemplate:
     default_system: str | None = None
     extra: dict = field(default_factory=dict)
 
+    def marked(self, bos: str = "<s>", eos: str = "</s>") -> ChatTemplate:
+        """The template with a tokenizer's marks filled in."""
+        fill = lambda x: None if x is None else x.replace("{{BOS}}", bos).replace("{{EOS}}", eos)
+        return replace(self, **{k: fill(getattr(self, k)) for k in ("prefix", "system_prefix", "prompt", "separator", "suffix")})
+
 
 _TEMPLATES: dict[str, ChatTemplate] = {}
 
 
-def register_template(template: ChatTemplate, replace: bool = False) -> ChatTemplate:
-    if template.name in _TEMPLATES and not replace:
+def register_template(template: ChatTemplate, again: bool = False) -> ChatTemplate:
+    if template.name in _TEMPLATES and not again:
         raise ValueError(f"template {template.name} is registered already")
     _TEMPLATES[template.name] = template
     return template
@@ -186,7 +192,7 @@ def get_template(name: str) -> ChatTemplate:
 
 
 # The marks of widespread public chat formats.
-register_template(ChatTemplate("chatml", system_prefix="<|im_start|>system\n{{SYSTEM}}<|im_end|>\n", prompt="<|im_start|>user\n{{QUERY}}<|im_end|>\n<|im_start|>assistant\n", separator="<|im_end|>\n", suffix="<|im_end|>\n"))
+register_template(ChatTemplate("chatml", system_prefix="<|im_start|>system\n{{SYSTEM}}<|im_end|>\n", prompt="<|im_start|>user\n{{QUERY}}<|im_end|>\n<|im_start|>assistant\n", separator="<|im_end|>\n", suffix="<|im_end|>"))
 register_template(ChatTemplate("default", system_prefix="{{SYSTEM}}\n\n", prompt="### Human:\n{{QUERY}}\n\n### Assistant:\n", separator="\n\n", suffix="</s>"))
 register_template(ChatTemplate("llama3", prefix="<|begin_of_text|>", system_prefix="<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\n{{SYSTEM}}<|eot_id|>", prompt="<|start_header_id|>user<|end_header_id|>\n\n{{QUERY}}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n", separator="<|eot_id|>", suffix="<|eot_id|>"))
 _GEMMA_TURN = "<start_of_turn>user\n{{QUERY}}<end_of_turn>\n<start_of_turn>model\n"
@@ -194,24 +200,27 @@ register_template(ChatTemplate("gemma", prefix="<bos>", system_prefix="<bos><sta
 register_template(ChatTemplate("phi3", system_prefix="<|system|>\n{{SYSTEM}}<|end|>\n", prompt="<|user|>\n{{QUERY}}<|end|>\n<|assistant|>\n", separator="<|end|>\n", suffix="<|end|>"))
 register_template(ChatTemplate("phi4", system_prefix="<|im_start|>system<|im_sep|>{{SYSTEM}}<|im_end|>", prompt="<|im_start|>user<|im_sep|>{{QUERY}}<|im_end|><|im_start|>assistant<|im_sep|>", separator="<|im_end|>", suffix="<|im_end|>"))
 register_template(ChatTemplate("deepseek_v2_5", prefix="<｜begin▁of▁sentence｜>{{SYSTEM}}", prompt="<｜User｜>{{QUERY}}<｜Assistant｜>", separator="<｜end▁of▁sentence｜>", suffix="<｜end▁of▁sentence｜>"))
-register_template(ChatTemplate("deepseek_coder", prefix="{{SYSTEM}}", prompt="### Instruction:\n{{QUERY}}\n### Response:\n", separator="\n<|EOT|>\n", suffix="\n<|EOT|>"))
+register_template(ChatTemplate("deepseek_coder", prefix="{{SYSTEM}}", prompt="### Instruction:\n{{QUERY}}\n### Response:\n", separator="\n<|EOT|>\n", suffix="\n<|EOT|>", default_system="You are an AI programming assistant, utilizing the Deepseek Coder model, developed by Deepseek Company, and you only answer questions related to computer science. For politically sensitive questions, security and privacy issues, and other non-computer science questions, you will refuse to answer\n"))
 register_template(ChatTemplate("mistral_2501", prefix="<s>", system_prefix="<s>[SYSTEM_PROMPT]{{SYSTEM}}[/SYSTEM_PROMPT]", prompt="[INST]{{QUERY}}[/INST]", separator="</s>", suffix="</s>"))
 register_template(ChatTemplate("zephyr", system_prefix="<|system|>\n{{SYSTEM}}</s>\n", prompt="<|user|>\n{{QUERY}}</s>\n<|assistant|>\n", separator="</s>\n", suffix="</s>"))
 register_template(ChatTemplate("sus", prefix="{{SYSTEM}}", prompt="### Human: {{QUERY}}\n\n### Assistant: ", separator="<|endoftext|>", suffix="<|endoftext|>"))
 register_template(ChatTemplate("orion", prefix="<s>{{SYSTEM}}", prompt="Human: {{QUERY}}\n\nAssistant: </s>", separator="</s>", suffix="</s>"))
-register_template(ChatTemplate("xverse", prefix="{{SYSTEM}}", prompt="Human: {{QUERY}}\n\nAssistant: ", separator="<|endoftext|>", suffix="<|endoftext|>"))
-register_template(ChatTemplate("ziya", prefix="<s>{{SYSTEM}}", prompt="<human>:{{QUERY}}\n<bot>:", separator="\n", suffix="</s>"))
-register_template(ChatTemplate("bluelm", prefix="<s>{{SYSTEM}}", prompt="[|Human|]:{{QUERY}}[|AI|]:", suffix="</s>"))
-register_template(ChatTemplate("codefuse", system_prefix="<s>system\n{{SYSTEM}}\n", prompt="<s>human\n{{QUERY}}\n<s>bot\n", separator="<|endoftext|>\n", suffix="<|endoftext|>"))
-register_template(ChatTemplate("codefuse_codellama", prefix="{{SYSTEM}}", prompt="<|role_start|>human<|role_end|>{{QUERY}}<|role_start|>bot<|role_end|>", suffix="</s>"))
+register_template(ChatTemplate("xverse", prefix="{{SYSTEM}}", prompt="Human: {{QUERY}}\n\nAssistant: ", separator="{{EOS}}", suffix="{{EOS}}"))
+register_template(ChatTemplate("ziya", prefix="{{BOS}}{{SYSTEM}}", prompt="<human>:{{QUERY}}\n<bot>:", separator="\n", suffix="{{EOS}}"))
+register_template(ChatTemplate("bluelm", prefix="{{BOS}}{{SYSTEM}}", prompt="[|Human|]:{{QUERY}}[|AI|]:", suffix="{{EOS}}"))
+register_template(ChatTemplate("codefuse", system_prefix="<s>system\n{{SYSTEM}}\n", prompt="<s>human\n{{QUERY}}\n<s>bot\n", separator="{{EOS}}\n", suffix="{{EOS}}"))
+register_template(ChatTemplate("codefuse_codellama", prefix="{{SYSTEM}}", prompt="<|role_start|>human<|role_end|>{{QUERY}}<|role_start|>bot<|role_end|>", suffix="{{EOS}}"))
 register_template(ChatTemplate("llama2", prefix="<s>[INST] ", system_prefix="<s>[INST] <<SYS>>\n{{SYSTEM}}\n<</SYS>>\n\n", prompt="{{QUERY}} [/INST]", separator="</s><s>[INST] ", suffix="</s>"))
 
 
-def rendered(messages: Column, template: ChatTemplate) -> Column:
+def rendered(messages: Column, template: ChatTemplate, bos: str = "<s>", eos: str = "</s>") -> Column:
     """Messages in the format of a template: system, then each user message and its answer; an open turn ends the text.
 
+    ``bos`` and ``eos`` are the marks of the model's tokenizer, for formats that leave them to it.
+
     Messages must alternate user, assistant after a leading system message; NULL contents are empty.
     """
+    template = template.marked(bos, eos)
     system = F.coalesce(system_of(messages), F.lit(template.default_system))
     head = F.lit(template.prefix)
     if template.system_prefix is None and "{{SYSTEM}}" in template.prefix:

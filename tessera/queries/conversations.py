@@ -88,10 +88,15 @@ def sampling_requests(spark: SparkSession, root: str) -> DataFrame:
 def _template_sql(t: M.ChatTemplate) -> str:
     lit = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
     slot = lambda x, name, value: lit(x).replace("{{" + name + "}}", f"' || {value} || '")
+    t = t.marked()
+    if t.default_system is not None:
+        system = f"coalesce(system, {lit(t.default_system)})"
+    else:
+        system = "system"
     if t.system_prefix is None:
-        head = slot(t.prefix, "SYSTEM", "coalesce(system, '')")
+        head = slot(t.prefix, "SYSTEM", f"coalesce({system}, '')")
     else:
-        head = f"CASE WHEN system IS NOT NULL THEN {slot(t.system_prefix, 'SYSTEM', 'system')} ELSE {lit(t.prefix)} END"
+        head = f"CASE WHEN {system} IS NOT NULL THEN {slot(t.system_prefix, 'SYSTEM', system)} ELSE {lit(t.prefix)} END"
     said = f"CASE WHEN m[i].role = 'user' THEN {slot(t.prompt, 'QUERY', "coalesce(m[i].content, '')")} ELSE coalesce(m[i].content, '') || CASE WHEN i = len(m) THEN {lit(t.suffix)} ELSE {lit(t.separator)} END END"
     return f"SELECT sample_id, '{t.name}' AS template, md5({head} || array_to_string(list_transform(range(1, len(m) + 1), lambda i: {said}), '')) AS text_md5 FROM b"
 
@@ -107,7 +112,7 @@ def render_templates(spark: SparkSession, root: str) -> DataFrame:
 SELECT sample_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT sample_id,
   CASE WHEN system IS NOT NULL THEN '<|im_start|>system' || chr(10) || system || '<|im_end|>' || chr(10) ELSE '' END ||
   array_to_string(list_transform(range(1, len(m) + 1), lambda i: CASE WHEN m[i].role = 'user' THEN '<|im_start|>user' || chr(10) || coalesce(m[i].content, '') || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)
-    ELSE coalesce(m[i].content, '') || '<|im_end|>' || chr(10) END), '') AS t
+    ELSE coalesce(m[i].content, '') || '<|im_end|>' || CASE WHEN i = len(m) THEN '' ELSE chr(10) END END), '') AS t
   FROM (SELECT sample_id, {_SYSTEM} AS system, {_BODY} AS m FROM chats WHERE len(messages) > 0))""")
 def render_chatml(spark: SparkSession, root: str) -> DataFrame:
     """Messages rendered in the ChatML format."""

@@ -113,7 +113,8 @@ def test_reasoning_is_stripped_from_earlier_turns_only(spark):
 
 def test_templates(spark):
     df = chat(spark, ("user", "hi"), ("assistant", "yo"))
-    assert df.select(M.rendered(F.col("m"), M.get_template("chatml"))).first()[0] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n"
+    assert df.select(M.rendered(F.col("m"), M.get_template("chatml"))).first()[0] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>"
+    assert df.select(M.rendered(F.col("m"), M.get_template("ziya"), "<b>", "<e>")).first()[0] == "<b><human>:hi\n<bot>:yo<e>"
     with pytest.raises(ValueError):
         M.register_template(M.get_template("chatml"))
 
